@@ -54,47 +54,42 @@ def _typed(packets: DataFrame) -> DataFrame:
     return packets.withColumns({**fields, "attack_type": F.when(is_attack_type(kind), kind)})
 
 
-def aggregate_windows(
-    packets: DataFrame,
-    width_us: int = S.WINDOW_US,
-    key: str = "capture_id",
-    row_no: str = "pkt_id",
-    with_source: bool = False,
-) -> DataFrame:
-    """One row per capture and window that holds a packet.
+def packet_measures(packets: DataFrame, width_us: int, row_no: str) -> DataFrame:
+    """Typed packets with their window, place in it and frame class."""
+    return _typed(packets).withColumns({
+        "window_us": window_of(F.col("gen_us"), width_us),
+        "_place": _place_in_window(F.col("gen_us"), F.col(row_no), width_us),
+        "_kind": subtype_class(F.col("subtype")),
+    })
 
-    Two hash-partitioned passes. The first folds packets to one row per window and attack
-    type with map-side combine; the second folds the few types of a window and picks the
-    commonest one, the earlier in time on ties.
-    """
-    p = _typed(packets)
+
+def per_type_aggs() -> list[Column]:
+    """What is kept per window and attack type."""
     valid = rf_valid(F.col("rssi"))
-    kind = subtype_class(F.col("subtype"))
-    place = _place_in_window(F.col("gen_us"), F.col(row_no), width_us)
-    one = lambda cond: F.count(F.when(cond, 1))
     rssi, snr = F.when(valid, F.col("rssi")), F.when(valid, F.col("snr"))
-    by_type = (
-        p.withColumns({"window_us": window_of(F.col("gen_us"), width_us), "_place": place, "_kind": kind})
-        .groupBy(key, "window_us", "attack_type")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[one(F.col("_kind") == k).alias(f"_{k}") for k in ("beacon", "deauth", "probe", "auth")],
-            one(F.col("deauth_tgt") >= 1).alias("_tgt"),
-            one(F.col("seq_jump") >= 1).alias("_jump"),
-            F.count(rssi).alias("_rf_n"),
-            F.sum(rssi).alias("_rssi"),
-            F.sum(rssi * rssi).alias("_rssi2"),
-            F.sum(snr).alias("_snr"),
-            F.max("win_pkts").alias("_pkts"),
-            F.max("win_dens").alias("_dens"),
-            F.max("label").alias("_label"),
-            F.min("_place").alias("_first"),
-            F.max("_place").alias("_last"),
-            *[F.max_by(src, "_place").alias(dst) for dst, src in _LAST_FIELDS.items()],
-        )
-    )
+    one = lambda cond: F.count(F.when(cond, 1))
+    return [
+        F.count(F.lit(1)).alias("_n"),
+        *[one(F.col("_kind") == k).alias(f"_{k}") for k in ("beacon", "deauth", "probe", "auth")],
+        one(F.col("deauth_tgt") >= 1).alias("_tgt"),
+        one(F.col("seq_jump") >= 1).alias("_jump"),
+        F.count(rssi).alias("_rf_n"),
+        F.sum(rssi).alias("_rssi"),
+        F.sum(rssi * rssi).alias("_rssi2"),
+        F.sum(snr).alias("_snr"),
+        F.max("win_pkts").alias("_pkts"),
+        F.max("win_dens").alias("_dens"),
+        F.max("label").alias("_label"),
+        F.min("_place").alias("_first"),
+        F.max("_place").alias("_last"),
+        *[F.max_by(src, "_place").alias(dst) for dst, src in _LAST_FIELDS.items()],
+    ]
+
+
+def per_window_aggs() -> list[Column]:
+    """The types of a window folded to one row."""
     common = F.when(F.col("attack_type").isNotNull(), F.struct(-F.col("_n"), F.col("_first")))
-    w = by_type.groupBy(key, "window_us").agg(
+    return [
         F.sum("_n").alias("_n"),
         *[F.sum(f"_{k}").cast("double").alias(f) for k, f in (
             ("beacon", "beacon_packets"), ("deauth", "deauth_packets"), ("probe", "probe_packets"),
@@ -105,7 +100,11 @@ def aggregate_windows(
         F.max("_pkts").alias("_pkts"), F.max("_dens").alias("_dens"), F.max("_label").alias("_label"),
         F.max_by(F.struct(*_LAST_FIELDS), "_last").alias("_host"),
         F.min_by("attack_type", common).alias("_type"),
-    )
+    ]
+
+
+def finish_windows(w: DataFrame, width_us: int, key: str, with_source: bool = False) -> DataFrame:
+    """Feature columns from the folded sums."""
     seconds = F.lit(width_us / 1_000_000)
     reported = F.floor("_pkts").cast("double")
     total = F.coalesce(reported, F.col("_n").cast("double"))
@@ -128,6 +127,24 @@ def aggregate_windows(
     )
 
 
+def aggregate_windows(
+    packets: DataFrame,
+    width_us: int = S.WINDOW_US,
+    key: str = "capture_id",
+    row_no: str = "pkt_id",
+    with_source: bool = False,
+) -> DataFrame:
+    """One row per capture and window that holds a packet.
+
+    Two hash-partitioned passes. The first folds packets to one row per window and attack
+    type with map-side combine; the second folds the few types of a window and picks the
+    commonest one, the earlier in time on ties.
+    """
+    by_type = packet_measures(packets, width_us, row_no).groupBy(key, "window_us", "attack_type").agg(*per_type_aggs())
+    folded = by_type.groupBy(key, "window_us").agg(*per_window_aggs())
+    return finish_windows(folded, width_us, key, with_source)
+
+
 def density_contract(packets: DataFrame, **kw) -> DataFrame:
     """Totals, densities and which source they came from (A2)."""
     key = kw.get("key", "capture_id")

@@ -366,7 +366,7 @@ def _(spark, d):
     return windows.density_sources(windows.density_contract(packets(spark, d)))
 
 
-@query("elastic_windows", """
+ELASTIC_SQL = """
 select capture_id, start_us, end_us, count(*)::double as total_packets,
  count(*) / ((end_us - start_us) / 1e6::double) as packet_density,
  count(*) filter (subtype = 'BEACON')::double as beacon_packets, count(*) filter (subtype in ('DEAUTH','DISASSOC'))::double as deauth_packets,
@@ -378,7 +378,10 @@ select p.*, b.t as start_us, b.nxt as end_us from (select *, lead(t) over (parti
  and p.gen_us between b.t and b.nxt
  join (select capture_id, gen_us, min(pkt_id) as head from packets group by 1, 2) h on h.capture_id = p.capture_id and h.gen_us = p.gen_us
 where b.nxt is not null and (p.gen_us > b.t or p.pkt_id > h.head or b.b_no = 1) and (p.gen_us < b.nxt or p.pkt_id = h.head))
-group by capture_id, start_us, end_us""")
+group by capture_id, start_us, end_us"""
+
+
+@query("elastic_windows", ELASTIC_SQL)
 def _(spark, d):
     return greedy.elastic_windows(packets(spark, d)).select(
         "capture_id", "start_us", "end_us", "total_packets", "packet_density", "beacon_packets", "deauth_packets", "probe_packets",

@@ -86,10 +86,10 @@ def class_weights(df: DataFrame, label: str = "label") -> dict[int, float]:
     return {cls: sum(sizes.values()) / (2.0 * n) for cls, n in sizes.items()}
 
 
-def balanced_weights(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
-    """Weight ``n / (2 * n_class)`` of each row (M2)."""
+def balanced_weights(df: DataFrame, label: str = "label", name: str = "weight", of: DataFrame | None = None) -> DataFrame:
+    """Weight ``n / (2 * n_class)`` of each row (M2); sizes may come from ``of``, the training part."""
     weight = F.lit(1.0)
-    for cls, value in class_weights(df, label).items():
+    for cls, value in class_weights(df if of is None else of, label).items():
         weight = F.when(F.col(label) == cls, value).otherwise(weight)
     return df.withColumn(name, weight)
 
