@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+SLICES = 200
 
 
 def cumulative_counts(
@@ -23,7 +23,7 @@ def cumulative_counts(
     ``counts`` holds one row per (keys, value).
     """
     cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / slices for i in range(1, slices)], 1000).alias("_cuts")
+        F.percentile_approx(value, [i / slices for i in range(1, slices)], 10 * slices).alias("_cuts")
     )
     sliced = counts.join(cuts, list(keys), "left").withColumn(
         "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))

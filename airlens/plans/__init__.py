@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib.util
 
 # The modules that register queries; the training and streaming ones come after the batch ones.
-_MODULES = ("airlens.plans.queries", "airlens.plans.training_queries", "airlens.streaming.queries")
+_MODULES = (
+    "airlens.plans.queries", "airlens.plans.file_queries", "airlens.plans.training_queries", "airlens.streaming.queries",
+)
 
 
 def _load():

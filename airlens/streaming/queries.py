@@ -21,8 +21,9 @@ FAR_US = adapter.BASE_US * 2
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{d}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """``events`` as a stream. The size per trigger bounds what one device can bring in a batch."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema)
+    return reader.option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", str(2 << 30)).parquet(d)
 
 
 def packet_stream(spark: SparkSession, d: str) -> DataFrame:
