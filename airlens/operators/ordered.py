@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from airlens.operators.scan import (
     CELL, FIRST, HERE, Running, carry_window, cell_of, cell_window, change_count, join_carry,
-    order_value, rolling_mean, running,
+    rolling_mean, running,
 )
 
 PACKET_CELL_US = 10_000_000
@@ -55,19 +55,20 @@ def align_clock(
     base = packets.withColumns({CELL: cell_of(arrival, cell_us), "_up": up_us}).withColumn(
         "_off", F.col(arrival) - F.col("_up")
     )
-    prev = F.lag("_up").over(cell_window(keys, order))
-    booted = F.coalesce((F.col("_up") < prev - BOOT_DROP_US).cast("bigint"), F.lit(0))
-    part = base.withColumn("_boot", booted).withColumn(
-        "_part", F.sum("_boot").over(cell_window(keys, order).rowsBetween(FIRST, HERE))
-    )
-
-    at = order_value(order)
-    parts = part.groupBy(key, CELL, "_part").agg(
-        F.min("_off").alias("_min"), F.min_by("_up", at).alias("_first"), F.max_by("_up", at).alias("_last")
-    )
-    cells = parts.groupBy(key, CELL).agg(
-        F.max("_part").alias("_n"), F.min_by("_first", "_part").alias("_first"),
-        F.max_by("_last", "_part").alias("_last"), F.max_by("_min", "_part").alias("_tail"),
+    w = cell_window(keys, order)
+    upto = w.rowsBetween(FIRST, HERE)
+    part = base.withColumns({"_prev": F.lag("_up").over(w), "_next": F.lead("_up").over(w)}).withColumn(
+        "_boot", F.coalesce((F.col("_up") < F.col("_prev") - BOOT_DROP_US).cast("bigint"), F.lit(0))
+    ).withColumn("_part", F.sum("_boot").over(upto))
+    # A later boot has the smaller first field, so the least struct so far is the least offset of
+    # the boot the row is in; one sort serves all windows.
+    part = part.withColumn("_low", F.min(F.struct((-F.col("_part")).alias("p"), F.col("_off").alias("o"))).over(upto)["o"])
+
+    cells = part.groupBy(key, CELL).agg(
+        F.max("_part").alias("_n"),
+        F.max(F.when(F.col("_prev").isNull(), F.col("_up"))).alias("_first"),
+        F.max(F.when(F.col("_next").isNull(), F.col("_up"))).alias("_last"),
+        F.max(F.when(F.col("_next").isNull(), F.col("_low"))).alias("_tail"),
     )
     along = Window.partitionBy(key).orderBy(CELL)
     edge = F.coalesce((F.col("_first") < F.lag("_last").over(along) - BOOT_DROP_US).cast("bigint"), F.lit(0))
@@ -81,14 +82,13 @@ def align_clock(
         F.when(F.col("_edge") == 0, F.lag("_open").over(along)).alias("_in"),
     )
 
-    inside = Window.partitionBy(key, CELL, "_part").orderBy(*order).rowsBetween(FIRST, HERE)
-    out = join_carry(part.withColumn("_low", F.min("_off").over(inside)), carry, keys)
+    out = join_carry(part, carry, keys)
     least = F.when(F.col("_part") == 0, F.least("_low", "_in")).otherwise(F.col("_low"))
     return out.withColumns({
         "boot_id": F.col("_base") + F.col("_part") + 1,
         "min_offset_us": least,
         "aligned_us": least + F.col("_up"),
-    }).drop(CELL, "_up", "_off", "_boot", "_part", "_low", "_base", "_in")
+    }).drop(CELL, "_up", "_off", "_prev", "_next", "_boot", "_part", "_low", "_base", "_in")
 
 
 def gateway_flips(
