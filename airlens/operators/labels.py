@@ -134,6 +134,6 @@ def relabel_missed_stop(
     late = of_kind & (F.col(time) - F.col("_t0") > int(round(keep_seconds * 1e6)))
     late = F.coalesce(late, F.lit(False))
     return packets.join(start, key, "left").withColumn("_late", late).withColumns({
-        "label": F.when(F.col("_late"), F.lit(0)).otherwise(F.col("label")),
+        "label": F.when(F.col("_late"), F.lit("0").cast(packets.schema["label"].dataType)).otherwise(F.col("label")),
         "attack_type": F.when(F.col("_late"), "NONE").otherwise(F.col("attack_type")),
     }).drop("_t0", "_late")
