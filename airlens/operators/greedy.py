@@ -40,7 +40,7 @@ def _cell_table(width: int):
         own = np.unique(pdf.loc[~pdf["_lent"], "_t"].to_numpy())
         head = {c: pdf[c].iloc[0] for c in ("_k", CELL)}
         if not len(own):
-            return pd.DataFrame({"_k": [], CELL: [], "_from": [], "_to": []})
+            return pd.DataFrame({"_k": pd.Series(dtype=object), CELL: [], "_from": [], "_to": []})
         entry = np.concatenate([[_OLD], np.unique(pdf.loc[pdf["_lent"], "_t"].to_numpy())]).astype("int64")
         last = _last_marks(own, width)
         at = np.where(entry == _OLD, 0, np.searchsorted(own, entry + width))

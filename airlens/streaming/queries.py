@@ -40,14 +40,21 @@ def table_stream(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(staged.inputFiles()[0].rsplit("/", 1)[0])
 
 
-def closed(stream: DataFrame, key: str = "capture_id") -> DataFrame:
-    """The stream plus one far-future row, so that the watermark closes every real window."""
-    spark = stream.sparkSession
-    row = spark.range(1).select(*[
-        (F.lit(-1) if f.name == key else F.lit(FAR_US) if f.name == "gen_us" else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in stream.schema.fields
-    ])
-    return stream.unionByName(table_stream(spark, row.withColumn("pkt_id", F.lit(0).cast("bigint"))))
+def replay_closed(stream: DataFrame, build: Callable[[DataFrame], DataFrame], key: str = "capture_id", time: str = "gen_us") -> DataFrame:
+    """Run an append-mode query to its end and let the watermark pass every real window.
+
+    A second source stays empty while the rows are read. Then it gets one far-future row and
+    the query goes on from its checkpoint, which closes all open windows.
+    """
+    spark, out = stream.sparkSession, folder(stream.sparkSession)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/closing")
+    query = build(stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{out}/closing")))
+    jobs.start(query, jobs.to_table(f"{out}/data"), f"{out}/checkpoint").awaitTermination()
+    given = {key: F.lit(-1), time: F.lit(FAR_US), "pkt_id": F.lit(0)}
+    row = spark.range(1).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema.fields])
+    row.write.mode("append").parquet(f"{out}/closing")
+    jobs.start(query, jobs.to_table(f"{out}/data"), f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/data").drop("batch")
 
 
 def replay(stream: DataFrame, sink: Callable[[str], Callable], mode: str = "append") -> str:
@@ -80,7 +87,7 @@ def _(spark, d):
 
 @query("stream_windows", f"select capture_id, window_us, {FEATURES}, gw_mac_flip, label, attack_type from windows")
 def _(spark, d):
-    return replayed(jobs.stream_windows(closed(packet_stream(spark, d))))
+    return replay_closed(packet_stream(spark, d), jobs.stream_windows)
 
 
 @query("stream_clock", "select capture_id, pkt_id, boot_id::bigint as boot_id, min_offset_us, aligned_us from aligned")
@@ -106,8 +113,8 @@ def _(spark, d):
 
 @query("stream_score", "select capture_id, window_us, score as raw_prob, pred as raw_pred from tree_scores where tree = 'deployed'")
 def _(spark, d):
-    scored = jobs.stream_score(jobs.stream_windows(closed(packet_stream(spark, d))))
-    return replayed(scored).select("capture_id", "window_us", "raw_prob", "raw_pred")
+    scored = replay_closed(packet_stream(spark, d), lambda p: jobs.stream_score(jobs.stream_windows(p)))
+    return scored.select("capture_id", "window_us", "raw_prob", "raw_pred")
 
 
 _ELASTIC = "capture_id, start_us, end_us, total_packets, packet_density, beacon_packets, deauth_packets, probe_packets, auth_packets, deauth_targeted, seq_jump, rssi_mean, snr_mean"
