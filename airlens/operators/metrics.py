@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from airlens.functions.scalars import is_attack_type
 from airlens.operators.quantiles import cumulative_counts
+from airlens.operators.stage import stage
 
 
 def _ratio(a, b):
@@ -45,7 +46,7 @@ def score_counts(df: DataFrame, by: tuple[str, ...], label: str = "label", score
 def roc_auc(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", score: str = "score") -> DataFrame:
     """Exact rank AUC with ties counted half; null where a class is missing (M8)."""
     keyed, by = (df, tuple(by)) if by else (df.withColumn("_all", F.lit(0)), ("_all",))
-    counts = score_counts(keyed, by, label, score)
+    counts = stage(score_counts(keyed, by, label, score))
     ranked = cumulative_counts(counts, by, score, ["pos", "neg"])
     below = F.col("neg_upto") - F.col("neg")
     out = ranked.groupBy(*by).agg(
@@ -58,7 +59,7 @@ def roc_auc(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", score
 def roc_curve(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", score: str = "score") -> DataFrame:
     """One point per distinct score: rates when everything at or above it is an alert (M8)."""
     keyed, by = (df, tuple(by)) if by else (df.withColumn("_all", F.lit(0)), ("_all",))
-    counts = score_counts(keyed, by, label, score)
+    counts = stage(score_counts(keyed, by, label, score))
     ranked = cumulative_counts(counts, by, score, ["pos", "neg"]).withColumnsRenamed({"pos_all": "_p", "neg_all": "_n"})
     above = lambda c, t: F.col(t) - F.col(f"{c}_upto") + F.col(c)
     return ranked.withColumns({

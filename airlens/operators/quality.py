@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from airlens import schema as S
 from airlens.operators.quantiles import quantiles_of_counts
+from airlens.operators.stage import stage
 
 
 def class_counts(windows: DataFrame, *by: str) -> DataFrame:
@@ -62,21 +63,26 @@ def balance_gates(
 def feature_stats(windows: DataFrame, features: tuple[str, ...] = S.WINDOW_FEATURES) -> DataFrame:
     """Mean, sample deviation, range, median and share of zeros per feature.
 
-    Windows are folded to value counts per feature first, from which everything follows.
+    Windows are read once and folded to value counts per feature, from which all follows.
     """
-    long = windows.select(F.explode(F.array(*[
+    counts = stage(windows.select(F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features
-    ])).alias("_x")).select("_x.*")
-    stats = long.groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.avg((F.col("value") == 0).cast("double")).alias("frac_zero"),
+    ])).alias("_x")).select("_x.*").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
+    v, n = F.col("value"), F.col("n")
+    stats = counts.groupBy("feature").agg(
+        F.sum("n").alias("_n"), (F.sum(v * n) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
+        (F.sum(F.when(v == 0, n).otherwise(0)) / F.sum("n")).alias("frac_zero"),
     )
-    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    return stats.join(quantiles_of_counts(counts, ["feature"], "value", {"p50": 0.5}), "feature")
+    spread = counts.join(stats.select("feature", "mean", "_n"), "feature").groupBy("feature").agg(
+        F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.nullif(F.max("_n") - 1, F.lit(0))).alias("std")
+    )
+    medians = quantiles_of_counts(counts, ["feature"], "value", {"p50": 0.5})
+    return stats.drop("_n").join(spread, "feature").join(medians, "feature")
 
 
 def dataset_summary(windows: DataFrame) -> DataFrame:
     """Size, time range, density spread, commonest total and warnings of a set."""
+    windows = stage(windows.select("label", "window_us", "total_packets", "packet_density", "minheap"))
     totals = windows.groupBy("total_packets").agg(F.count(F.lit(1)).alias("_n"))
     common = totals.agg(F.max_by("total_packets", F.struct("_n", -F.col("total_packets"))).alias("total_packets_mode"))
     mode = common.first()["total_packets_mode"]

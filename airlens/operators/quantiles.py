@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from airlens.operators.stage import stage
+
 SLICES = 200
 
 
@@ -51,11 +53,11 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per ``keys``; one row per group."""
-    counts = value_counts(df, keys, value)
-    return quantiles_of_counts(counts, keys, value, probs)
+    return quantiles_of_counts(stage(value_counts(df, keys, value)), keys, value, probs)
 
 
 def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """The same from value counts, which are read more than once and should be staged."""
     ranked = cumulative_counts(counts, keys, value, ["n"])
     v = F.col(value)
     picks, out = [], {}

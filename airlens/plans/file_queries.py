@@ -37,7 +37,7 @@ def raw_text(p: DataFrame) -> DataFrame:
 @query("read_packets", f"select capture_id::varchar as capture, window_us, {FEATURES}, gw_mac_flip, label, attack_type from windows")
 def _(spark, d):
     path = folder(spark)
-    raw_text(packets(spark, d)).write.option("header", True).csv(path)
+    raw_text(adapter.packets_of(spark.read.parquet(f"{d}/events.parquet"))).write.option("header", True).csv(path)
     typed = captures.drop_bad_time(captures.to_typed(captures.read_packets(spark, path)))
     typed = typed.drop("capture_id").withColumnRenamed("pen", "capture")
     return windows.aggregate_windows(typed, key="capture", row_no="row_no")

@@ -23,6 +23,10 @@ def packets(spark: SparkSession, d: str) -> DataFrame:
     return adapter.packets(spark, d)
 
 
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    return adapter.lines_of(adapter.spread(packets(spark, d)))
+
+
 def windows_of(spark: SparkSession, d: str) -> DataFrame:
     return windows.aggregate_windows(packets(spark, d))
 
@@ -65,7 +69,7 @@ def aligned_packets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
-    return labels.control_to_spans(adapter.control_of(packets(spark, d)))
+    return stage(labels.control_to_spans(adapter.control_of(packets(spark, d))))
 
 
 def labelled_packets(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +119,7 @@ select capture_id, pkt_id, {_STATUS} as status, pkt_id % 10 in (3, 5) as truncat
  case when {_FULL} then gw_flip::varchar else '' end as gw_flip
 from packets where pkt_id % 10 <> 4""")
 def _(spark, d):
-    parsed = telemetry.parse_telemetry(adapter.lines_of(packets(spark, d)))
+    parsed = telemetry.parse_telemetry(text_lines(spark, d))
     return telemetry.accepted_lines(parsed).select(
         "capture_id", "pkt_id", "status", "truncated", "pen", "subtype", "rssi", "snr", "heap", "uptime", "pred_attack",
         "pred_raw", "calib_thr", "seq_jump", "win_pkts", "gw_mac", "gw_flip",
@@ -124,7 +128,7 @@ def _(spark, d):
 
 @query("reject_lines", "select capture_id, pkt_id, value as raw, 'cut before heap' as reason from lines where pkt_id % 10 = 4")
 def _(spark, d):
-    parsed = telemetry.parse_telemetry(adapter.lines_of(packets(spark, d)))
+    parsed = telemetry.parse_telemetry(text_lines(spark, d))
     return telemetry.reject_lines(parsed).select("capture_id", "pkt_id", "raw", "reason")
 
 
@@ -180,7 +184,7 @@ select p.capture_id, p.pkt_id,
  case when frame_len >= 24 then seq else 0 end as seq,
  case when frame_len >= 16 and deauth_tgt = 1 then 1 else 0 end as deauth_tgt from packets p""")
 def _(spark, d):
-    out = frames.decode_frames(adapter.frames_of(packets(spark, d)))
+    out = frames.decode_frames(adapter.frames_of(adapter.spread(packets(spark, d))))
     return out.select("capture_id", "pkt_id", "frame_type", "subtype", "dst_mac", "src_mac", F.col("seq").cast("bigint").alias("seq"), "deauth_tgt")
 
 

@@ -24,6 +24,8 @@ TUNING_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Window, aggregate and join over (capture, cell) share one exchange.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Building a plan of hundreds of columns is faster without a stack trace for each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
