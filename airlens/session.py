@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,13 +47,25 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings results depend on to a session made elsewhere."""
+    """Make a session made elsewhere ready: settings results depend on, and the package itself."""
     for key, value in REQUIRED_SQL_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    _ship_package(spark)
     return spark
 
 
+def _ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors once; their Python workers import it in pandas functions."""
+    context = spark.sparkContext
+    if getattr(context, "_airlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="airlens-code-"), "airlens_package")
+    context.addPyFile(shutil.make_archive(archive, "zip", root, "airlens"))
+    context._airlens_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the cluster's checkpoint folder.
 
