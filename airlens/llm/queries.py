@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlens.llm import simhash
+from airlens.llm import language, simhash
 from airlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     rows = simhash.groups(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    documents = _table(spark, sf_dir, "documents")
+    return language.predict(documents, language.fit(documents))
