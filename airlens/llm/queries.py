@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlens.llm import language, simhash
+from airlens.llm import language, quality, simhash
 from airlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     documents = _table(spark, sf_dir, "documents")
     return language.predict(documents, language.fit(documents))
+
+
+@_query
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    documents = _table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.fit(documents, _table(spark, sf_dir, "labels")))
