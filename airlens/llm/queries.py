@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlens.llm import language, quality, simhash
+from airlens.llm import language, pii, quality, simhash
 from airlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     documents = _table(spark, sf_dir, "documents")
     return quality.score(documents, quality.fit(documents, _table(spark, sf_dir, "labels")))
+
+
+@_query
+def op10_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, with the terms that disclose it."""
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
