@@ -140,14 +140,14 @@ def _near(taken: list[tuple[int, int]], start: int, end: int) -> list[tuple[int,
 
 
 _SCAN = (
-    "id long, mark long, spans array<struct<kind: int, start: int, stop: int>>, "
+    "id string, mark long, spans array<struct<kind: int, start: int, stop: int>>, "
     "beside array<struct<entity: string, term: string, shape: string, context: long, start: int, stop: int>>"
 )
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
     """Rows by id and a hash of id and text, so that rows without an id or with a repeated one find their own spans."""
-    return documents.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("mark"), "text")
+    return documents.select(F.col("doc_id").cast("string").alias("id"), F.xxhash64("doc_id", "text").alias("mark"), "text")
 
 
 def _filter_of(terms: DataFrame) -> np.ndarray:
@@ -267,7 +267,7 @@ def sanitise(documents: DataFrame) -> DataFrame:
     hits = hits.groupBy("id", "mark").agg(F.first("spans").alias("__spans"), F.first("terms").alias("__terms"))
     hits = hits.select(F.col("id").alias("__id"), F.col("mark").alias("__of"), "__spans", "__terms")
     rows = documents.withColumn("__mark", F.xxhash64("doc_id", "text"))
-    rows = rows.join(hits, (F.col("__mark") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    rows = rows.join(hits, (F.col("__mark") == F.col("__of")) & F.col("doc_id").cast("string").eqNullSafe(F.col("__id")), "left")
     new = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(pandas_udf(_replaced, "string")("text", "__spans", "__terms"))
     rows = rows.withColumn("__new", new)
     columns = {"text": F.col("__new"), "n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__new")) if "n_chars" in documents.columns else None}
@@ -286,7 +286,7 @@ def digest(found: DataFrame) -> DataFrame:
     terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start: int, stop: int, replacement: string>>")),
                         lambda t: F.concat_ws(":", F.lit(TERM), t["start"].cast("string"), t["stop"].cast("string")))
     return found.select(
-        F.col("id").alias("doc_id"), *by_kind, F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"),
+        F.col("id").cast("long").alias("doc_id"), *by_kind, F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"),
         F.concat_ws(",", F.concat(base, terms)).alias("spans"), F.size(terms).cast("long").alias("n_terms"),
     )
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlens.llm import language, pii, quality, simhash
-from airlens.session import prepare
+from airlens.llm import language, packing, pii, quality, simhash, token_store
+from airlens.session import prepare, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +54,17 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, with the terms that disclose it."""
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in a sequence of 2048 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op7_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document as read back from the written files."""
+    path = f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
+    token_store.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_documents(spark, path)
