@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlens.llm import language, packing, pii, quality, simhash, token_store
+from airlens.llm import language, packing, pii, quality, resharding, simhash, token_store
 from airlens.session import prepare, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+OLD_SHARDS = 16
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -68,3 +69,14 @@ def op7_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
     token_store.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_store.read_documents(spark, path)
+
+
+@_query
+def op6_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place when a layout of 16 shards by hash is made one of 24 with equal bytes."""
+    documents = _table(spark, sf_dir, "documents")
+    rows, layout = resharding.reshard(documents, resharding.by_hash(OLD_SHARDS))
+    narrow = rows.select("doc_id", resharding.size().alias("size"), resharding.text_crc32().alias("text_crc32"), "shard")
+    return resharding.slots(narrow, layout.rows).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard")
+    )
