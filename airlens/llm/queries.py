@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlens.llm import language, packing, pii, quality, resharding, simhash, token_store
+from airlens.llm import language, near_vectors, nearest, packing, pii, quality, resharding, simhash, token_store
 from airlens.session import prepare, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,34 @@ def op6_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.slots(narrow, layout.rows).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@_query
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and survivor of every vector."""
+    return near_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op4_near_vectors"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), usable AS (
+    SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+    SELECT a.vec_id AS u, b.vec_id AS w FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(u, m) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT link.u, reach.m FROM reach JOIN link ON reach.u = link.w
+), least AS (
+    SELECT u AS vec_id, min(m) AS component_id FROM reach GROUP BY u
+), counted AS (
+    SELECT u AS vec_id, count(*) AS n_links FROM link GROUP BY u
+)
+SELECT l.vec_id, CAST(coalesce(c.n_links, 0) AS BIGINT) AS n_links, l.component_id, l.vec_id = l.component_id AS kept
+FROM least l LEFT JOIN counted c USING (vec_id)
+"""
+
+
+@_query
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every vector whose id 20 divides."""
+    return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
