@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlens.llm import language, near_vectors, nearest, packing, pii, quality, resharding, simhash, token_store
+from airlens.llm import language, near_vectors, nearest, packing, pieces, pii, quality, resharding, simhash, token_store
 from airlens.session import prepare, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,9 @@ FROM least l LEFT JOIN counted c USING (vec_id)
 def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows found for every vector whose id 20 divides."""
     return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op3_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and what they decode to."""
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
