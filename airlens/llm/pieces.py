@@ -11,6 +11,7 @@ character, the stretches between blanks are independent, and a task remembers th
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from array import array
@@ -120,10 +121,16 @@ class PieceCoder:
         return "".join(out).replace(BLANK, " ").removeprefix(" ")
 
 
+@functools.cache
+def shared_coder(path: str) -> PieceCoder:
+    """The coder of this Python worker, which keeps its memory from task to task."""
+    return PieceCoder(path)
+
+
 def encode(documents: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids) of all whole texts. Null and empty texts have no ids; other columns are ignored."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = PieceCoder(model)
+        coder = shared_coder(model)
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [coder.encode(t) for t in frame["text"]]})
 
@@ -134,7 +141,7 @@ def encode(documents: DataFrame, model: str) -> DataFrame:
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) of ids; null ids give an empty text. U+2581 in a text comes back as a blank, as with the library."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = PieceCoder(model)
+        coder = shared_coder(model)
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "text": [coder.decode([] if i is None else i.tolist()) for i in frame["ids"]]})
 
@@ -148,7 +155,7 @@ def round_trip(documents: DataFrame, model: str) -> DataFrame:
     A null text has no ids and decodes to the empty text, which counts as the same.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = PieceCoder(model)
+        coder = shared_coder(model)
         for frame in frames:
             ids = [coder.encode(t) for t in frame["text"]]
             back = [coder.decode(i.tolist()) for i in ids]

@@ -184,7 +184,8 @@ def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
                 words = set(_TERM.findall(text or ""))
                 n.update({w.lower() for w in words if (known[w] if w in known else wanted(w))})
                 n.update({_shape(w) for w in words})
-            yield pd.DataFrame({"term": list(n), "n": list(n.values())})
+            if n:
+                yield pd.DataFrame({"term": list(n), "n": list(n.values())})
 
     return documents.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
