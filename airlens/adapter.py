@@ -144,15 +144,6 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out a table that comes in fewer pieces than there are cores, ahead of costly row work.
-
-    A small file is one scan task however many cores wait. Tables of many splits are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def packets_of(events: DataFrame) -> DataFrame:
     return _select(events, PACKET_EXPRS)
 

@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from airlens import schema as S
 
 
+# Fixed value: what counts as white space around a value.
+WHITE_SPACE = " \t\n\x0b\x0c\r"
+
+
+def strip(col: Column) -> Column:
+    """Text without white space at either end, line breaks included."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
+
+
 def to_float(col: Column, default: float = 0.0) -> Column:
     """Text to double; anything unreadable becomes ``default`` (P5)."""
-    text = F.trim(col.cast("string"))
+    text = strip(col.cast("string"))
     # Java reads "1d" and "2f" as numbers; such text is not a number here.
     readable = F.when(~text.rlike("[0-9.][dDfF]$"), text)
     return F.coalesce(readable.try_cast("double"), F.lit(default))
@@ -32,7 +41,7 @@ def rf_valid(rssi: Column) -> Column:
 
 def subtype_class(subtype: Column) -> Column:
     """Frame class counted in windows: beacon, deauth, probe, auth, other."""
-    s = F.trim(F.coalesce(subtype, F.lit("")))
+    s = strip(F.coalesce(subtype, F.lit("")))
     return (
         F.when(s == "BEACON", "beacon")
         .when(s.isin("DEAUTH", "DISASSOC"), "deauth")

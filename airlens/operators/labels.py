@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from airlens.functions.scalars import strip
 from airlens.operators.scan import cell_of
 
 SPAN_CELL_US = 10_000_000
@@ -12,8 +13,8 @@ SPAN_CELL_US = 10_000_000
 
 def parse_control(control: DataFrame) -> DataFrame:
     """Status and attack type of each message: JSON, or plain START/STOP."""
-    text = F.trim(F.col("payload"))
-    body = F.from_json(text, "status string, attack_type string", {"mode": "PERMISSIVE"})
+    text = strip(F.col("payload"))
+    body = F.from_json(text, "status string, attack_type string", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
     parsed = control.withColumn("_b", body)
     plain = text.isin("START", "STOP")
     return parsed.withColumns({

@@ -21,8 +21,8 @@ def folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
 
 
-def raw_text(p: DataFrame) -> DataFrame:
-    """Packets as the text columns of a capture file; ``pen`` keeps the capture number."""
+def raw_text(p: DataFrame, *more: str) -> DataFrame:
+    """Packets as the text columns of a capture file, and ``more``; ``pen`` keeps the capture number."""
     time = F.date_format(F.timestamp_micros("gen_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     given = {"pen": "capture_id", "uptime": "uptime_ms"}
     have = set(p.columns)
@@ -31,15 +31,18 @@ def raw_text(p: DataFrame) -> DataFrame:
         source = given.get(c, c)
         value = time if c == "timestamp" else F.col(source).cast("string") if source in have else F.lit(None).cast("string")
         cols.append(value.alias(c))
-    return p.select(*cols)
+    return p.select(*cols, *more)
 
 
 @query("read_packets", f"select capture_id::varchar as capture, window_us, {FEATURES}, gw_mac_flip, label, attack_type from windows")
 def _(spark, d):
     path = folder(spark)
-    raw_text(adapter.packets_of(spark.read.parquet(f"{d}/events.parquet"))).write.option("header", True).csv(path)
+    p = adapter.packets_of(spark.read.parquet(f"{d}/events.parquet")).withColumn("capture", F.col("capture_id").cast("string"))
+    # A folder for each capture, in it files for stretches of whole windows; names repeat from folder to folder.
+    ordered = p.repartition("capture", F.floor(F.col("gen_us") / (S.WINDOW_US * 10_000))).sortWithinPartitions("capture", "gen_us", "pkt_id")
+    raw_text(ordered, "capture").write.partitionBy("capture").option("header", True).csv(path)
     typed = captures.drop_bad_time(captures.to_typed(captures.read_packets(spark, path)))
-    typed = typed.drop("capture_id").withColumnRenamed("pen", "capture")
+    typed = typed.withColumn("capture", F.regexp_extract("capture_id", r"^capture=(.*)/[^/]+$", 1))
     return windows.aggregate_windows(typed, key="capture", row_no="row_no")
 
 

@@ -24,7 +24,7 @@ def packets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, d: str) -> DataFrame:
-    return adapter.lines_of(adapter.spread(packets(spark, d)))
+    return adapter.lines_of(packets(spark, d))
 
 
 def windows_of(spark: SparkSession, d: str) -> DataFrame:
@@ -134,19 +134,28 @@ def _(spark, d):
 
 @query("parse_control", "select capture_id, arrival_us, seq_no, status, kind as attack_type from messages")
 def _(spark, d):
-    return labels.parse_control(adapter.control_of(packets(spark, d))).select(
+    control = adapter.control_of(packets(spark, d))
+    ends = F.when(F.col("seq_no") % 3 == 0, "\r\n").when(F.col("seq_no") % 3 == 1, "\n").otherwise("")
+    return labels.parse_control(control.withColumn("payload", F.concat("payload", ends))).select(
         "capture_id", "arrival_us", "seq_no", "status", "attack_type"
     )
 
 
-@query("device_state", """
-select concat('02:00:00:00:01:0', capture_id) as host_mac, '11:22:33:44:55:66' as ap_bssid,
- arg_max((1 + pkt_id % 13)::varchar, arrival_us * 1000 + pkt_id % 1000) as channel, max(seen) as updated_us from (
- select *, max(arrival_us) over (partition by capture_id) as seen from packets where pkt_id % 10 not in (1, 3, 4, 5))
-where pkt_id % 10 <> 2 or true group by capture_id""")
+DEVICE_STATE_SQL = """
+select case when pkt_id % 10 in (1, 3, 5) then '' else concat('02:00:00:00:01:0', capture_id) end as host_mac,
+ arg_max(concat('10.0.', capture_id, '.', pkt_id % 250), sent_at) as source_ip,
+ arg_max('11:22:33:44:55:66', case when pkt_id % 10 not in (1, 2, 3, 5) then sent_at end) as ap_bssid,
+ arg_max((1 + pkt_id % 13)::varchar, case when pkt_id % 10 not in (1, 3, 5) then sent_at end) as channel, max(arrival_us) as updated_us
+from (select *, arrival_us::hugeint * 1000000000 + pkt_id as sent_at from packets where pkt_id % 10 <> 4) group by 1"""
+
+
+def addressed(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("source_ip", F.concat(F.lit("10.0."), F.col("capture_id").cast("string"), F.lit("."), (F.col("pkt_id") % 250).cast("string")))
+
+
+@query("device_state", DEVICE_STATE_SQL)
 def _(spark, d):
-    lines = adapter.lines_of(packets(spark, d).where("pkt_id % 10 not in (1, 3, 4, 5)"))
-    return captures.device_state(telemetry.accepted_lines(telemetry.parse_telemetry(lines)))
+    return captures.device_state(telemetry.accepted_lines(telemetry.parse_telemetry(addressed(text_lines(spark, d)))))
 
 
 # ---- scalar functions ----------------------------------------------------------------
@@ -184,7 +193,7 @@ select p.capture_id, p.pkt_id,
  case when frame_len >= 24 then seq else 0 end as seq,
  case when frame_len >= 16 and deauth_tgt = 1 then 1 else 0 end as deauth_tgt from packets p""")
 def _(spark, d):
-    out = frames.decode_frames(adapter.frames_of(adapter.spread(packets(spark, d))))
+    out = frames.decode_frames(adapter.frames_of(packets(spark, d)))
     return out.select("capture_id", "pkt_id", "frame_type", "subtype", "dst_mac", "src_mac", F.col("seq").cast("bigint").alias("seq"), "deauth_tgt")
 
 
@@ -342,13 +351,13 @@ def _(spark, d):
 select capture_id, src_mac, first_us, place from (
 select *, (row_number() over (partition by capture_id order by first_us, src_mac))::int as place from (
 select a.capture_id, p.src_mac, min(a.action_us) as first_us from actions a join ranked_packets p
- on a.capture_id = p.capture_id and a.action_us = p.window_us and p.rd = 1 group by 1, 2)) where place <= 4""")
+ on a.capture_id = p.capture_id and a.action_us = p.window_us and p.rd = 1 group by 1, 2)) where place <= 16""")
 def _(spark, d):
     place = F.struct("gen_us", "pkt_id")
     last = packets(spark, d).groupBy("capture_id", windows.window_of(F.col("gen_us"), S.WINDOW_US).alias("action_us")).agg(
         F.max_by("src_mac", place).alias("src_mac")
     )
-    return ordered.attacker_list(actions(spark, d).join(last, ["capture_id", "action_us"]), limit=4)
+    return ordered.attacker_list(actions(spark, d).join(last, ["capture_id", "action_us"]))
 
 
 # ---- aggregations --------------------------------------------------------------------

@@ -92,3 +92,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(os.path.join(path, "rdd"))
     return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data, in whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

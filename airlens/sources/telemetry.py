@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlens import schema as S
+from airlens.functions.scalars import strip
 
 # The telemetry block. Required values are non-empty except subtype.
 _BLOCK = (
@@ -50,7 +51,7 @@ def parse_telemetry(lines: DataFrame, value: str = "value") -> DataFrame:
     keys the last wins. What a strict line omits is empty; in a cut line missing text is empty
     and a missing number is "0".
     """
-    text = F.trim(F.col(value))
+    text = strip(F.col(value))
     # One-element generators keep later filters above the regular expressions, so that each
     # line is matched once.
     found = lines.select("*", F.explode(F.array(F.regexp_extract(text, _BLOCK, 0))).alias("_block"))

@@ -13,6 +13,7 @@ from airlens import schema as S
 from airlens.operators import labels
 from airlens.operators.rules import score_tree
 from airlens.operators.windows import finish_windows, packet_measures, per_type_aggs, per_window_aggs
+from airlens.session import remove
 from airlens.sources import captures, telemetry
 from airlens.streaming import state
 
@@ -105,23 +106,26 @@ def label_sink(read_control: Callable[[], DataFrame], path: str, key: str = "cap
 
 
 def device_state_sink(path: str, device: str = "host_mac") -> Callable[[DataFrame, int], None]:
-    """Merge a batch into the device table; version n holds the state after batch n."""
+    """Merge a batch into the device table; version n holds the state after batch n.
+
+    Every field keeps the time it was sent, so a batch that comes late doesn't undo newer values.
+    """
     def sink(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        new = captures.device_state(df, device)
+        new = captures.device_fields(df, device)
         if batch_id > 0:
-            new = new.unionByName(spark.read.parquet(f"{path}/version={batch_id - 1}"))
-            given = lambda c: F.max_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("updated_us"))).alias(c)
-            new = new.groupBy(device).agg(given("ap_bssid"), given("channel"), F.max("updated_us").alias("updated_us"))
+            new = captures.merge_device_fields(new.unionByName(spark.read.parquet(f"{path}/version={batch_id - 1}")), device)
         new.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        if batch_id > 1:  # the version before stays for a batch that is run again
+            remove(spark, f"{path}/version={batch_id - 2}")
 
     return sink
 
 
-def latest_device_state(spark: SparkSession, path: str) -> DataFrame:
+def latest_device_state(spark: SparkSession, path: str, device: str = "host_mac") -> DataFrame:
     versions = spark.read.parquet(path)
     newest = versions.agg(F.max("version").alias("v")).first()["v"]
-    return versions.where(F.col("version") == newest).drop("version")
+    return captures.device_values(versions.where(F.col("version") == newest).drop("version"), device)
 
 
 # ---- T4-T8 -----------------------------------------------------------------------------

@@ -12,9 +12,10 @@ from airlens import adapter
 from airlens import schema as S
 from airlens.operators.stage import stage
 from airlens.plans.oracle import CALIB_MS, FEATURES
-from airlens.plans.queries import ELASTIC_SQL, alert_windows, packets, quiet_windows
+from airlens.plans.queries import DEVICE_STATE_SQL, ELASTIC_SQL, addressed, alert_windows, packets, quiet_windows
 from airlens.plans.registry import query
 from airlens.session import shared_dir
+from airlens.sources import telemetry
 from airlens.streaming import jobs
 
 FAR_US = adapter.BASE_US * 2
@@ -143,13 +144,10 @@ def _(spark, d):
     return replayed(jobs.stream_throttle(table_stream(spark, alerts))).select("capture_id", "action_us")
 
 
-@query("stream_device_state", """
-select concat('02:00:00:00:01:0', capture_id) as host_mac, '11:22:33:44:55:66' as ap_bssid,
- arg_max((1 + pkt_id % 13)::varchar, arrival_us * 1000 + pkt_id % 1000) as channel, max(arrival_us) as updated_us
-from packets where pkt_id % 10 not in (1, 2, 3, 4, 5) group by capture_id""")
+@query("stream_device_state", DEVICE_STATE_SQL)
 def _(spark, d):
-    lines = adapter.lines_of(packet_stream(spark, d).where("pkt_id % 10 not in (1, 2, 3, 4, 5)"))
-    path = replay(jobs.stream_parse(lines), jobs.device_state_sink)
+    lines = addressed(adapter.lines_of(packet_stream(spark, d)))
+    path = replay(jobs.stream_parse(lines), lambda p: lambda df, n: jobs.device_state_sink(p)(telemetry.accepted_lines(df), n))
     return jobs.latest_device_state(spark, path)
 
 

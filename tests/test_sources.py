@@ -77,3 +77,56 @@ def test_adapter_text_is_shared():
     for table in (adapter.PACKET_EXPRS, adapter.CONTROL_EXPRS, adapter.LINE_EXPRS, adapter.FRAME_EXPRS):
         for expr in table.values():
             assert not re.search(r"::", expr), "only plain casts are read alike by both engines"
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for folder, rssi in (("a", -40), ("b", -50)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "cap.csv").write_text("timestamp,rssi\n" + "".join(f"2024-01-01T00:00:00.0{i}0000,{rssi}\n" for i in (1, 2)))
+    (tmp_path / "b" / "other.csv").write_text('"rssi",timestamp,"gw, mac"\n-60,2024-01-01T00:00:00.010000,"x, y"\n')
+    (tmp_path / "b" / "none.csv").write_text("rssi\n-1\n")
+    raw = captures.read_packets(spark, str(tmp_path))
+    assert {(r.capture_id, r["count"]) for r in raw.groupBy("capture_id").count().collect()} == {("a/cap", 2), ("b/cap", 2), ("b/other", 1)}
+    assert [r["gw, mac"] for r in raw.where("capture_id = 'b/other'").collect()] == ["x, y"]
+    got = windows.aggregate_windows(captures.drop_bad_time(captures.to_typed(raw)), row_no="row_no").collect()
+    assert {(r.capture_id, r.total_packets) for r in got} == {("a/cap", 2), ("b/cap", 2), ("b/other", 1)}
+    one = captures.read_packets(spark, str(tmp_path / "a" / "cap.csv"))
+    assert {r.capture_id for r in one.collect()} == {"cap"}
+
+
+def test_control_with_line_breaks(spark):
+    from airlens.operators import labels
+
+    rows = [(1, 10, 0, "START\n"), (1, 20, 1, "STOP\r\n"), (1, 30, 2, "{'status':'START'}"), (1, 40, 3, '\t{"status":"START"}\n')]
+    got = labels.parse_control(spark.createDataFrame(rows, "capture_id int, arrival_us long, seq_no int, payload string")).orderBy("seq_no").collect()
+    assert [(r.status, r.attack_type) for r in got] == [("START", "GENERIC_ATTACK"), ("STOP", None), (None, None), ("START", "UNKNOWN")]
+
+
+def test_device_state_over_batches_out_of_order(spark, tmp_path):
+    from airlens.streaming import jobs
+
+    schema = "host_mac string, source_ip string, ap_bssid string, channel string, arrival_us long, pkt_id long"
+    batches = [
+        [("d", "10.0.0.1", "ap1", "1", 100, 1), ("e", "10.0.0.9", "", "", 100, 1)],
+        [("d", "10.0.0.3", "", "3", 300, 3)],
+        [("d", "10.0.0.2", "ap2", "2", 200, 2), ("e", "10.0.0.8", "ap9", "", 50, 0)],
+    ]
+    sink = jobs.device_state_sink(str(tmp_path / "state"))
+    for n, rows in enumerate(batches):
+        sink(spark.createDataFrame(rows, schema), n)
+    got = {tuple(r) for r in jobs.latest_device_state(spark, str(tmp_path / "state")).collect()}
+    assert got == {("d", "10.0.0.3", "ap2", "3", 300), ("e", "10.0.0.9", "ap9", None, 100)}
+    everything = captures.device_state(spark.createDataFrame([r for b in batches for r in b], schema))
+    assert {tuple(r) for r in everything.collect()} == got
+    assert not (tmp_path / "state" / "version=0").exists()
+
+
+def test_staged_tables_go_with_their_run(spark):
+    from airlens.operators.stage import stage, staging
+
+    with staging(spark):
+        held = stage(spark.range(3))
+        files = held.inputFiles()
+        assert held.count() == 3
+    import os
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
