@@ -12,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from airlens import schema as S
 from airlens.operators import labels
 from airlens.operators.rules import score_tree
-from airlens.operators.windows import finish_windows, packet_measures, per_type_aggs, per_window_aggs
+from airlens.operators.windows import aggregate_windows, finish_windows, packet_measures, per_type_aggs, per_window_aggs, window_of
 from airlens.session import remove
 from airlens.sources import captures, telemetry
 from airlens.streaming import state
@@ -63,7 +63,9 @@ def stream_windows(packets: DataFrame, width_us: int = S.WINDOW_US, key: str = "
     """Feature windows live, each emitted once the watermark passes it.
 
     The same two passes as in batch, as chained event-time aggregations: state holds sums
-    per open window and attack type, never packets.
+    per open window and attack type, never packets. One watermark holds for all devices and
+    drops what comes behind it, so this form is for sources known to be in order within
+    ``late``; ``windows_sink`` takes lines in any order and from any clock.
     """
     width = f"{width_us} microseconds"
     p = packet_measures(packets, width_us, row_no).withColumn("gen_time", F.timestamp_micros("gen_us"))
@@ -72,6 +74,69 @@ def stream_windows(packets: DataFrame, width_us: int = S.WINDOW_US, key: str = "
     return finish_windows(folded.withColumn("window_us", F.unix_micros("_w2.start")), width_us, key)
 
 
+def windows_sink(
+    path: str, width_us: int = S.WINDOW_US, key: str = "capture_id", row_no: str = "pkt_id",
+    wait_us: int = 10_000_000, ahead_us: int = 5_000_000,
+) -> Callable[[DataFrame, int], None]:
+    """Feature windows live, losing no row.
+
+    A device's windows close when its own lines have arrived up to ``wait_us`` past their
+    end, so neither another device nor a clock that runs ahead closes them. Tables below
+    ``path``, one folder a batch:
+
+    * ``windows``: what has closed, by the batch aggregation;
+    * ``open``: packets of windows still open, which the next batch takes up;
+    * ``late``: packets whose window had closed before; ``fold_late`` works them in;
+    * ``ahead``: packets generated more than ``ahead_us`` after they arrived, a clock fault;
+    * ``frontier``: how far each device has come.
+    """
+    def sink(df: DataFrame, batch_id: int) -> None:
+        spark, at = df.sparkSession, lambda name, n: f"{path}/{name}/batch={n}"
+        ahead = F.coalesce(F.col("gen_us") > F.col("arrival_us") + ahead_us, F.lit(False))
+        write_batch(df.where(ahead), f"{path}/ahead", batch_id)
+        end = window_of(F.col("gen_us"), width_us) + width_us
+        known = f"{key} {dict(df.dtypes)[key]}, frontier_us long"
+        before = spark.read.schema(known).parquet(at("frontier", batch_id - 1)) if batch_id else spark.createDataFrame([], known)
+        sane = df.where(~ahead).join(before, key, "left").withColumn("_late", F.coalesce(end <= F.col("frontier_us"), F.lit(False))).drop("frontier_us")
+        write_batch(sane.where("_late").drop("_late"), f"{path}/late", batch_id)
+        come = df.where(~ahead).groupBy(key).agg((F.max("arrival_us") - wait_us).alias("frontier_us"))
+        write_batch(before.unionByName(come).groupBy(key).agg(F.max("frontier_us").alias("frontier_us")), f"{path}/frontier", batch_id)
+        held = sane.where(~F.col("_late")).drop("_late")
+        if batch_id:
+            held = held.unionByName(spark.read.schema(df.schema).parquet(at("open", batch_id - 1)))
+        now = spark.read.schema(known).parquet(at("frontier", batch_id))
+        held = held.join(now, key, "left").withColumn("_closed", F.coalesce(end <= F.col("frontier_us"), F.lit(False))).drop("frontier_us")
+        write_batch(held.where(~F.col("_closed")).drop("_closed"), f"{path}/open", batch_id)
+        write_batch(aggregate_windows(held.where("_closed").drop("_closed"), width_us, key, row_no), f"{path}/windows", batch_id)
+        if batch_id > 1:  # the batch before stays for one that is run again
+            for name in ("open", "frontier"):
+                remove(spark, at(name, batch_id - 2))
+
+    return sink
+
+
+def open_windows(spark: SparkSession, path: str, packets: DataFrame, width_us: int = S.WINDOW_US, key: str = "capture_id", row_no: str = "pkt_id") -> DataFrame:
+    """The windows that were still open after the last batch, as they stand; ``packets`` gives the columns."""
+    rows = spark.read.schema(f"{_fields(packets)}, batch long").parquet(f"{path}/open")
+    newest = rows.agg(F.max("batch")).first()[0]
+    return aggregate_windows(rows.where(F.col("batch") == F.lit(newest)).drop("batch"), width_us, key, row_no)
+
+
+def fold_late(windows: DataFrame, late: DataFrame, packets: DataFrame, width_us: int = S.WINDOW_US, key: str = "capture_id", row_no: str = "pkt_id") -> DataFrame:
+    """``windows`` with those that ``late`` packets belong to computed anew from ``packets``, the table of all that came."""
+    place = window_of(F.col("gen_us"), width_us)
+    concerned = late.select(key, place.alias("window_us")).distinct()
+    rows = packets.withColumn("window_us", place).join(concerned, [key, "window_us"], "left_semi").drop("window_us")
+    return windows.join(concerned, [key, "window_us"], "left_anti").unionByName(aggregate_windows(rows, width_us, key, row_no))
+
+
+def row_counts(spark: SparkSession, path: str, packets: DataFrame, key: str = "capture_id") -> DataFrame:
+    """Late rows and rows ahead of their arrival, per device."""
+    read = lambda name: spark.read.schema(f"{_fields(packets)}, batch long").parquet(f"{path}/{name}").select(key, F.lit(name).alias("_kind"))
+    of = lambda name: F.count(F.when(F.col("_kind") == name, 1)).alias(name)
+    return read("late").unionByName(read("ahead")).groupBy(key).agg(of("late"), of("ahead"))
+
+
 def stream_score(windows: DataFrame, tree: str = "deployed") -> DataFrame:
     """Raw decision of a fixed tree on each window (T10); feeds ``stream_calibration``."""
     return score_tree(windows, tree)

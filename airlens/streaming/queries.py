@@ -91,6 +91,48 @@ def _(spark, d):
     return replay_closed(packet_stream(spark, d), jobs.stream_windows)
 
 
+def in_batches(spark: SparkSession, df: DataFrame, batch: str, batches: int) -> DataFrame:
+    """A table as a stream of ``batches`` micro-batches by the number in ``batch``."""
+    path = folder(spark)
+    for k in range(batches):
+        df.where(F.col(batch) == k).drop(batch).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.drop(batch).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def disordered(spark: SparkSession, d: str) -> DataFrame:
+    """Packets in three batches: every third capture comes a batch and a minute late, and each capture has one row an hour ahead."""
+    p = packets(spark, d)
+    fault = p.where("pkt_id % 1000 = 0").withColumn("gen_us", F.col("gen_us") + 3_600_000_000)
+    late = F.col("capture_id") % 3 == 0
+    third = F.pmod(F.floor(F.col("pkt_id") / 1000), F.lit(3))  # stretches of each capture come out of order
+    both = p.unionByName(fault).withColumn("batch", third.cast("int"))
+    return both.withColumns({
+        "batch": F.when(late, F.least(F.col("batch") + 1, F.lit(2))).otherwise(F.col("batch")),
+        "arrival_us": F.when(late, F.col("arrival_us") + 60_000_000).otherwise(F.col("arrival_us")),
+    })
+
+
+def disordered_windows(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    rows = stage(disordered(spark, d))
+    path = replay(in_batches(spark, rows, "batch", 3), jobs.windows_sink)
+    return path, rows.drop("batch")
+
+
+@query("stream_windows_late", f"select capture_id, window_us, {FEATURES}, gw_mac_flip, label, attack_type from windows")
+def _(spark, d):
+    path, came = disordered_windows(spark, d)
+    closed = spark.read.parquet(f"{path}/windows").drop("batch").unionByName(jobs.open_windows(spark, path, came))
+    late = spark.read.schema(came.schema).parquet(f"{path}/late")
+    sane = came.where("gen_us <= arrival_us + 5000000")
+    return jobs.fold_late(closed, late, sane)
+
+
+@query("stream_row_counts", "select capture_id, count(*) filter (pkt_id % 1000 = 0) as ahead from packets group by 1 having count(*) filter (pkt_id % 1000 = 0) > 0")
+def _(spark, d):
+    path, came = disordered_windows(spark, d)
+    return jobs.row_counts(spark, path, came).where("ahead > 0").select("capture_id", "ahead")
+
+
 @query("stream_clock", "select capture_id, pkt_id, boot_id::bigint as boot_id, min_offset_us, aligned_us from aligned")
 def _(spark, d):
     slim = packet_stream(spark, d).select("capture_id", "pkt_id", "arrival_us", "uptime_ms")
