@@ -12,15 +12,9 @@ from airlens.plans.queries import quiet_windows, windows_of
 from airlens.plans.registry import query
 from airlens.plans.training import TrainingSet
 
-_SETS: dict[tuple[int, str, bool], TrainingSet] = {}
-
-
 def training_set(spark: SparkSession, d: str, quiet: bool = False) -> TrainingSet:
-    """The staged split of a table folder, made once per session."""
-    key = (id(spark.sparkContext), d, quiet)
-    if key not in _SETS:
-        _SETS[key] = TrainingSet.of(quiet_windows(spark, d) if quiet else windows_of(spark, d))
-    return _SETS[key]
+    """The staged split of a table folder."""
+    return TrainingSet.of(quiet_windows(spark, d) if quiet else windows_of(spark, d))
 
 
 def _scored(ts: TrainingSet, name: str, model) -> DataFrame:
@@ -126,3 +120,170 @@ def _(spark, d):
 @query("eval_report")
 def _(spark, d):
     return training.eval_report(training_set(spark, d))
+
+
+# ---- what SQL can state about a fit ------------------------------------------------------
+
+_CLASSES = "select '{}' as model, count(*) filter (label = 1) as n_pos, count(*) filter (label = 0) as n_neg, true as in_range from split where is_test"
+
+
+def _classes(table: DataFrame) -> DataFrame:
+    """Per model the classes its confusion cells add up to, and whether its rates lie between 0 and 1."""
+    rates = [F.col(c).between(0.0, 1.0) for c in ("precision", "recall", "f1", "fpr", "auc", "accuracy")]
+    within = rates[0]
+    for r in rates[1:]:
+        within = within & r
+    return table.select("model", (F.col("tp") + F.col("fn")).alias("n_pos"), (F.col("fp") + F.col("tn")).alias("n_neg"), within.alias("in_range"))
+
+
+@query("fit_tree_classes", _CLASSES.format("DecisionTree"))
+def _(spark, d):
+    ts = training_set(spark, d)
+    tree = training.model_tree(training.fit_tree(ts.train), S.WINDOW_FEATURES)
+    return _classes(training.evaluate(training.predict_trees(ts.test, {"DecisionTree": tree})))
+
+
+@query("fit_forest_classes", _CLASSES.format("RandomForest"))
+def _(spark, d):
+    ts = training_set(spark, d)
+    return _classes(_scored(ts, "RandomForest", training.fit_forest(ts.train)))
+
+
+@query("fit_boosted_classes", _CLASSES.format("GradientBoosted"))
+def _(spark, d):
+    ts = training_set(spark, d)
+    return _classes(_scored(ts, "GradientBoosted", training.fit_boosted(ts.train)))
+
+
+@query("distill_classes", _CLASSES.format("Distilled"))
+def _(spark, d):
+    ts = training_set(spark, d)
+    tree = training.model_tree(training.distill(ts), S.WINDOW_FEATURES)
+    return _classes(training.evaluate(training.predict_trees(ts.test, {"Distilled": tree})))
+
+
+@query("tree_to_sql_differences", "select count(*) as n, 0::bigint as differing from split where is_test")
+def _(spark, d):
+    """Test rows where the tree as an expression and the fitted model disagree."""
+    ts = training_set(spark, d)
+    model = training.fit_tree(ts.train)
+    both = training.predict(model, ts.test).withColumn("as_sql", training.tree_pred(training.model_tree(model, S.WINDOW_FEATURES)))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("pred") != F.col("as_sql"), 1)).alias("differing"))
+
+
+_ABLATED = ", ".join(f"('{n}')" for n in training.ABLATION_SETS)
+
+
+@query("feature_ablation_sums", f"select model, true as adds_up from (values {_ABLATED}) t(model)")
+def _(spark, d):
+    table = training.feature_ablation(training_set(spark, d))
+    full = table.where("model = 'full'").select(F.col("f1").alias("full_f1"), F.col("fpr").alias("full_fpr"))
+    adds_up = (F.abs(F.col("f1") + F.col("f1_lift_of_full") - F.col("full_f1")) < 1e-9) & (F.abs(F.col("fpr") - F.col("fpr_change") - F.col("full_fpr")) < 1e-9)
+    return table.join(F.broadcast(full)).select("model", adds_up.alias("adds_up"))  # one row
+
+
+def _fills_sql() -> str:
+    parts = [
+        f"select '{name}' as model, '{c}' as feature, round(coalesce(quantile_cont({c}::double, 0.5) filter (label = 0 and not is_test), 0), 6) as fill, 0.0::double as held_importance from split"
+        for name, columns in training.NEUTRAL_SETS.items() for c in columns
+    ]
+    return " union all ".join(parts)
+
+
+@query("neutralized_fills", _fills_sql())
+def _(spark, d):
+    """The constants columns are held at, and the importance those columns have left."""
+    table = training.neutralized_models(training_set(spark, d))
+    held = F.when(F.col("model") == "no-heap", F.col("heap_importance")).when(F.col("model") == "nids-only", F.col("host_importance")).otherwise(
+        F.col("host_importance") + F.col("rf_soft_importance")
+    )
+    return table.select("model", F.explode("fills").alias("feature", "fill"), held.alias("held_importance")).withColumn("fill", F.round("fill", 6))
+
+
+@query("feature_importance_sums", "select model, 1.0::double as importance from (values ('full'), ('wireless_only')) t(model)")
+def _(spark, d):
+    return training.feature_importance(training_set(spark, d)).groupBy("model").agg(F.round(F.sum("importance"), 9).alias("importance"))
+
+
+@query("grid_search_rows", f"""
+select max_depth::int as max_depth, min_leaf::int as min_leaf, 1::bigint as n_best, true as in_range
+from (select unnest({list(training.DEPTHS)}) as max_depth), (select unnest({list(training.LEAVES)}) as min_leaf)""")
+def _(spark, d):
+    table = training.grid_search(training_set(spark, d))
+    best = table.agg(F.count(F.when(F.col("is_best"), 1)).alias("n_best"))
+    return table.join(F.broadcast(best)).select("max_depth", "min_leaf", "n_best", F.col("mean_cv_f1").between(0.0, 1.0).alias("in_range"))  # one row
+
+
+_MODELS = ", ".join(f"('{m}')" for m in training.MODEL_ORDER)
+
+
+@query("eval_report_classes", f"""
+select model, n_pos::double as n_pos, n_neg::double as n_neg, 1::bigint as n_best from (values {_MODELS}) t(model),
+ (select count(*) filter (label = 1) as n_pos, count(*) filter (label = 0) as n_neg from split where is_test)""")
+def _(spark, d):
+    table = training.eval_report(training_set(spark, d)).where("section = 'metric'")
+    of = lambda *names: F.sum(F.when(F.col("name").isin(*names), F.col("value")))
+    per = table.groupBy("model").agg(of("tp", "fn").alias("n_pos"), of("fp", "tn").alias("n_neg"), F.max(F.col("is_best").cast("int")).alias("best"))
+    best = per.agg(F.sum("best").alias("n_best"))
+    return per.join(F.broadcast(best)).select("model", "n_pos", "n_neg", "n_best")  # one row
+
+
+def _near(value, digits: int = 6):
+    return F.round(value, digits) + F.lit(0.0)  # no negative zero
+
+
+@query("pca_moments", """
+select count(*) as n, 0.0::double as mean_pc1, 0.0::double as mean_pc2, 0.0::double as covariance, true as ordered from split where not is_test""")
+def _(spark, d):
+    """Scores of the training rows are centred, uncorrelated and in falling order of variance."""
+    ts = training_set(spark, d)
+    scores = projections.pca_report(ts.train, ts.train, S.WINDOW_FEATURES, components=2)[1]
+    return scores.agg(
+        F.count(F.lit(1)).alias("n"), _near(F.avg("pc1")).alias("mean_pc1"), _near(F.avg("pc2")).alias("mean_pc2"),
+        _near(F.covar_pop("pc1", "pc2")).alias("covariance"), (F.var_pop("pc1") >= F.var_pop("pc2")).alias("ordered"),
+    )
+
+
+def _discriminant(scored: DataFrame, by: str, axes: list[str]) -> DataFrame:
+    """Overall mean and pooled variance within classes of each discriminant, by class sums."""
+    groups = scored.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(f"m_{a}") for a in axes], *[F.var_pop(a).alias(f"v_{a}") for a in axes])
+    total, classes = F.sum("n"), F.count(F.lit(1))
+    out = [total.alias("n"), classes.alias("n_classes")]
+    for a in axes:
+        out += [_near(F.sum(F.col(f"m_{a}") * F.col("n")) / total).alias(f"mean_{a}"), _near(F.sum(F.col(f"v_{a}") * F.col("n")) / (total - classes)).alias(f"within_{a}")]
+    return groups.agg(*out)
+
+
+@query("lda_binary_moments", "select count(*) as n, 2::bigint as n_classes, 0.0::double as mean_ld1, 1.0::double as within_ld1 from split where not is_test")
+def _(spark, d):
+    ts = training_set(spark, d)
+    return _discriminant(projections.lda_binary(ts.train, ts.train, S.WINDOW_FEATURES)[1], "label", ["ld1"])
+
+
+_TWO_AXES = "0.0::double as mean_ld1, 1.0::double as within_ld1, 0.0::double as mean_ld2, 1.0::double as within_ld2"
+
+
+@query("lda_multiclass_moments", f"select count(*) as n, count(distinct attack_type) as n_classes, {_TWO_AXES} from split")
+def _(spark, d):
+    ts = training_set(spark, d)
+    return _discriminant(projections.lda_multiclass(ts.train, ts.rows, S.WINDOW_FEATURES, "attack_type")[1], "attack_type", ["ld1", "ld2"])
+
+
+@query("lda_embeddings_moments", f"select count(*) as n, count(distinct label) as n_classes, {_TWO_AXES} from embeddings")
+def _(spark, d):
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet")
+    names = [f"e{i}" for i in range(64)]
+    wide = vectors.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return _discriminant(projections.lda_multiclass(wide, wide, names, "label")[1], "label", ["ld1", "ld2"])
+
+
+@query("dual_expert_overlap", "select true as adds_up, 4::bigint as n_models, 1::bigint as n_sizes")
+def _(spark, d):
+    """The four models see the same busy rows, and the overlap cells lie within the test rows."""
+    table = training.dual_expert_eval(training_set(spark, d, quiet=True))
+    cell = lambda name: F.sum(F.when((F.col("section") == "overlap") & (F.col("name") == name), F.col("value")))
+    busy = F.when((F.col("section") == "busy") & (F.col("name") == "n"), F.col("value"))
+    return table.agg(
+        (cell("both_attack") + cell("only_w") + cell("only_h") <= cell("n")).alias("adds_up"),
+        F.count_distinct(F.when(F.col("section") == "metric", F.col("model"))).alias("n_models"), F.count_distinct(busy).alias("n_sizes"),
+    )
