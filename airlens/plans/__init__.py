@@ -6,7 +6,7 @@ import importlib.util
 
 # The modules that register queries; the training and streaming ones come after the batch ones.
 _MODULES = (
-    "airlens.plans.queries", "airlens.plans.file_queries", "airlens.plans.training_queries", "airlens.streaming.queries",
+    "airlens.plans.queries", "airlens.plans.file_queries", "airlens.plans.boot_queries", "airlens.plans.training_queries", "airlens.streaming.queries",
 )
 
 

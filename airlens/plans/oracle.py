@@ -162,20 +162,21 @@ def _needs(sql: str) -> list[str]:
     return [n for n in CTES if re.search(rf"\b(?:from|join)\s+{n}\b", sql)]
 
 
-def with_ctes(body: str) -> str:
-    """``body`` with the table expressions it uses, in order of dependence."""
+def with_ctes(body: str, changed: dict[str, str] | None = None) -> str:
+    """``body`` with the table expressions it uses, in order of dependence; ``changed`` ones take their place."""
     order: list[str] = []
+    ctes = {**CTES, **(changed or {})}
 
     def visit(name: str) -> None:
         if name in order:
             return
-        for dep in _needs(CTES[name]):
+        for dep in _needs(ctes[name]):
             if dep != name:
                 visit(dep)
         order.append(name)
 
     for name in _needs(body):
         visit(name)
-    parts = ", ".join(f"{n} as ({CTES[n].strip()})" for n in order)
+    parts = ", ".join(f"{n} as ({ctes[n].strip()})" for n in order)
     recursive = "recursive " if {"starts", "actions"} & set(order) else ""
     return f"with {recursive}{parts} {body.strip()}" if order else body.strip()

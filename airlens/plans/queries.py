@@ -33,8 +33,12 @@ def windows_of(spark: SparkSession, d: str) -> DataFrame:
 
 def quiet_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows whose first seconds are idle, so that calibration has something to learn."""
+    return quiet(windows_of(spark, d))
+
+
+def quiet(rows: DataFrame) -> DataFrame:
     early = F.col("window_us") < QUIET_US
-    return windows_of(spark, d).withColumns({
+    return rows.withColumns({
         "label": F.when(early, 0).otherwise(F.col("label")),
         "attack_type": F.when(early, "NONE").otherwise(F.col("attack_type")),
     })

@@ -11,8 +11,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query; ``sql`` may use the table expressions of ``oracle``."""
+def query(name: str, sql: str | None = None, changed: dict[str, str] | None = None) -> Callable[[Query], Query]:
+    """Register a query; ``sql`` may use the table expressions of ``oracle``, some of them ``changed``."""
     from airlens.plans.oracle import with_ctes
     from airlens.session import prepare
 
@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_ctes(sql)
+            ORACLES[name] = with_ctes(sql, changed)
         return fn
 
     return add
