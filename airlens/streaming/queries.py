@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from airlens import adapter
 from airlens import schema as S
+from airlens.operators import windows
 from airlens.operators.stage import stage
 from airlens.plans.oracle import CALIB_MS, FEATURES
 from airlens.plans.queries import DEVICE_STATE_SQL, ELASTIC_SQL, addressed, alert_windows, packets, quiet_windows
@@ -133,6 +134,40 @@ def _(spark, d):
     return jobs.row_counts(spark, path, came).where("ahead > 0").select("capture_id", "ahead")
 
 
+def live_actions(spark: SparkSession, d: str, rounds: int = 3) -> DataFrame:
+    """Packets to windows to alerts to actions, each a stream that reads what the one before has written.
+
+    Packets come in ``rounds`` rounds; in each round every stream takes up what is new. At
+    the end the windows still open are written as they stand, and the round is run once more.
+    """
+    p = stage(packets(spark, d))
+    source, out = folder(spark), folder(spark)
+    size = p.agg(F.max("pkt_id")).first()[0] + 1
+    made = windows.aggregate_windows(p.limit(0)).schema
+
+    def chain() -> None:
+        w = spark.readStream.schema(made).parquet(f"{out}/t2/windows/batch=*")
+        alerts = jobs.stream_calibration(jobs.stream_score(w), calib_ms=CALIB_MS)
+        jobs.start(alerts, jobs.to_table(f"{out}/t5"), f"{out}/t5-checkpoint").awaitTermination()
+        mac = F.concat(F.lit("02:00:00:00:00:"), (F.col("window_us") / 100000 % 40).cast("int").cast("string")).alias("src_mac")
+        latched = spark.readStream.schema(alerts.schema).parquet(f"{out}/t5/batch=*").where("alert = 1").select("capture_id", "window_us", mac)
+        jobs.start(jobs.stream_throttle(latched), jobs.to_table(f"{out}/t8"), f"{out}/t8-checkpoint").awaitTermination()
+
+    for k in range(rounds):
+        part = p.where((F.col("pkt_id") >= size * k // rounds) & (F.col("pkt_id") < size * (k + 1) // rounds))
+        part.write.mode("append").parquet(source)
+        jobs.start(spark.readStream.schema(p.schema).parquet(source), jobs.windows_sink(f"{out}/t2"), f"{out}/t2-checkpoint").awaitTermination()
+        chain()
+    jobs.write_batch(jobs.open_windows(spark, f"{out}/t2", p), f"{out}/t2/windows", rounds)
+    chain()
+    return spark.read.parquet(f"{out}/t8")
+
+
+@query("stream_alerts", "select capture_id, action_us from actions")
+def _(spark, d):
+    return live_actions(spark, d).select("capture_id", "action_us")
+
+
 @query("stream_clock", "select capture_id, pkt_id, boot_id::bigint as boot_id, min_offset_us, aligned_us from aligned")
 def _(spark, d):
     slim = packet_stream(spark, d).select("capture_id", "pkt_id", "arrival_us", "uptime_ms")
