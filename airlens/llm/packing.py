@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlens.llm.ranks import bins_for, in_bins, ranked
-from airlens.llm.word_ids import WordCoder
+from airlens.llm.word_ids import shared_coder
 from airlens.operators.stage import stage
 
 CAPACITY = 2048
@@ -40,7 +40,7 @@ def cut(ids: np.ndarray, capacity: int = CAPACITY) -> Iterator[tuple[int, int, b
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of all whole texts; a null text has the end id only."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = WordCoder(tokenizer, spaces_dropped=True)
+        coder = shared_coder(tokenizer, spaces_dropped=True)
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airlens.llm.word_ids import WordCoder
+from airlens.llm.word_ids import shared_coder
 
 END = 2  # id that ends a document
 SEGMENT = 1 << 18  # ids from which a segment is closed
@@ -148,7 +148,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, segment: int = SEGMEN
     text. Ranges of ids are dealt out before texts are encoded, so each is encoded once.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, part = WordCoder(tokenizer, spaces_dropped=False), TaskContext.get().partitionId()
+        coder, part = shared_coder(tokenizer, spaces_dropped=False), TaskContext.get().partitionId()
         names, arrays, held, before, number = [], [], 0, 0, 0
 
         def closed() -> pd.DataFrame:

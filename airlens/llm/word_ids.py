@@ -1,11 +1,12 @@
-"""Ids of whole texts by the tokenizers library, each distinct word encoded once per task.
+"""Ids of whole texts by the tokenizers library, with the ids of words a task has met before.
 
 Both vocabularies split texts into words before merging, so the ids of a text are those of
-its words one after the other. A task remembers the ids of the words it has met.
+its words one after the other. A Python worker remembers the ids of the words it has met.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from array import array
@@ -13,11 +14,34 @@ from collections.abc import Iterator
 
 import numpy as np
 
-REMEMBERED = 1_000_000  # words a task remembers; it forgets all and starts anew beyond
+REMEMBERED = 500_000  # words of a generation; a worker keeps the present and the last one
 LONG_WORD = 48  # longer ones are encoded but not remembered
 BLOCK = 1 << 20  # characters encoded at once
 
 
+class Memory:
+    """Ids of words in two generations: words in use move to the new one, the others go with the old."""
+
+    def __init__(self, limit: int = REMEMBERED) -> None:
+        self._limit = limit
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self.get = self._new.get
+
+    def find(self, word: str) -> bytes | None:
+        ids = self._new.get(word)
+        if ids is None and (ids := self._old.get(word)) is not None:
+            self.put(word, ids)
+        return ids
+
+    def put(self, word: str, ids: bytes) -> None:
+        if len(word) <= LONG_WORD:
+            if len(self._new) >= self._limit:
+                self._old, self._new = self._new, {}
+                self.get = self._new.get
+            self._new[word] = ids
+
+
 class WordCoder:
     """Encodes texts with one tokenizers file.
 
@@ -33,7 +57,9 @@ class WordCoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._dropped = spaces_dropped
-        self._known: dict[str, bytes] = {}
+        # Words with nothing before them, and words with a blank; the same where blanks are dropped.
+        self._bare = Memory()
+        self._spaced = self._bare if spaces_dropped else Memory()
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text as little-endian unsigned 32-bit integers; a null text is empty."""
@@ -43,55 +69,75 @@ class WordCoder:
 
     def _block(self, text: str) -> bytes:
         if self._dropped:
-            words, safe = text.replace("\n", " ").split(" "), True
-        else:
-            words, safe = text.split(" "), not _RUN.search(text)
-            words[1:] = [" " + w for w in words[1:]]
-            words = words if safe else _joined(words)
-        known = self._known
-        parts = list(map(known.get, words)) if safe else [None] * len(words)
-        at = [i for i, p in enumerate(parts) if p is None]
-        if at:
-            found = self._fresh(dict.fromkeys([words[i] for i in at]), safe)
+            return b"".join(self._words(text.replace("\n", " ").split(" "), self._bare))
+        if _RUN.search(text):
+            return b"".join(self._library(_joined(text)))
+        first, *rest = text.split(" ")
+        return b"".join([self._alone(first), *self._words(rest, self._spaced)])
+
+    def _library(self, words: list[str]) -> list[bytes]:
+        return [array("I", found.ids).tobytes() for found in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _alone(self, word: str) -> bytes:
+        return self._words([word], self._bare)[0]
+
+    def _words(self, words: list[str], memory: Memory) -> list[bytes]:
+        parts = list(map(memory.get, words))
+        if None in parts:
+            at = [i for i, ids in enumerate(parts) if ids is None]
+            found = self._fresh(dict.fromkeys([words[i] for i in at]), memory)
             for i in at:
                 parts[i] = found[words[i]]
-        return b"".join(parts)
-
-    def _fresh(self, words: dict[str, None], keep: bool) -> dict[str, bytes]:
-        """Ids of words not in memory; a mark at the end of a word is a word of its own to both vocabularies."""
-        known = self._known
-        if len(known) > REMEMBERED:
-            known.clear()
-        ends = {w: m.span(2) for w in words if (m := _MARKED.fullmatch(w))} if keep else {}
-        stems = {w[:ends[w][0]] if w in ends else w for w in words} | {w[a:] for w, (a, _) in ends.items()}
-        found = {w: ids for w in stems if (ids := known.get(w)) is not None} if keep else {}
-        todo = [w for w in stems if w not in found]
-        for word, coded in zip(todo, self._tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            found[word] = array("I", coded.ids).tobytes()
-        for w, (a, _) in ends.items():
-            found[w] = found[w[:a]] + found[w[a:]]
-        if keep:
-            known.update((w, ids) for w, ids in found.items() if len(w) <= LONG_WORD and "\n" not in w)
+        return parts
+
+    def _fresh(self, words: dict[str, None], memory: Memory) -> dict[str, bytes]:
+        """Ids of words not at hand.
+
+        Marks at the end of a word, and a line break between visible characters, are words of
+        their own to both vocabularies, so what stands before and after is looked up alone.
+        """
+        found = {w: ids for w in words if (ids := memory.find(w)) is not None}
+        cut = {}
+        for w in words:
+            if w not in found:
+                cut[w] = [x for x in _BREAK.split(w) if x] if "\n" in w else list(m.groups()) if (m := _MARKED.fullmatch(w)) else [w]
+        heads = {parts[0]: memory.find(parts[0]) for parts in cut.values()}
+        tails = {x: self._bare.find(x) for parts in cut.values() for x in parts[1:]}
+        before = "" if memory is self._bare else " "
+        for known, owner, space in ((heads, memory, before), (tails, self._bare, "")):
+            new = [w for w, ids in known.items() if ids is None]
+            if new:
+                for w, ids in zip(new, self._library([space + w for w in new]), strict=True):
+                    known[w] = ids
+                    owner.put(w, ids)
+        for w, parts in cut.items():
+            found[w] = heads[parts[0]] + b"".join([tails[x] for x in parts[1:]])
+            if len(parts) == 2 and "\n" not in w:
+                memory.put(w, found[w])
         return found
 
 
-# A visible character to every definition of white space: printable ASCII, or a letter, digit or underscore.
-_VISIBLE = re.compile(r"[!-~\w]")
-# A blank that is not between two visible characters.
-_RUN = re.compile(r"(?:^|[^!-~\w]) | (?:$|[^!-~\w])")
-# A word that ends in marks after an ASCII letter.
-_MARKED = re.compile(r"(.*[A-Za-z])([.,;:!?|&%$#*)]+)")
+@functools.cache
+def shared_coder(path: str, spaces_dropped: bool) -> WordCoder:
+    """The coder of this Python worker, which keeps its memory from task to task."""
+    return WordCoder(path, spaces_dropped)
 
 
-def _joined(words: list[str]) -> list[str]:
-    """Words split at blanks, put together again where the blank is not between two visible characters."""
-    out = [words[0]]
-    for word in words[1:]:
-        if len(word) > 1 and _VISIBLE.match(word[1]) and out[-1] and _VISIBLE.match(out[-1][-1]):
-            out.append(word)
-        else:
-            out[-1] += word
-    return out
+# Visible to every definition of white space: printable ASCII, or a letter, digit or underscore. Below: a blank
+# that is not between two visible characters; a line break that is; marks that end a word after a letter.
+_RUN = re.compile(r" (?:(?![!-~\w])|(?<![!-~\w] ))")
+_BREAK = re.compile(r"(?<=[!-~\w])(\n)(?=[!-~\w])")
+_MARKED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?|&%$#*)]+)")
+_CUT = re.compile(r"[!-~\w](?= [!-~\w])")
+
+
+def _joined(text: str) -> list[str]:
+    """Stretches of a text, cut before every blank between two visible characters."""
+    out, at = [], 0
+    for m in _CUT.finditer(text):
+        out.append(text[at:m.end()])
+        at = m.end()
+    return [*out, text[at:]]
 
 
 def _blocks(text: str) -> Iterator[str]:
@@ -101,9 +147,6 @@ def _blocks(text: str) -> Iterator[str]:
         cut = _CUT.search(text, at + BLOCK - 1)
         if cut is None:
             break
-        yield text[at:cut.start() + 1]
-        at = cut.start() + 1
+        yield text[at:cut.end()]
+        at = cut.end()
     yield text[at:]
-
-
-_CUT = re.compile(r"[!-~\w](?= [!-~\w])")
