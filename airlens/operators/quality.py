@@ -80,6 +80,18 @@ def feature_stats(windows: DataFrame, features: tuple[str, ...] = S.WINDOW_FEATU
     return stats.drop("_n").join(spread, "feature").join(medians, "feature")
 
 
+def type_counts(windows: DataFrame) -> DataFrame:
+    """Windows of every type, NONE included."""
+    return windows.groupBy("attack_type").agg(F.count(F.lit(1)).alias("n_windows"))
+
+
+def cleaning_counts(prepared: DataFrame) -> DataFrame:
+    """How many windows had an impossible signal mean, and how many of those mirrored it."""
+    return prepared.agg(
+        F.count(F.lit(1)).alias("n_windows"), F.count(F.when(F.col("rf_bad"), 1)).alias("n_rf_bad"), F.count(F.when(F.col("rf_mirror"), 1)).alias("n_rf_mirror")
+    )
+
+
 def dataset_summary(windows: DataFrame) -> DataFrame:
     """Size, time range, density spread, commonest total and warnings of a set."""
     windows = stage(windows.select("label", "window_us", "total_packets", "packet_density", "minheap"))

@@ -91,6 +91,33 @@ def _(spark, d):
     return captures.latest_capture(windows_of(spark, d)).select("capture_id", "window_us", "label", "attack_type", *S.WINDOW_FEATURES)
 
 
+def disturbed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows as text, some with impossible signal means, without one feature."""
+    shift = F.when(F.col("window_us") % 300000 == 0, 100.0).otherwise(0.0)
+    mirrored = F.when(F.col("window_us") % 600000 == 0, F.col("rssi_mean") + 100.0).otherwise(F.col("snr_mean"))
+    text = windows_of(spark, d).withColumns({"rssi_mean": F.col("rssi_mean") + shift, "snr_mean": mirrored})
+    return text.drop("backlog").withColumns({c: F.col(c).cast("string") for c in S.WINDOW_FEATURES if c != "backlog"})
+
+
+@query("cleaning_counts", """
+select count(*) as n_windows, count(*) filter (bad) as n_rf_bad, count(*) filter (bad and abs(snr_mean - rssi_mean) <= 1e-6) as n_rf_mirror
+from (select *, rssi_mean > 0 or rssi_mean < -100 as bad from (
+select rssi_mean + case when window_us % 300000 = 0 then 100 else 0 end as rssi_mean, case when window_us % 600000 = 0 then rssi_mean + 100 else snr_mean end as snr_mean from windows))""")
+def _(spark, d):
+    return quality.cleaning_counts(captures.prepare_windows(disturbed_windows(spark, d)))
+
+
+@query("default_attack_type", "select capture_id, window_us, label, 'NONE' as attack_type from windows")
+def _(spark, d):
+    """Windows of a set without the column."""
+    return captures.prepare_windows(windows_of(spark, d).drop("attack_type")).select("capture_id", "window_us", "label", "attack_type")
+
+
+@query("type_counts", "select attack_type, count(*) as n_windows from windows group by 1")
+def _(spark, d):
+    return quality.type_counts(windows_of(spark, d))
+
+
 @query("prepare_windows", f"""
 select capture_id, window_us, label, attack_type, {", ".join(f for f in S.WINDOW_FEATURES if f not in ("rssi_mean", "rssi_var", "snr_mean", "backlog"))},
  0::double as backlog, rssi_mean > 0 or rssi_mean < -100 as rf_bad,
@@ -100,10 +127,7 @@ select capture_id, window_us, label, attack_type, {", ".join(f for f in S.WINDOW
 from (select * replace (rssi_mean + case when window_us % 300000 = 0 then 100 else 0 end as rssi_mean,
  case when window_us % 600000 = 0 then rssi_mean + 100 else snr_mean end as snr_mean) from windows)""")
 def _(spark, d):
-    shift = F.when(F.col("window_us") % 300000 == 0, 100.0).otherwise(0.0)
-    mirrored = F.when(F.col("window_us") % 600000 == 0, F.col("rssi_mean") + 100.0).otherwise(F.col("snr_mean"))
-    text = windows_of(spark, d).withColumns({"rssi_mean": F.col("rssi_mean") + shift, "snr_mean": mirrored})
-    text = text.drop("backlog").withColumns({c: F.col(c).cast("string") for c in S.WINDOW_FEATURES if c != "backlog"})
+    text = disturbed_windows(spark, d)
     return captures.prepare_windows(text).select("capture_id", "window_us", "label", "attack_type", *S.WINDOW_FEATURES, "rf_bad")
 
 
@@ -120,13 +144,20 @@ select capture_id, pkt_id, {_STATUS} as status, pkt_id % 10 in (3, 5) as truncat
  case when {_FULL} then seq_jump::varchar when pkt_id % 10 in (3, 5) then '0' else '' end as seq_jump,
  case when {_FULL} then (1 + pkt_id % 30)::varchar else '' end as win_pkts,
  case when {_FULL} or pkt_id % 10 = 2 then gw_mac else '' end as gw_mac,
- case when {_FULL} then gw_flip::varchar else '' end as gw_flip
+ case when {_FULL} then gw_flip::varchar else '' end as gw_flip,
+ (pkt_id % 9000)::varchar as ipat, seq::varchar as seq, '0' as dropped,
+ {", ".join(f"case when pkt_id % 10 in (3, 5) then '0' else {c}::varchar end as {c}" for c in ("minheap", "reconn", "qpeak", "udpfail", "backlog"))},
+ case when {_FULL} or pkt_id % 10 = 2 then concat('02:00:00:00:01:0', capture_id) else '' end as host_mac,
+ case when {_FULL} then deauth_tgt::varchar when pkt_id % 10 in (3, 5) then '0' else '' end as deauth_tgt,
+ case when {_FULL} then '11:22:33:44:55:66' else '' end as ap_bssid, case when {_FULL} or pkt_id % 10 = 2 then (1 + pkt_id % 13)::varchar else '' end as channel,
+ case when {_FULL} then ((1 + pkt_id % 30) * 10)::varchar else '' end as win_dens, case when {_FULL} then 'ARMED' else '' end as calib
 from packets where pkt_id % 10 <> 4""")
 def _(spark, d):
     parsed = telemetry.parse_telemetry(text_lines(spark, d))
     return telemetry.accepted_lines(parsed).select(
         "capture_id", "pkt_id", "status", "truncated", "pen", "subtype", "rssi", "snr", "heap", "uptime", "pred_attack",
-        "pred_raw", "calib_thr", "seq_jump", "win_pkts", "gw_mac", "gw_flip",
+        "pred_raw", "calib_thr", "seq_jump", "win_pkts", "gw_mac", "gw_flip", "ipat", "seq", "dropped", "minheap", "reconn", "qpeak",
+        "udpfail", "backlog", "host_mac", "deauth_tgt", "ap_bssid", "channel", "win_dens", "calib",
     )
 
 
@@ -663,14 +694,14 @@ def _(spark, d):
 
 @query("stratified_split", "select capture_id, window_us, label, is_test from split")
 def _(spark, d):
-    return split.stratified_split(windows_of(spark, d)).select("capture_id", "window_us", "label", "is_test")
+    return split.stratified_split(stage(windows_of(spark, d))).select("capture_id", "window_us", "label", "is_test")
 
 
 @query("stratified_folds", """
 select capture_id, window_us, label, case when k <= floor(n / 3.0::double + 0.5) then 0 when k <= floor(n * 2 / 3.0::double + 0.5) then 1 else 2 end as fold from (
 select *, row_number() over (partition by label order by h) as k, count(*) over (partition by label) as n from split)""")
 def _(spark, d):
-    return split.stratified_folds(windows_of(spark, d)).select("capture_id", "window_us", "label", "fold")
+    return split.stratified_folds(stage(windows_of(spark, d))).select("capture_id", "window_us", "label", "fold")
 
 
 @query("balanced_weights", "select capture_id, window_us, label, count(*) over () / (2.0::double * count(*) over (partition by label)) as weight from windows")

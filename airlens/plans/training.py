@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from airlens import schema as S
 from airlens.functions.trees import tree_from_model, tree_node_rows, tree_pred, tree_prob, tree_rules
-from airlens.operators import metrics, ordered, rules
+from airlens.operators import metrics, ordered, quality, rules
 from airlens.operators.stage import stage
+from airlens.plans import projections
 from airlens.plans.split import (
     NEUTRAL_SETS, SEED, balanced_weights, join_fills, neutralize, stratified_folds, stratified_split,
 )
@@ -248,17 +250,25 @@ def grid_search(ts: TrainingSet, depths: Sequence[int] = DEPTHS, leaves: Sequenc
 
 # ---- M17, M18 --------------------------------------------------------------------------
 
+def _tree_and_importance(model, features: Sequence[str]) -> tuple[tuple, list[tuple[str, float]]]:
+    return model_tree(model, features), importance_rows(model, features)
+
+
 def dual_expert_eval(ts: TrainingSet, gate: float = S.EXPERT_H_GATE) -> DataFrame:
-    """Wireless and host expert, their fusions, overlap and busy-time alert rates."""
+    """Wireless and host expert, their fusions, overlap and busy-time alert rates.
+
+    Besides: importances of both, fills of the wireless one, types among the training rows,
+    and the peak time of each capture's busy stretch.
+    """
     neutral, fills = neutralize(ts.rows, (*S.HIDS, *S.RF_SOFT))
     fitted = fit_many({
-        "W": lambda: model_tree(fit_tree(neutral.where(~F.col("is_test"))), S.WINDOW_FEATURES),
-        "H": lambda: model_tree(fit_tree(ts.train, S.HIDS), S.HIDS),
+        "W": lambda: _tree_and_importance(fit_tree(neutral.where(~F.col("is_test"))), S.WINDOW_FEATURES),
+        "H": lambda: _tree_and_importance(fit_tree(ts.train, S.HIDS), S.HIDS),
     })
 
     def scored(df: DataFrame) -> DataFrame:
-        host = df.withColumns({"host_score": tree_prob(fitted["H"]), "host_pred": tree_pred(fitted["H"])})
-        w = join_fills(host, fills).withColumns({"w_score": tree_prob(fitted["W"]), "w_pred": tree_pred(fitted["W"])})
+        host = df.withColumns({"host_score": tree_prob(fitted["H"][0]), "host_pred": tree_pred(fitted["H"][0])})
+        w = join_fills(host, fills).withColumns({"w_score": tree_prob(fitted["W"][0]), "w_pred": tree_pred(fitted["W"][0])})
         cols = [F.col(c) for c in ("w_pred", "host_pred", "w_score", "host_score")]
         either, either_score = rules.or_fusion(*cols)
         gated, gated_score = rules.gated_or_fusion(F.col("w_pred"), F.col("w_score"), F.col("host_score"), gate)
@@ -277,7 +287,18 @@ def dual_expert_eval(ts: TrainingSet, gate: float = S.EXPERT_H_GATE) -> DataFram
     busy = scored(ordered.busy_windows(ts.rows)).groupBy("model").agg(
         F.avg(F.col("pred").cast("double")).alias("attack_rate"), F.count(F.lit(1)).alias("n")
     )
-    return table.unionByName(recall).unionByName(overlap).unionByName(_long(busy, "busy", ("attack_rate", "n")))
+    spark, w_rows, h_rows = ts.rows.sparkSession, fitted["W"][1], fitted["H"][1]
+    rows = [("importance", m, f, v) for m, found in (("W", w_rows), ("H", h_rows)) for f, v in found]
+    rows += [("fill", "W", f, float(v)) for f, v in sorted(fills.items())]
+    facts = spark.createDataFrame(rows, "section string, model string, name string, value double")
+    types = ts.train.groupBy("attack_type").count().select(
+        F.lit("train_types").alias("section"), F.lit("W,H").alias("model"), F.col("attack_type").alias("name"), F.col("count").cast("double").alias("value")
+    )
+    peak = ordered.busy_peak(ts.rows).select(
+        F.lit("busy_peak_us").alias("section"), F.lit("").alias("model"), F.col("capture_id").cast("string").alias("name"), F.col("peak_us").cast("double").alias("value")
+    )
+    parts = [recall, overlap, _long(busy, "busy", ("attack_rate", "n")), facts, types, peak]
+    return reduce(lambda a, b: a.unionByName(b), parts, table)
 
 
 def _long(df: DataFrame, section: str, names: Sequence[str]) -> DataFrame:
@@ -315,3 +336,28 @@ def eval_report(ts: TrainingSet, models: dict | None = None) -> DataFrame:
         F.lit("recall").alias("section"), "model", F.col("attack_type").alias("name"), F.col("recall").alias("value")
     )
     return long.unionByName(recall).withColumn("is_best", F.col("model") == best)
+
+
+def full_report(ts: TrainingSet, models: dict | None = None, top: int = 10) -> DataFrame:
+    """The whole evaluation document: models, ablation, neutralised variants, importances, dataset, projections, grid.
+
+    Rows of (section, model, name, value, is_best); ``write_report`` makes the file.
+    """
+    parts = [eval_report(ts, models)]
+
+    def add(table: DataFrame) -> None:
+        parts.append(table.select("section", "model", "name", F.col("value").cast("double").alias("value"), F.lit(False).alias("is_best")))
+
+    add(_long(feature_ablation(ts), "ablation", ("precision", "recall", "f1", "fpr", "auc", "f1_lift_of_full", "fpr_change")))
+    add(_long(neutralized_models(ts), "neutralized", ("precision", "recall", "f1", "fpr", "auc", "heap_importance", "host_importance", "rf_soft_importance")))
+    add(feature_importance(ts).select(F.lit("importance").alias("section"), "model", F.col("feature").alias("name"), F.col("importance").alias("value")))
+    summary = quality.dataset_summary(ts.rows)
+    numbers = ("n_windows", "n_normal", "n_attack", "attack_fraction", "density_distinct", "total_packets_mode")
+    add(_long(summary.withColumn("model", F.lit("")), "dataset", numbers))
+    add(quality.type_counts(ts.rows).select(F.lit("dataset_types").alias("section"), F.lit("").alias("model"), F.col("attack_type").alias("name"), F.col("n_windows").alias("value")))
+    for section, table in (("pca", projections.pca_report(ts.train, ts.rows, S.WINDOW_FEATURES)[0]), ("lda", projections.lda_binary(ts.train, ts.rows, S.WINDOW_FEATURES)[0])):
+        of = F.concat_ws(" ", *[c for c in ("component", "feature") if c in table.columns])
+        add(table.select(F.lit(section).alias("section"), F.col("name").alias("model"), of.alias("name"), "value"))
+    grid = grid_search(ts).orderBy(F.desc("mean_cv_f1"), "max_depth", "min_leaf").limit(top)
+    add(grid.select(F.lit("grid").alias("section"), F.lit("").alias("model"), F.format_string("depth %d leaf %d", "max_depth", "min_leaf").alias("name"), F.col("mean_cv_f1").alias("value")))
+    return reduce(lambda a, b: a.unionByName(b), parts)

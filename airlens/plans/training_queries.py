@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from airlens.plans import projections, training
 from airlens.plans.queries import quiet_windows, windows_of
 from airlens.plans.registry import query
 from airlens.plans.training import TrainingSet
+from airlens.session import shared_dir
+from airlens.sources import captures
 
 def training_set(spark: SparkSession, d: str, quiet: bool = False) -> TrainingSet:
     """The staged split of a table folder."""
@@ -287,3 +291,18 @@ def _(spark, d):
         (cell("both_attack") + cell("only_w") + cell("only_h") <= cell("n")).alias("adds_up"),
         F.count_distinct(F.when(F.col("section") == "metric", F.col("model"))).alias("n_models"), F.count_distinct(busy).alias("n_sizes"),
     )
+
+
+@query("full_report_sections", """
+select 'model' as kind, 3::bigint as n union all select 'ablation', 42 union all select 'neutralized', 24 union all select 'dataset', 6
+union all select 'dataset_types', count(distinct attack_type) from windows union all select 'grid', 10 union all select 'windows', count(*) from windows""")
+def _(spark, d):
+    """The document by way of its file: how much each section holds."""
+    path = f"{shared_dir(spark)}/reports/{uuid.uuid4().hex}"
+    captures.write_report(training.full_report(training_set(spark, d)), path)
+    rows = spark.read.schema("section string, model string, name string, value double, is_best boolean").json(path)
+    sizes = rows.where("section in ('ablation', 'neutralized', 'dataset', 'dataset_types', 'grid')").groupBy(F.col("section").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    models = rows.where("section = 'metric'").agg(F.lit("model").alias("kind"), F.count_distinct("model").alias("n"))
+    size = rows.where("section = 'dataset' and name = 'n_windows'").select(F.lit("windows").alias("kind"), F.col("value").cast("long").alias("n"))
+    return sizes.unionByName(models).unionByName(size)
+

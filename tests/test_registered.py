@@ -10,6 +10,8 @@ TABLES = ("events", "embeddings", "labels")
 NAMES = (
     "aggregate_windows", "align_clock", "label_packets", "parse_telemetry", "decode_frames", "seq_jumps", "attack_spans",
     "gateway_mac_flips", "calibrated_alerts", "elastic_windows", "roc_curve", "stratified_split", "read_packets", "stream_windows",
+    "device_state", "stream_device_state", "stream_windows_late", "parse_control", "calibrated_alerts_by_boot", "align_clock_by_device",
+    "tree_to_sql_differences", "neutralized_fills", "lda_multiclass_moments", "cleaning_counts",
 )
 
 
