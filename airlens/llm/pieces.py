@@ -12,19 +12,23 @@ character, the stretches between blanks are independent, and a task remembers th
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airlens.llm.word_ids import Memory
+
 BLANK = "▁"
 PENALTY = 10.0  # of a character without a piece, below the lowest score
-REMEMBERED = 600_000  # stretches a task remembers; it forgets all and starts anew beyond
+REMEMBERED = 200_000  # stretches of a generation; a worker keeps the present and the last one
+ROWS = 256  # texts whose ids are held at once
 LONG = 48  # longer ones are encoded but not remembered
 
 
@@ -47,14 +51,34 @@ class PieceCoder:
         self._automaton.make_automaton()
         self._single = {self._names[i] for i in normal if len(self._names[i]) == 1}
         self._unknown = min((model.get_score(i) for i in normal), default=0.0) - PENALTY
-        inside = any(BLANK in self._names[i].lstrip(BLANK) for i in normal)
-        lines = any("\n" in self._names[i] for i in normal)
-        self._stretch = re.compile(r".+" if inside else rf"{BLANK}*[^{BLANK}]+|{BLANK}+" if lines else rf"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n", re.DOTALL)
-        self._known: dict[str, bytes] = {}
+        self._plain = np.array([i not in self._byte_of and i not in self._silent for i in range(len(self._names))])
+        # Where no piece can lie across: before a blank after another character, at a line break, and between a letter
+        # and a mark. The vocabulary says which of these hold.
+        pairs = {(a, b) for i in normal for a, b in itertools.pairwise(self._names[i])}
+        breaks = not any("\n" in self._names[i] for i in normal)
+        marks = "".join(m for m in ".,;:!?|&%$#*)" if not any(b == m and a.isalpha() for a, b in pairs))
+        if any(b == BLANK and a != BLANK for a, b in pairs):
+            self._stretch, self._words = re.compile(r".+", re.DOTALL), False
+        else:
+            self._stretch = re.compile(rf"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n" if breaks else rf"{BLANK}*[^{BLANK}]+|{BLANK}+", re.DOTALL)
+            self._words = breaks
+        self._marked = re.compile(rf"(.*[A-Za-z])([{re.escape(marks)}]+)") if marks else None
+        self._known = Memory(REMEMBERED)
 
     def best(self, text: str) -> list[int]:
         """Ids of a text whose blanks are already U+2581, by one pass of the automaton."""
         n = len(text)
+        if self._single.issuperset(text):  # every place ends some piece
+            top, last, length = [0.0] + [float("-inf")] * n, [0] * (n + 1), [0] * (n + 1)
+            for end, (piece, size, worth) in self._automaton.iter(text):
+                reach = top[end + 1 - size] + worth
+                if reach > top[end + 1]:
+                    top[end + 1], last[end + 1], length[end + 1] = reach, piece, size
+            found: list[int] = []
+            while n:
+                found.append(last[n])
+                n -= length[n]
+            return found[::-1]
         score, last, length = [0.0] * (n + 1), [-1] * (n + 1), [1] * (n + 1)
         reached, single, unknown = 0, self._single, self._unknown
 
@@ -92,32 +116,43 @@ class PieceCoder:
         """Ids of a whole text; none for a null or empty one."""
         if not text:
             return np.zeros(0, dtype="<i4")
-        known, parts = self._known, []
-        for unit in self._stretch.findall(BLANK + text.replace(" ", BLANK)):
-            ids = known.get(unit)
-            if ids is None:
-                ids = array("i", self.best(unit)).tobytes()
-                if len(unit) <= LONG:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[unit] = ids
-            parts.append(ids)
+        if self._words and BLANK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            units = [BLANK + w for w in text.split(" ")]
+        else:
+            units = self._stretch.findall(BLANK + text.replace(" ", BLANK))
+        parts = list(map(self._known.get, units))
+        if None in parts:
+            parts = [self._unit(u) if p is None else p for u, p in zip(units, parts, strict=True)]
         return np.frombuffer(b"".join(parts), dtype="<i4")
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a stretch that stands alone, cut further where no piece can lie across."""
+        ids = self._known.find(unit)
+        if ids is not None:
+            return ids
+        if self._words and "\n" in unit and unit != "\n":
+            return b"".join(map(self._unit, self._stretch.findall(unit)))
+        cut = self._marked.fullmatch(unit) if self._marked else None
+        ids = self._unit(cut[1]) + self._unit(cut[2]) if cut else array("i", self.best(unit)).tobytes()
+        if len(unit) <= LONG:
+            self._known.put(unit, ids)
+        return ids
+
+    def decode(self, ids: np.ndarray) -> str:
         """Text of ids; byte pieces join to characters, control pieces say nothing, the blank before the text goes."""
-        out, held = [], bytearray()
-        for i in ids:
-            if i in self._byte_of:
-                held.append(self._byte_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            if i not in self._silent:
-                out.append(self._names[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
+        ids, names = np.asarray(ids, dtype=np.int64), self._names
+        plain = self._plain[ids]
+        out, at = [], 0
+        borders = np.flatnonzero(plain[1:] != plain[:-1]) + 1
+        for end in [*borders.tolist(), len(ids)]:
+            part = ids[at:end].tolist()
+            if at < end and plain[at]:
+                out.append("".join([names[i] for i in part]))
+            elif part:
+                for silent, run in itertools.groupby(part, self._silent.__contains__):
+                    if not silent:
+                        out.append(bytes(map(self._byte_of.__getitem__, run)).decode("utf-8", "replace"))
+            at = end
         return "".join(out).replace(BLANK, " ").removeprefix(" ")
 
 
@@ -127,11 +162,17 @@ def shared_coder(path: str) -> PieceCoder:
     return PieceCoder(path)
 
 
+def _small(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for at in range(0, len(frame), ROWS):
+            yield frame.iloc[at:at + ROWS]
+
+
 def encode(documents: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids) of all whole texts. Null and empty texts have no ids; other columns are ignored."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = shared_coder(model)
-        for frame in frames:
+        for frame in _small(frames):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [coder.encode(t) for t in frame["text"]]})
 
     found = documents.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, ids array<int>")
@@ -142,8 +183,8 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) of ids; null ids give an empty text. U+2581 in a text comes back as a blank, as with the library."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = shared_coder(model)
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": [coder.decode([] if i is None else i.tolist()) for i in frame["ids"]]})
+        for frame in _small(frames):
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": [coder.decode([] if i is None else i) for i in frame["ids"]]})
 
     found = encoded.select(F.col("doc_id").cast("string"), "ids").mapInPandas(run, "doc_id string, text string")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -156,9 +197,9 @@ def round_trip(documents: DataFrame, model: str) -> DataFrame:
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = shared_coder(model)
-        for frame in frames:
+        for frame in _small(frames):
             ids = [coder.encode(t) for t in frame["text"]]
-            back = [coder.decode(i.tolist()) for i in ids]
+            back = [coder.decode(i) for i in ids]
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"], "n_ids": [len(i) for i in ids], "ids": ids, "ids_crc32": [zlib.crc32(i.tobytes()) for i in ids],
                 "decoded_crc32": [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in back],

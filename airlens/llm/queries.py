@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlens.llm import language, near_vectors, nearest, packing, pieces, pii, quality, resharding, simhash, token_store
-from airlens.session import prepare, shared_dir
+from airlens.llm.settings import ready
+from airlens.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +20,7 @@ OLD_SHARDS = 16
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(prepare(spark), sf_dir)
+        return fn(ready(spark), sf_dir)
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     QUERIES[fn.__name__] = run
