@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-REMEMBERED = 500_000  # words of a generation; a worker keeps the present and the last one
+REMEMBERED = 200_000  # words of a generation; a worker keeps the present and the last one
 LONG_WORD = 48  # longer ones are encoded but not remembered
 BLOCK = 1 << 20  # characters encoded at once
 
