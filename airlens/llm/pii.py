@@ -33,6 +33,7 @@ WINDOW = 8  # words on either side of an entity, on its line
 REACH = 256  # characters on either side in which those words are looked for
 FILTER_BITS = 1 << 23  # size of the filter that says which terms need counting
 REMEMBERED = 1 << 19  # words a task remembers the filter's answer for
+COUNTED = 1 << 18  # terms a task adds up before it hands them on
 SHAPES = ("[NAME]", "[WORD]")
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -178,14 +179,17 @@ def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
             known[word] = answer = bool(int(held[at >> 6]) >> (at & 63) & 1)
             return answer
 
+        n: Counter[str] = Counter()
         for frame in frames:
-            n: Counter[str] = Counter()
             for text in frame["text"]:
                 words = set(_TERM.findall(text or ""))
                 n.update({w.lower() for w in words if (known[w] if w in known else wanted(w))})
                 n.update({_shape(w) for w in words})
-            if n:
+            if len(n) > COUNTED:
                 yield pd.DataFrame({"term": list(n), "n": list(n.values())})
+                n = Counter()
+        if n:
+            yield pd.DataFrame({"term": list(n), "n": list(n.values())})
 
     return documents.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -269,7 +273,9 @@ def sanitise(documents: DataFrame) -> DataFrame:
     hits = hits.select(F.col("id").alias("__id"), F.col("mark").alias("__of"), "__spans", "__terms")
     rows = documents.withColumn("__mark", F.xxhash64("doc_id", "text"))
     rows = rows.join(hits, (F.col("__mark") == F.col("__of")) & F.col("doc_id").cast("string").eqNullSafe(F.col("__id")), "left")
-    new = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(pandas_udf(_replaced, "string")("text", "__spans", "__terms"))
+    # Texts without a span are not sent to Python.
+    marked = F.when(F.col("__spans").isNotNull(), F.col("text"))
+    new = F.coalesce(pandas_udf(_replaced, "string")(marked, "__spans", "__terms"), F.col("text"))
     rows = rows.withColumn("__new", new)
     columns = {"text": F.col("__new"), "n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__new")) if "n_chars" in documents.columns else None}
     return rows.select(*[columns[c].cast(documents.schema[c].dataType).alias(c) if c in columns else F.col(c) for c in documents.columns])
