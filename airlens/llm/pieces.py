@@ -4,6 +4,8 @@ An Aho-Corasick automaton over the pieces reads a text once; at every place its
 name the pieces that end there, and each relaxes the best score of that place (Viterbi). The
 highest sum of piece scores wins, ties go to the longer last piece. A character without a
 piece scores ten below the lowest piece and becomes its bytes. Scores are added exactly.
+This is a unigram reading of the scores: for a BPE model, whose scores are merge ranks, the
+ids are not those of the library's encoder.
 
 Blanks become U+2581, with one before the text. As no piece has a blank after another
 character, the stretches between blanks are independent, and a task remembers their ids.
