@@ -1,12 +1,17 @@
-"""Personal data: fixed patterns, and terms that reveal what they stand next to.
+"""Personal data: fixed patterns, and terms that reveal what they occur with.
 
 The patterns find mail addresses, IP addresses, card and phone numbers; each distinct value
 is a protected entity c. From the whole corpus come document counts of entities, of terms t,
-and of both together, where "together" means within a few words on one line. A term
-discloses the share PMI(c; t) / IC(c) = 1 - IC(c | t) / IC(c) of what knowing c would tell.
-Where that reaches the threshold, and the term stood next to c in two different contexts at
-least, the term is generalised to its shape beside c, or removed where the shape too
-discloses c.
+and of both together, wherever in a document they stand. A term discloses the share
+PMI(c; t) / IC(c) = 1 - IC(c | t) / IC(c) of what knowing c would tell. Where that reaches
+the threshold, and the term occurs with c in two different contexts of c at least, every
+occurrence of the term in any document is generalised to its shape, or removed where the
+shape too discloses c.
+
+A context is the words around c, across line breaks, so that copies of one text are one
+context. An entity of one context has no such terms: all words found only there would have
+share 1. For it, as for any mail address, the rule is that capitalised or CJK words of the
+same document that spell out a run of two or more letters of its local part are generalised.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 DISCLOSURE = 0.8  # share of an entity's information from which a term is treated
 CONTEXTS = 2  # different contexts that must show a term beside an entity
-WINDOW = 8  # words on either side of an entity, on its line
+WINDOW = 8  # words on either side of an entity that make its context
 REACH = 256  # characters on either side in which those words are looked for
 FILTER_BITS = 1 << 23  # size of the filter that says which terms need counting
 REMEMBERED = 1 << 19  # words a task remembers the filter's answer for
@@ -41,7 +46,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_WORD = re.compile(r"[^\W\d_]+")
+_CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+LETTERS = 4  # of a term that is neither capitalised nor CJK
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -106,43 +113,69 @@ def _shape(term: str) -> str:
     return SHAPES[0] if term[0].isupper() else SHAPES[1]
 
 
-def _neighbours(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Terms within WINDOW words of a span on its line, outside all base spans, with their places."""
-    low = max(0, start - REACH, text.rfind("\n", max(0, start - REACH), start) + 1)
-    stop = text.find("\n", end, end + REACH)
-    high = min(len(text), end + REACH) if stop < 0 else stop
-    while low and low < start and text[low - 1].isalpha() and text[low].isalpha():  # no half words
+def _name(word: str) -> bool:
+    return word[0].isupper() or _CJK.search(word) is not None
+
+
+def _fits(word: str) -> bool:
+    return len(word) >= LETTERS or _name(word)
+
+
+def _outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Words outside all base spans."""
+    taken, k = sorted((a, b) for _, a, b in spans), 0
+    for m in _WORD.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or taken[k][0] >= m.end():
+            yield m
+
+
+def _context(text: str, start: int, end: int) -> int:
+    """Hash of the terms within WINDOW words of a span, half words at the edges left out."""
+    low, high = max(0, start - REACH), min(len(text), end + REACH)
+    while low and low < start and text[low - 1].isalpha() and text[low].isalpha():
         low += 1
-    left = list(_TERM.finditer(text, low, start))[-WINDOW:]
-    right = [m for m in _TERM.finditer(text, end, high) if m.end() < high or high == len(text) or not text[high].isalpha()][:WINDOW]
-    return [(m.group(), m.start(), m.end()) for m in left + right if not any(a < m.end() and m.start() < b for a, b in taken)]
+    while high < len(text) and high > end and text[high - 1].isalpha() and text[high].isalpha():
+        high -= 1
+    near = _WORD.findall(text, low, start)[-WINDOW:] + _WORD.findall(text, end, high)[:WINDOW]
+    return xxhash.xxh64_intdigest(" ".join(near).lower().encode("utf-8", "surrogatepass"), 1) >> 1
 
 
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        found, beside = [], []
+        found, entities, words, own = [], [], [], []
         for text in frame["text"]:
             text = text or ""
             spans = base_spans(text)
-            taken = [(a, b) for _, a, b in spans]
-            rows = []
+            seen: dict[str, list[int]] = {}
+            parts: set[str] = set()
             for kind, a, b in spans:
-                near = _neighbours(text, a, b, _near(taken, a, b))
-                context = xxhash.xxh64_intdigest(" ".join(t.lower() for t, _, _ in near).encode("utf-8", "surrogatepass"), 1) >> 1
-                entity = _entity(kind, text[a:b])
-                rows += [{"entity": entity, "term": t.lower(), "shape": _shape(t), "context": context, "start": s, "stop": e} for t, s, e in near]
+                seen.setdefault(_entity(kind, text[a:b]), []).append(_context(text, a, b))
+                if kind == 0:
+                    parts.update(p for p in _WORD.findall(text[a:b].partition("@")[0].lower()) if len(p) > 1)
+            terms: dict[str, list[bool]] = {}
+            mine = []
+            for m in _outside(text, spans) if spans else ():
+                w = m.group()
+                t = w.lower()
+                has = terms.setdefault(t, [False, False, False])
+                if _fits(w):
+                    has[0] = True
+                    has[1 if _shape(w) == SHAPES[0] else 2] = True
+                if t in parts and _name(w):
+                    mine.append({"start": m.start(), "stop": m.end(), "replacement": _shape(w)})
             found.append([{"kind": k, "start": a, "stop": b} for k, a, b in spans])
-            beside.append(rows)
-        yield pd.DataFrame({"id": frame["id"], "mark": frame["mark"], "spans": found, "beside": beside})
-
-
-def _near(taken: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
-    return taken if len(taken) < 16 else [(a, b) for a, b in taken if b > start - REACH and a < end + REACH]
+            entities.append([{"entity": e, "low": min(c), "high": max(c)} for e, c in seen.items()])
+            words.append([{"term": t, "fits": fits, "name": name, "word": word} for t, (fits, name, word) in terms.items()])
+            own.append(mine)
+        yield pd.DataFrame({"id": frame["id"], "mark": frame["mark"], "spans": found, "entities": entities, "words": words, "own": own})
 
 
+_TERMS = "array<struct<start: int, stop: int, replacement: string>>"
 _SCAN = (
-    "id string, mark long, spans array<struct<kind: int, start: int, stop: int>>, "
-    "beside array<struct<entity: string, term: string, shape: string, context: long, start: int, stop: int>>"
+    "id string, mark long, spans array<struct<kind: int, start: int, stop: int>>, entities array<struct<entity: string, low: long, high: long>>, "
+    f"words array<struct<term: string, fits: boolean, name: boolean, word: boolean>>, own {_TERMS}"
 )
 
 
@@ -161,8 +194,29 @@ def _filter_of(terms: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _wanted(held: np.ndarray, known: dict[str, bool], word: str) -> bool:
+    """Whether the filter lets ``word`` through, remembered in ``known``."""
+    if word not in known:
+        if len(known) > REMEMBERED:
+            known.clear()
+        at = xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass"), 42) & (FILTER_BITS - 1)
+        known[word] = bool(int(held[at >> 6]) >> (at & 63) & 1)
+    return known[word]
+
+
+def _without_mail(text: str) -> str:
+    """The text with its mail addresses blanked; other base spans hold no letters."""
+    if "@" not in text:
+        return text
+    out, at = [], 0
+    for a, b in _emails(text):
+        out += [text[at:a], " "]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): in how many rows each of ``terms(term)``, and each shape, occurs, over all whole texts.
+    """(term, n): in how many rows each of ``terms(term)``, and each shape, occurs outside base spans, over all whole texts.
 
     Texts are read once; words a fixed-size filter rules out are not counted, and the few
     it lets through by chance are dropped by the join that uses the counts.
@@ -171,20 +225,12 @@ def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, known = bits.value, {}
-
-        def wanted(word: str) -> bool:
-            if len(known) > REMEMBERED:
-                known.clear()
-            at = xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass"), 42) & (FILTER_BITS - 1)
-            known[word] = answer = bool(int(held[at >> 6]) >> (at & 63) & 1)
-            return answer
-
         n: Counter[str] = Counter()
         for frame in frames:
             for text in frame["text"]:
-                words = set(_TERM.findall(text or ""))
-                n.update({w.lower() for w in words if (known[w] if w in known else wanted(w))})
-                n.update({_shape(w) for w in words})
+                words = set(_WORD.findall(_without_mail(text or "")))
+                n.update({w.lower() for w in words if (known[w] if w in known else _wanted(held, known, w))})
+                n.update({_shape(w) for w in words if _fits(w)})
             if len(n) > COUNTED:
                 yield pd.DataFrame({"term": list(n), "n": list(n.values())})
                 n = Counter()
@@ -194,47 +240,77 @@ def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     return documents.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def occurrences(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, mark, term, shape, start, stop) of every place outside base spans where one of ``terms(term)`` stands, over all whole texts.
+
+    The filter lets a few other words through, which the caller's join drops.
+    """
+    bits = documents.sparkSession.sparkContext.broadcast(_filter_of(terms))
+
+    def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, known = bits.value, {}
+        for frame in frames:
+            rows = []
+            for i, mark, text in zip(frame["id"], frame["mark"], frame["text"], strict=True):
+                text = text or ""
+                if any([_wanted(held, known, w) for w in set(_WORD.findall(text))]):
+                    for m in _outside(text, base_spans(text)):
+                        w = m.group()
+                        if _wanted(held, known, w):
+                            rows.append((i, mark, w.lower(), _shape(w), m.start(), m.end()))
+            yield pd.DataFrame(rows, columns=["id", "mark", "term", "shape", "start", "stop"])
+
+    return documents.select("id", "mark", "text").mapInPandas(places, "id string, mark long, term string, shape string, start int, stop int")
+
+
 def disclosing(documents: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(entity, term, shape, share, replacement) of the terms that disclose an entity."""
-    beside = scanned.select("id", "mark", F.explode("beside").alias("b")).select("id", "mark", "b.*")
-    beside = stage(beside)
-    pairs = beside.groupBy("entity", "term", "shape", "id", "mark", "context").count()
-    seen = beside.select("entity", "term", "context").distinct().groupBy("entity", "term").count().where(F.col("count") >= CONTEXTS)
-    seen = stage(seen.select("entity", "term"))
-    both = pairs.join(seen, ["entity", "term"]).select("entity", "term", "id", "mark").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    shaped = beside.select("entity", "shape", "id", "mark").distinct().groupBy("entity", "shape").agg(F.count("*").alias("n_shaped"))
-    entities = scanned.select("id", "mark", F.explode("beside.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    counts = stage(term_counts(documents, seen.select("term").distinct()))
-    total = documents.count()
-    rows = both.join(entities, "entity").join(counts.withColumnRenamed("n", "n_term"), "term")
-    shapes = shaped.join(counts.select(F.col("term").alias("shape"), F.col("n").alias("n_shape")), "shape")
-    rows = rows.join(shapes, "entity").withColumn("share", _share("n_both", "n_term", total)).withColumn("shape_share", _share("n_shaped", "n_shape", total))
-    reveals = rows.where(F.col("share") >= DISCLOSURE)
-    return reveals.select(
-        "entity", "term", "shape", "share",
-        F.when(F.col("shape_share") >= DISCLOSURE, F.lit("")).otherwise(F.col("shape")).alias("replacement"),
+    """(entity, term, share, bare) of the terms that disclose an entity; ``bare`` holds the shapes that disclose it too.
+
+    Counts are of rows, a repeated row as often as it stands there.
+    """
+    held = scanned.select(F.explode("entities").alias("e"), "words").select("e.*", "words")
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.min("low").alias("least"), F.max("high").alias("most"))
+    entities = stage(entities.where("least < most").select("entity", "n_entity"))
+    held = held.join(entities, "entity")
+    pairs = held.select("entity", "n_entity", "low", "high", F.explode("words").alias("w"))
+    both = pairs.groupBy("entity", "n_entity", F.col("w.term").alias("term")).agg(
+        F.count("*").alias("n_both"), F.min("low").alias("least"), F.max("high").alias("most"), F.max("w.fits").alias("fits")
     )
+    both = stage(both.where("fits and least < most").select("entity", "n_entity", "term", "n_both"))
+    has = lambda field: F.exists("words", lambda w: w[field]).cast("long")
+    shaped = held.groupBy("entity").agg(F.sum(has("name")).alias("with_name"), F.sum(has("word")).alias("with_word"))
+    counts = stage(term_counts(documents, both.select("term").distinct()))
+    total = documents.count()
+    of_shape = {r.term: r.n for r in counts.where(F.col("term").isin(*SHAPES)).collect()}
+    rows = both.join(counts.withColumnRenamed("n", "n_term"), "term").withColumn("share", _share(F.col("n_both"), F.col("n_term"), total))
+    rows = rows.where(F.col("share") >= DISCLOSURE).join(shaped, "entity")
+    bare = [F.when(_share(F.col(c), F.lit(of_shape.get(s, 0) or 1), total) >= DISCLOSURE, F.lit(s)) for s, c in zip(SHAPES, ("with_name", "with_word"), strict=True)]
+    return rows.select("entity", "term", "share", F.array_compact(F.array(*bare)).alias("bare"))
 
 
-def _share(together: str, alone: str, total: int) -> Column:
+def _share(together: Column, alone: Column, total: int) -> Column:
     """1 - IC(c | t) / IC(c), with c in n_entity of ``total`` documents; 0 where c is in all of them."""
-    given = F.log(F.least(F.col(together) / F.col(alone), F.lit(1.0)))
+    given = F.log(F.least(together / alone, F.lit(1.0)))
     own = F.log(F.col("n_entity") / F.lit(float(max(total, 1))))
     return F.when(own >= 0, F.lit(0.0)).otherwise(1 - given / own)
 
 
 def find(documents: DataFrame) -> DataFrame:
-    """(id, mark, spans, terms) of every row: base spans, and the spans of disclosing terms with what replaces them.
+    """(id, mark, spans, terms) of every row: base spans, and all places of disclosing terms with what replaces them.
 
     Null texts are empty and have no spans. Repeated rows get the same spans each. Counts are
     over all rows of ``documents``; other columns are ignored.
     """
     keyed = _keyed(documents)
     scanned = stage(keyed.mapInPandas(_scan, _SCAN))
-    reveals = disclosing(keyed, scanned)
-    beside = scanned.select("id", "mark", F.explode("beside").alias("b")).select("id", "mark", "b.entity", "b.term", "b.shape", "b.start", "b.stop")
+    reveals = stage(disclosing(keyed, scanned))
+    bare = reveals.select("term", F.explode("bare").alias("shape")).distinct().withColumn("replacement", F.lit(""))
+    treated = stage(reveals.select("term").distinct())
+    met = occurrences(keyed, treated).join(treated, "term").join(bare, ["term", "shape"], "left")
+    met = met.select("id", "mark", "start", "stop", F.coalesce("replacement", "shape").alias("replacement"))
+    own = scanned.select("id", "mark", F.explode("own").alias("o")).select("id", "mark", "o.*")
     added = (
-        beside.join(reveals, ["entity", "term", "shape"]).groupBy("id", "mark", "start", "stop").agg(F.min("replacement").alias("replacement"))
+        met.union(own).groupBy("id", "mark", "start", "stop").agg(F.min("replacement").alias("replacement"))
         .groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "replacement"))).alias("terms"))
     )
     added = added.select(F.col("id").alias("of"), F.col("mark").alias("of_mark"), "terms")
@@ -268,7 +344,7 @@ def sanitise(documents: DataFrame) -> DataFrame:
 
     Only rows with a span are rewritten; the others keep their columns as they are.
     """
-    hits = find(documents).where(F.size("spans") > 0)
+    hits = find(documents).where((F.size("spans") > 0) | F.col("terms").isNotNull())
     hits = hits.groupBy("id", "mark").agg(F.first("spans").alias("__spans"), F.first("terms").alias("__terms"))
     hits = hits.select(F.col("id").alias("__id"), F.col("mark").alias("__of"), "__spans", "__terms")
     rows = documents.withColumn("__mark", F.xxhash64("doc_id", "text"))
@@ -290,7 +366,7 @@ def digest(found: DataFrame) -> DataFrame:
     kind = F.array(*map(F.lit, KINDS))
     name = lambda s: F.concat_ws(":", kind[s["kind"]], s["start"].cast("string"), s["stop"].cast("string"))
     base = F.transform("spans", name)
-    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start: int, stop: int, replacement: string>>")),
+    terms = F.transform(F.coalesce("terms", F.array().cast(_TERMS)),
                         lambda t: F.concat_ws(":", F.lit(TERM), t["start"].cast("string"), t["stop"].cast("string")))
     return found.select(
         F.col("id").cast("long").alias("doc_id"), *by_kind, F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"),
