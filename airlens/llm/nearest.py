@@ -174,16 +174,16 @@ def _blocks(rows: DataFrame, keys: list[str], dimension: int, side: str) -> Data
 
 
 def _best(queries: list[int], q: np.ndarray, ids: list[list[int]], c: np.ndarray, nearest: int) -> pd.DataFrame:
-    """Each query's nearest ids in one block, ties to smaller ids, without itself."""
+    """The ``nearest`` + 1 nearest ids of each query vector in one block, ties to smaller ids."""
     scores = q @ c.T
     keep = min(nearest + 1, len(ids))
     floor = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
     rows: list[tuple[int, int, float]] = []
     for k, query in enumerate(queries):
         at = np.flatnonzero(scores[k] >= floor[k])
-        found = sorted((-scores[k, j], i) for j in at.tolist() for i in ids[j] if i != query)[:nearest]
+        found = sorted((-scores[k, j], i) for j in at.tolist() for i in ids[j])[:nearest + 1]
         rows += [(query, i, -s) for s, i in found]
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+    return pd.DataFrame(rows, columns=["query", "vec_id", "score"])
 
 
 def search(rows: DataFrame, is_query, nearest: int = NEAREST, sample: int = SAMPLE) -> DataFrame:
@@ -192,7 +192,8 @@ def search(rows: DataFrame, is_query, nearest: int = NEAREST, sample: int = SAMP
     Nearness is the inner product in double precision. Rows without a vec_id, and vectors
     that are null, zero, hold null or non-finite components or have another dimension than
     most, take no part. Equal vectors are one entry with its smallest ids, ``nearest`` + 1 of
-    them, which is all a result can hold. Rows that repeat a vec_id and vector count once.
+    them, which is all a result can hold. Equal query vectors are ranked once, and the list
+    is handed to their ids. Rows that repeat a vec_id and vector count once.
     The index is fitted on ``sample`` distinct vectors, the first by hash, and holds every row.
     """
     usable_rows = rows.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").alias("v"))
@@ -218,8 +219,12 @@ def search(rows: DataFrame, is_query, nearest: int = NEAREST, sample: int = SAMP
             yield pd.Series(list(shared.value.probed(matrix(batch, dimension)).astype(np.int32)))
 
     candidates = stage(entries.withColumn("part", pandas_udf(part, "int")("v")))
-    asked = usable_rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").withColumn("parts", pandas_udf(probed, "array<int>")("v"))
-    asked = stage(asked.select("query_id", "v", F.explode("parts").alias("part")))
+    # One query a distinct vector, named by its smallest id and its hash, as an id may have several vectors.
+    queries = stage(usable_rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("hash")))
+    vectors = queries.groupBy("v", "hash").agg(F.min("query_id").alias("least"), F.count("*").alias("copies"))
+    vectors = stage(vectors.select(F.concat_ws(":", "least", "hash").alias("query"), "v", "hash", F.ceil(F.col("copies") / BLOCK).cast("int").alias("salts")))
+    asked = vectors.select("query", "v").withColumn("parts", pandas_udf(probed, "array<int>")("v"))
+    asked = stage(asked.select("query", "v", F.explode("parts").alias("part")))
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -227,7 +232,16 @@ def search(rows: DataFrame, is_query, nearest: int = NEAREST, sample: int = SAMP
                 q, c = (np.frombuffer(x, "<f8").reshape(-1, dimension) for x in (row.vectors_q, row.vectors_c))
                 yield _best(pickle.loads(row.ids_q), q, pickle.loads(row.ids_c), c, nearest)
 
-    met = _blocks(candidates, ["ids"], dimension, "c").join(_blocks(asked, ["query_id"], dimension, "q"), "part")
-    found = met.mapInPandas(compare, "query_id long, vec_id long, score double")
+    met = _blocks(candidates, ["ids"], dimension, "c").join(_blocks(asked, ["query"], dimension, "q"), "part")
+    found = met.mapInPandas(compare, "query string, vec_id long, score double")
+    order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    found = found.withColumn("place", order).where(F.col("place") <= nearest + 1)
+    lists = found.groupBy("query").agg(F.collect_list(F.struct("vec_id", "score")).alias("near"))
+    # A vector with more than BLOCK ids hands its list out in several places; there are at most rows / BLOCK such vectors.
+    lists = vectors.join(lists, "query").select("v", "hash", "near", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    common = F.broadcast(vectors.where("salts > 1").select("v", "hash", "salts"))
+    salt = F.pmod(F.xxhash64("query_id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
+    dealt = queries.join(common, ["hash", "v"], "left").select("query_id", "v", "hash", salt)
+    found = dealt.join(lists, ["hash", "v", "salt"]).select("query_id", F.explode("near").alias("n")).select("query_id", "n.*").where("vec_id <> query_id")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", order).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

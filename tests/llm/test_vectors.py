@@ -118,3 +118,20 @@ def test_search_gives_all_of_few(spark):
     got = nearest.search(frame(spark, rows), "vec_id % 20 = 0").orderBy("rank").collect()
     assert [tuple(r) for r in got] == [(20, 1, 4, 2.0), (20, 2, 3, 0.5)]
     assert nearest.search(frame(spark, []), "vec_id % 20 = 0").count() == 0
+
+
+def test_equal_queries_are_ranked_once(spark, monkeypatch):
+    rng, sizes, blocks = np.random.default_rng(2), {}, nearest._blocks
+
+    def counted(rows, keys, dimension, side):
+        sizes[side] = rows.count()
+        return blocks(rows, keys, dimension, side)
+
+    monkeypatch.setattr(nearest, "_blocks", counted)
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    same = rng.normal(size=8).astype(np.float32)
+    rows = [(i, same if i % 3 else rng.normal(size=8).astype(np.float32)) for i in range(300)]
+    got = nearest.search(frame(spark, rows), "vec_id % 2 = 0").toPandas()
+    assert sizes["q"] == 50 + 1 and set(got["query_id"]) == set(range(0, 300, 2))
+    for query, found in got.groupby("query_id"):
+        assert found.sort_values("rank")["vec_id"].tolist() == [i for _, i in exact(rows, query)]
