@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlens.llm import language, near_vectors, nearest, packing, pieces, pii, quality, resharding, simhash, token_store
+from airlens.llm import byte_pairs, language, near_vectors, nearest, packing, pieces, pii, quality, resharding, simhash, token_store
 from airlens.llm.settings import ready
 from airlens.session import shared_dir
 
@@ -118,3 +118,9 @@ def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and what they decode to."""
     return pieces.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by a file of ranks, and the bytes they decode to, as digests."""
+    return byte_pairs.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

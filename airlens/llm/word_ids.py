@@ -65,7 +65,7 @@ class WordCoder:
         """Ids of a whole text as little-endian unsigned 32-bit integers; a null text is empty."""
         if not text:
             return np.zeros(0, dtype="<u4")
-        return np.frombuffer(b"".join(map(self._block, _blocks(text))), dtype="<u4")
+        return np.frombuffer(b"".join(map(self._block, blocks(text))), dtype="<u4")
 
     def _block(self, text: str) -> bytes:
         if self._dropped:
@@ -140,7 +140,7 @@ def _joined(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-def _blocks(text: str) -> Iterator[str]:
+def blocks(text: str) -> Iterator[str]:
     """Stretches of a long text, cut before a blank between two visible characters."""
     at = 0
     while len(text) - at > BLOCK:
