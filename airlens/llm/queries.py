@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlens.llm import byte_pairs, language, near_vectors, nearest, packing, pieces, pii, quality, resharding, simhash, token_store
+from airlens.llm import byte_pairs, importance, language, near_vectors, nearest, packing, pieces, pii, quality, resharding, simhash, token_store
 from airlens.llm.settings import ready
 from airlens.session import shared_dir
 
@@ -124,3 +124,46 @@ def op3_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by a file of ranks, and the bytes they decode to, as digests."""
     return byte_pairs.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and place in the draw of every document, towards the benchmark texts."""
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+# The CRC-32 of a string, from its bytes as a list of hexadecimal digits: the table is made by its rule.
+_CRC_TABLE = """crc_step AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t
+)"""
+_CRC = """xor(list_reduce(list_transform(range(strlen({0})), lambda i: CAST(('0x' || substr(hex(encode({0})), 2 * i + 1, 2)) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+ORACLES["op13_importance_resampling"] = f"""
+WITH {_CRC_TABLE}, source_words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+), target_words AS (
+    SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark
+), source_counts AS (
+    SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM source_words) GROUP BY w
+), target_counts AS (
+    SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM target_words) GROUP BY w
+), buckets AS (
+    SELECT w, {_CRC.format("w")} % 10000 AS b FROM (SELECT w FROM source_counts UNION SELECT w FROM target_counts), crc_step
+), counted AS (
+    SELECT b, CAST(sum(coalesce(s.n, 0)) AS DOUBLE) AS s, CAST(sum(coalesce(t.n, 0)) AS DOUBLE) AS t
+    FROM buckets LEFT JOIN source_counts s USING (w) LEFT JOIN target_counts t USING (w) GROUP BY b
+), gain AS (
+    SELECT b, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM counted
+), weighted AS (
+    SELECT doc_id, len(ws) AS n_features, h, coalesce((
+        SELECT sum(gain) FROM (SELECT unnest(d.ws) AS w) JOIN buckets USING (w) JOIN gain USING (b)), 0) AS weight
+    FROM (SELECT *, CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h FROM source_words) d
+), scored AS (
+    SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM weighted
+), able AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.score, a.r AS rank
+FROM scored s LEFT JOIN (SELECT doc_id, r FROM able WHERE r <= n * 10 // 100) a USING (doc_id)
+"""
