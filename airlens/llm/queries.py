@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlens.llm import byte_pairs, importance, language, near_vectors, nearest, packing, pieces, pii, quality, resharding, simhash, token_store
+from airlens.llm import byte_pairs, conversations, importance, language, near_vectors, nearest, packing, pieces, pii, quality, resharding, simhash, token_store
 from airlens.llm.settings import ready
 from airlens.session import shared_dir
 
@@ -167,3 +167,80 @@ WITH {_CRC_TABLE}, source_words AS (
 SELECT s.doc_id, s.n_features, s.weight, s.score, a.r AS rank
 FROM scored s LEFT JOIN (SELECT doc_id, r FROM able WHERE r <= n * 10 // 100) a USING (doc_id)
 """
+
+
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after the exercise's damage."""
+    return conversations.report(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def _edit(state: str, letter: str, cost: str, line: str | None = None) -> str:
+    """A state (cost, audit, lines, text) after one more edit, which writes ``line``; null from a null one."""
+    text = f"k := {state}.k, r := {state}.r" if line is None else f"k := {state}.k + 1, r := CASE WHEN {state}.k = 0 THEN {line} ELSE {state}.r || chr(10) || {line} END"
+    return f"CASE WHEN {state} IS NOT NULL THEN struct_pack(c := {state}.c + {cost}, p := {state}.p || '{letter}', {text}) END"
+
+
+def _rows_edits(state: str, sources: str, initial: str) -> str:
+    """The best state after a row: the same state with the row deleted, or a source state with it kept or given its role."""
+    name = {"u": "user", "a": "assistant"}.get(initial)
+    options = [_edit(state, "D", "2")]
+    for source in sources:
+        kept = _edit(source, "K", "e", "role || ':' || text")
+        options.append(f"CASE WHEN NOT forced AND left(role, 1) = '{initial}' THEN {kept} END")
+        if name:
+            given = _edit(source, "R", "(1 + e)", f"'{name}:' || text")
+            options.append(f"CASE WHEN NOT forced THEN {given} END")
+    return f"list_min([{', '.join(options)}])"
+
+
+def _inserted(state: str, sources: str, name: str) -> str:
+    return f"list_min([{', '.join([state, *[_edit(x, 'I', '5', repr(name + ':')) for x in sources]])}])"
+
+
+ORACLES["op11_conversation_repair"] = f"""
+WITH RECURSIVE {_CRC_TABLE}, keyed AS (
+    SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), hit AS (
+    SELECT *, {_CRC.format("key")} % 20 AS d FROM keyed, crc_step
+), rows_after AS (
+    SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+        CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+        unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM hit
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown
+    FROM rows_after
+), faults AS (
+    SELECT conv_id, turn, role, text, i, shown = '' AS blank, shown <> '' AND seen > 1 AS duplicate,
+        shown <> '' AND seen = 1 AND right(shown, 1) NOT IN ('.', '!', '?') AS truncated,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+    FROM placed
+), steps AS (
+    SELECT conv_id, i, role, text, blank OR duplicate AS forced, CASE WHEN truncated THEN 5 ELSE 0 END AS e FROM faults
+), walk(conv_id, i, z, s, u, a) AS (
+    SELECT conv_id, CAST(0 AS BIGINT), z, z_null, u, {_inserted("NULL", "u", "assistant").replace("NULL, ", "")}
+    FROM (SELECT conv_id, z, CASE WHEN false THEN z END AS z_null, {_edit("z", "I", "5", "'user:'")} AS u
+          FROM (SELECT DISTINCT conv_id, struct_pack(c := CAST(0 AS BIGINT), p := '', k := CAST(0 AS BIGINT), r := '') AS z FROM conversations))
+    UNION ALL
+    SELECT conv_id, i, z, s, u, {_inserted("a", "u", "assistant")}
+    FROM (
+        SELECT conv_id, i, z, s, {_inserted("u", "zsa", "user")} AS u, a
+        FROM (
+            SELECT w.conv_id, t.i, {_edit("z", "D", "2")} AS z, {_rows_edits("s", "z", "s")} AS s, {_rows_edits("u", "zsa", "u")} AS u, {_rows_edits("a", "u", "a")} AS a
+            FROM walk w JOIN steps t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1
+        )
+    )
+), least AS (
+    SELECT conv_id, list_min([z, a]) AS best FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+        count(*) FILTER (truncated) AS truncated, count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faults GROUP BY conv_id
+)
+SELECT l.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, best.c AS cost, best.p AS audit, sha256(best.r) AS repaired_sha256
+FROM least l LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM l.conv_id
+"""
