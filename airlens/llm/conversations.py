@@ -84,14 +84,15 @@ def _runs(rows: DataFrame) -> DataFrame:
 class _Block:
     """Rows of one conversation in a task, as far as a block goes."""
 
-    def __init__(self, conv: str | None):
+    def __init__(self, conv: str | None, steps: int):
+        self.steps = steps
         self.conv, self.codes, self.roles, self.texts, self.size = conv, bytearray(), [], [], 0
         self.blank = self.duplicate = self.truncated = self.illegal = 0
         self.head = self.tail = self.low = self.high = None
         self.turns = 0
 
     def full(self) -> bool:
-        return len(self.codes) >= STEPS or self.size >= CHARS
+        return len(self.codes) >= self.steps or self.size >= CHARS
 
     def add(self, turn: int | None, role: str, text: str, n: int, blank: bool, truncated: bool, first: bool) -> None:
         """``n`` equal rows one after the other, of which the first may stay."""
@@ -133,7 +134,7 @@ _BLOCK = (
 )
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, steps: int) -> DataFrame:
     """A row a block, in order of (part, no); ``edge`` where a conversation may have others."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, no, block, opened = TaskContext.get().partitionId(), 0, None, True  # the first may go on from the part before
@@ -144,13 +145,13 @@ def _blocks(rows: DataFrame) -> DataFrame:
                     if block is not None:
                         out.append(block.row(part, no, opened))
                         no, opened = no + 1, False
-                    block = _Block(conv)
+                    block = _Block(conv, steps)
                 turn = None if turn is None else int(turn)
                 while n:
                     if block.full():
                         out.append(block.row(part, no, True))
-                        block, no, opened = _Block(conv), no + 1, True
-                    some = min(n, STEPS)
+                        block, no, opened = _Block(conv, steps), no + 1, True
+                    some = min(n, steps)
                     block.add(turn, role, text, some, blank, truncated, first)
                     n, first = n - some, False
             if out:
@@ -376,9 +377,9 @@ def _written(arcs: Arcs, path: np.ndarray, codes: np.ndarray, roles, texts) -> t
     return int(arcs.cost[path].sum()), _LETTERS[letters].tobytes().decode(), new_roles, new_texts
 
 
-def _solved(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _solved(rows: DataFrame, steps: int) -> tuple[DataFrame, DataFrame]:
     """Solved blocks: those that are whole conversations, and those of conversations that may have several."""
-    blocks = stage(_blocks(_runs(rows)))
+    blocks = stage(_blocks(_runs(rows), steps))
     whole = blocks.where("NOT edge").withColumn("v", F.array(*[F.lit(x).cast("long") for x in END])).withColumn("last", F.lit(True)).withColumn("state", F.lit(NOTHING))
     edged = blocks.where("edge")
     ends = _in_order(edged.select("conv", "part", "no", "costs"), _ends, "part int, no long, v array<long>, last boolean", backwards=True)
@@ -387,9 +388,9 @@ def _solved(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _solve(whole), _solve(edged.join(starts, ["part", "no"]))
 
 
-def repaired(rows: DataFrame) -> DataFrame:
+def repaired(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """(conv_id, part, no, place, role, text) of the repaired conversations, in that order; as for ``report``."""
-    whole, edged = _solved(rows)
+    whole, edged = _solved(rows, steps)
     lines = whole.unionByName(edged).select("conv", "part", "no", F.posexplode(F.arrays_zip("roles", "texts")).alias("place", "line"))
     kind = rows.schema["conv_id"].dataType
     return lines.select(F.col("conv").cast(kind).alias("conv_id"), "part", "no", "place", F.col("line.roles").alias("role"), F.col("line.texts").alias("text"))
@@ -435,7 +436,7 @@ def _reported(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([close()], columns=_REPORT)
 
 
-def report(rows: DataFrame) -> DataFrame:
+def report(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit and repaired_sha256 of every conversation.
 
     ``rows(conv_id, turn, role, text[, times])``; ``times`` says how often a row stands there, 0
@@ -443,9 +444,9 @@ def report(rows: DataFrame) -> DataFrame:
     other rows). Rows go by turn, those without one first, then by role and text. Null
     roles and texts are one space, a null conv_id is a conversation of its own. Equal rows are
     counted before they are sorted, so any number of them is one. An empty table gives an
-    empty one; other columns are ignored. An audit has a letter for each row of its conversation.
+    empty one; other columns are ignored. ``steps`` rows make a block. An audit has a letter for each row of its conversation.
     """
-    whole, edged = _solved(rows)
+    whole, edged = _solved(rows, steps)
     schema = "conv string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
     found = whole.mapInPandas(_reported, schema).unionByName(_in_order(edged, _reported, schema))
     return found.select(F.col("conv").cast(rows.schema["conv_id"].dataType).alias("conv_id"), *_REPORT[1:])
