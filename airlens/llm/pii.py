@@ -3,15 +3,18 @@
 The patterns find mail addresses, IP addresses, card and phone numbers; each distinct value
 is a protected entity c. From the whole corpus come document counts of entities, of terms t,
 and of both together, wherever in a document they stand. A term discloses the share
-PMI(c; t) / IC(c) = 1 - IC(c | t) / IC(c) of what knowing c would tell. Where that reaches
-the threshold, and the term occurs with c in two different contexts of c at least, every
-occurrence of the term in any document is generalised to its shape, or removed where the
-shape too discloses c.
+PMI(c; t) / IC(c) = 1 - IC(c | t) / IC(c) of what knowing c would tell. Of P(c | t) a lower
+bound is taken: a term seen with c in m different contexts has its share of documents times
+level ** (1 / m), the exact bound for m of m, where ``level`` is LEVEL divided by the
+number of pairs of an entity and a term that were looked at. So what meets c a few times by
+chance discloses nothing, and the contexts a term needs grow with the number of terms.
 
 A context is the words around c, across line breaks, so that copies of one text are one
-context. An entity of one context has no such terms: all words found only there would have
-share 1. For it, as for any mail address, the rule is that capitalised or CJK words of the
-same document that spell out a run of two or more letters of its local part are generalised.
+context. Terms whose share reaches the threshold are treated where they can reveal: in
+every document that holds c, and in every other one with two different terms that disclose
+the same c. They are generalised to their shape, or removed where the shape too discloses
+c. In documents with a mail address, capitalised or CJK words that spell out a run of two or
+more letters of its local part are generalised as well, whatever the counts.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ from airlens.operators.stage import stage
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 DISCLOSURE = 0.8  # share of an entity's information from which a term is treated
-CONTEXTS = 2  # different contexts that must show a term beside an entity
+LEVEL = 0.05  # chance that any term of a corpus is taken to disclose more than it does
+TOGETHER = 2  # terms of one entity from which they are treated in a document without it
 WINDOW = 8  # words on either side of an entity that make its context
 REACH = 256  # characters on either side in which those words are looked for
 FILTER_BITS = 1 << 23  # size of the filter that says which terms need counting
@@ -166,7 +170,7 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if t in parts and _name(w):
                     mine.append({"start": m.start(), "stop": m.end(), "replacement": _shape(w)})
             found.append([{"kind": k, "start": a, "stop": b} for k, a, b in spans])
-            entities.append([{"entity": e, "low": min(c), "high": max(c)} for e, c in seen.items()])
+            entities.append([{"entity": e, "low": min(c)} for e, c in seen.items()])
             words.append([{"term": t, "fits": fits, "name": name, "word": word} for t, (fits, name, word) in terms.items()])
             own.append(mine)
         yield pd.DataFrame({"id": frame["id"], "mark": frame["mark"], "spans": found, "entities": entities, "words": words, "own": own})
@@ -174,11 +178,16 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 _TERMS = "array<struct<start: int, stop: int, replacement: string>>"
 _SCAN = (
-    "id string, mark long, spans array<struct<kind: int, start: int, stop: int>>, entities array<struct<entity: string, low: long, high: long>>, "
+    "id string, mark long, spans array<struct<kind: int, start: int, stop: int>>, entities array<struct<entity: string, low: long>>, "
     f"words array<struct<term: string, fits: boolean, name: boolean, word: boolean>>, own {_TERMS}"
 )
 
 
+def scanned(keyed: DataFrame) -> DataFrame:
+    """One row a document of ``_keyed``: its base spans, entities with a context each, words beside them, and a number as ``row``; staged."""
+    return stage(keyed.mapInPandas(_scan, _SCAN).withColumn("row", F.monotonically_increasing_id()))
+
+
 def _keyed(documents: DataFrame) -> DataFrame:
     """Rows by id and a hash of id and text, so that rows without an id or with a repeated one find their own spans."""
     return documents.select(F.col("doc_id").cast("string").alias("id"), F.xxhash64("doc_id", "text").alias("mark"), "text")
@@ -266,56 +275,86 @@ def occurrences(documents: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosing(documents: DataFrame, scanned: DataFrame) -> DataFrame:
     """(entity, term, share, bare) of the terms that disclose an entity; ``bare`` holds the shapes that disclose it too.
 
-    Counts are of rows, a repeated row as often as it stands there.
+    Counts are of rows, a repeated row as often as it stands there. Entities without the
+    contexts that a single term would need are left out first; terms come once a row, and
+    those standing in too many rows with entities to disclose any are dropped before they
+    meet the entities. No row, no entity or no such term gives no rows.
     """
-    held = scanned.select(F.explode("entities").alias("e"), "words").select("e.*", "words")
-    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.min("low").alias("least"), F.max("high").alias("most"))
-    entities = stage(entities.where("least < most").select("entity", "n_entity"))
-    held = held.join(entities, "entity")
-    pairs = held.select("entity", "n_entity", "low", "high", F.explode("words").alias("w"))
-    both = pairs.groupBy("entity", "n_entity", F.col("w.term").alias("term")).agg(
-        F.count("*").alias("n_both"), F.min("low").alias("least"), F.max("high").alias("most"), F.max("w.fits").alias("fits")
-    )
-    both = stage(both.where("fits and least < most").select("entity", "n_entity", "term", "n_both"))
-    has = lambda field: F.exists("words", lambda w: w[field]).cast("long")
-    shaped = held.groupBy("entity").agg(F.sum(has("name")).alias("with_name"), F.sum(has("word")).alias("with_word"))
-    counts = stage(term_counts(documents, both.select("term").distinct()))
     total = documents.count()
+    one = F.explode("entities").alias("e")
+    held = scanned.select("row", one).select("row", "e.entity", F.col("e.low").alias("context"))
+    entities = held.groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("contexts"))
+    able = _share(F.pow(F.lit(LEVEL), 1 / F.col("contexts")), total) >= DISCLOSURE
+    entities = stage(entities.where(able).select("entity", "n_entity"))
+    held = stage(held.join(entities, "entity"))
+    # P(c | t) is n_entity / n_term at most, so a term in more rows than this discloses no entity.
+    most = entities.agg(F.max(F.pow("n_entity", F.lit(DISCLOSURE)) * F.lit(float(max(total, 1)) ** (1 - DISCLOSURE)))).first()[0]
+    if most is None:
+        return held.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("share"), F.array(F.lit("")).alias("bare")).where("false")
+    rows = scanned.join(held.select("row").distinct(), "row", "left_semi").select("row", F.explode("words").alias("w")).select("row", "w.*")
+    seen = rows.groupBy("term").agg(F.count("*").alias("n_seen"), F.max("fits").alias("fits"))
+    seen = stage(seen.where(F.col("fits") & (F.col("n_seen") > 1) & (F.col("n_seen") <= F.lit(most))).select("term", "n_seen"))
+    pairs = rows.select("row", "term").join(seen, "term").join(held, "row")
+    both = pairs.groupBy("entity", "n_entity", "term", "n_seen", "context").agg(F.count("*").alias("n"))
+    both = stage(both.groupBy("entity", "n_entity", "term", "n_seen").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts")))
+    level = LEVEL / max(both.count(), 1)
+    lowered = F.pow(F.lit(level), 1 / F.col("contexts")) * F.col("n_both")
+    # Any rows' count is below n_term, so the share only falls when all rows are counted.
+    both = stage(both.where(_share(lowered / F.col("n_seen"), total) >= DISCLOSURE))
+    counts = stage(term_counts(documents, both.select("term").distinct()))
+    found = both.join(counts.withColumnRenamed("n", "n_term"), "term").withColumn("share", _share(lowered / F.col("n_term"), total))
+    found = stage(found.where(F.col("share") >= DISCLOSURE))
     of_shape = {r.term: r.n for r in counts.where(F.col("term").isin(*SHAPES)).collect()}
-    rows = both.join(counts.withColumnRenamed("n", "n_term"), "term").withColumn("share", _share(F.col("n_both"), F.col("n_term"), total))
-    rows = rows.where(F.col("share") >= DISCLOSURE).join(shaped, "entity")
-    bare = [F.when(_share(F.col(c), F.lit(of_shape.get(s, 0) or 1), total) >= DISCLOSURE, F.lit(s)) for s, c in zip(SHAPES, ("with_name", "with_word"), strict=True)]
-    return rows.select("entity", "term", "share", F.array_compact(F.array(*bare)).alias("bare"))
-
-
-def _share(together: Column, alone: Column, total: int) -> Column:
-    """1 - IC(c | t) / IC(c), with c in n_entity of ``total`` documents; 0 where c is in all of them."""
-    given = F.log(F.least(together / alone, F.lit(1.0)))
+    has = lambda field: F.max(F.col(field).cast("long"))
+    shaped = rows.groupBy("row").agg(has("name").alias("name"), has("word").alias("word")).join(held, "row")
+    shaped = shaped.groupBy("entity").agg(F.sum("name").alias("with_name"), F.sum("word").alias("with_word"))
+    bare = [
+        F.when(_share(F.col(c) / F.lit(of_shape.get(s, 0) or 1), total) >= DISCLOSURE, F.lit(s))
+        for s, c in zip(SHAPES, ("with_name", "with_word"), strict=True)
+    ]
+    return found.join(shaped, "entity").select("entity", "term", "share", F.array_compact(F.array(*bare)).alias("bare"))
+
+
+def _share(given: Column, total: int) -> Column:
+    """1 - IC(c | t) / IC(c) for P(c | t) ``given``, with c in n_entity of ``total`` documents; 0 where c is in all of them."""
     own = F.log(F.col("n_entity") / F.lit(float(max(total, 1))))
-    return F.when(own >= 0, F.lit(0.0)).otherwise(1 - given / own)
+    return F.when(own >= 0, F.lit(0.0)).otherwise(1 - F.log(F.least(given, F.lit(1.0))) / own)
 
 
 def find(documents: DataFrame) -> DataFrame:
-    """(id, mark, spans, terms) of every row: base spans, and all places of disclosing terms with what replaces them.
+    """(id, mark, spans, terms) of every row: base spans, and the places of disclosing terms with what replaces them.
 
-    Null texts are empty and have no spans. Repeated rows get the same spans each. Counts are
-    over all rows of ``documents``; other columns are ignored.
+    Null texts are empty and have no spans; an empty table gives an empty one. Whole texts are
+    read whatever their length. Repeated rows get the same spans each. Counts are over all
+    rows of ``documents``; other columns are ignored.
     """
     keyed = _keyed(documents)
-    scanned = stage(keyed.mapInPandas(_scan, _SCAN))
-    reveals = stage(disclosing(keyed, scanned))
-    bare = reveals.select("term", F.explode("bare").alias("shape")).distinct().withColumn("replacement", F.lit(""))
-    treated = stage(reveals.select("term").distinct())
-    met = occurrences(keyed, treated).join(treated, "term").join(bare, ["term", "shape"], "left")
-    met = met.select("id", "mark", "start", "stop", F.coalesce("replacement", "shape").alias("replacement"))
-    own = scanned.select("id", "mark", F.explode("own").alias("o")).select("id", "mark", "o.*")
+    seen = scanned(keyed)
+    reveals = stage(disclosing(keyed, seen))
+    terms = stage(reveals.select("term").distinct())
+    added = seen.select("id", "mark", F.explode("own").alias("o")).select("id", "mark", "o.*")
+    if terms.head(1):
+        met = stage(occurrences(keyed, terms).join(terms, "term"))
+        links = met.select("id", "mark", "term").distinct().join(reveals.select("entity", "term", "bare"), "term")
+        holders = seen.select(F.col("id").alias("of"), F.col("mark").alias("of_mark"), F.explode("entities.entity").alias("entity")).distinct()
+        same = (F.col("mark") == F.col("of_mark")) & F.col("id").eqNullSafe(F.col("of"))
+        holders = holders.select("of", "of_mark", F.col("entity").alias("has"), F.lit(True).alias("held"))
+        links = links.join(holders, same & (F.col("has") == F.col("entity")), "left").select("id", "mark", "term", "entity", "bare", "held")
+        enough = links.groupBy("id", "mark", "entity").agg(F.count("term").alias("n")).where(F.col("n") >= TOGETHER)
+        enough = enough.select(F.col("id").alias("of"), F.col("mark").alias("of_mark"), F.col("entity").alias("e"), F.lit(True).alias("together"))
+        links = links.join(enough, same & (F.col("e") == F.col("entity")), "left").where("held OR together")
+        links = links.groupBy("id", "mark", "term").agg(F.array_distinct(F.flatten(F.collect_set("bare"))).alias("bare"))
+        links = links.select(F.col("id").alias("of"), F.col("mark").alias("of_mark"), F.col("term").alias("t"), "bare")
+        treated = met.join(links, same & (F.col("t") == F.col("term")))
+        treated = treated.select("id", "mark", "start", "stop", F.when(F.array_contains("bare", F.col("shape")), F.lit("")).otherwise(F.col("shape")).alias("replacement"))
+        added = added.union(treated)
     added = (
-        met.union(own).groupBy("id", "mark", "start", "stop").agg(F.min("replacement").alias("replacement"))
+        added.groupBy("id", "mark", "start", "stop").agg(F.min("replacement").alias("replacement"))
         .groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "replacement"))).alias("terms"))
     )
     added = added.select(F.col("id").alias("of"), F.col("mark").alias("of_mark"), "terms")
     return (
-        scanned.select("id", "mark", "spans").join(added, (F.col("mark") == F.col("of_mark")) & F.col("id").eqNullSafe(F.col("of")), "left")
+        seen.select("id", "mark", "spans").join(added, (F.col("mark") == F.col("of_mark")) & F.col("id").eqNullSafe(F.col("of")), "left")
         .select("id", "mark", "spans", "terms")
     )
 

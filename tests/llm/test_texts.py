@@ -319,20 +319,3 @@ def test_personal_data(spark, sf_dir, awkward, nothing):
     assert clean.columns == awkward.columns and clean.count() == awkward.count()
     assert {r.text for r in clean.where("doc_id = 1").collect()} == {"The quick brown fox jumps over the lazy dog. Mail [EMAIL] now."}
     assert pii.find(nothing).count() == 0 and pii.sanitise(nothing).count() == 0
-
-
-def test_terms_that_disclose(spark):
-    lines = [(i, f"call {w} Zorbatron at q@mail.example.com please") for i, w in enumerate(("quick", "later", "today"))]
-    lines += [(i, f"call {w} please at noon with Nobody") for i, w in enumerate(["quick", "later", "today"] * 20, 10)]
-    got = {r.id: r for r in pii.find(spark.createDataFrame(lines, "doc_id long, text string")).collect()}
-    for i, text in lines:
-        words = [text[t.start:t.stop] for t in got[str(i)].terms or []]
-        assert words == (["Zorbatron"] if i < 3 else [])
-    reveals = pii.disclosing(*_scanned(spark, lines)).collect()
-    # p(c) = 3/63; the term is beside c in all its 3 documents, "please" in 3 of 63.
-    assert {(r.term, round(r.share, 6)) for r in reveals} == {("zorbatron", 1.0)}
-
-
-def _scanned(spark, lines):
-    keyed = pii._keyed(spark.createDataFrame(lines, "doc_id long, text string"))
-    return keyed, keyed.mapInPandas(pii._scan, pii._SCAN)
