@@ -27,11 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airlens.llm.pair_merges import CELLS, NONE, PairTable, merge_rows, width_for
 from airlens.llm.word_ids import Memory, blocks
 
-NONE = np.int32(np.iinfo(np.int32).max)  # rank of a pair that is no token
 LONG = 1024  # bytes of a match beyond which a heap merges it
-CELLS = 1 << 19  # ids of a matrix
 AT_ONCE = 1 << 22  # characters of texts whose matches are held at once
 REMEMBERED = 300_000  # matches of a generation; a worker keeps the present and the last one
 
@@ -51,47 +50,6 @@ _NEWER = regex.compile(f"[{NEWER.replace(' ', '')}]")
 _MARK = "\ue000"  # for private use, so neither letter, number nor blank
 
 
-class PairTable:
-    """Rank of a pair of token ids, by hashing with linear probes; whole arrays are looked up at once."""
-
-    _TIMES = np.uint64(0x9E3779B97F4A7C15)
-    _EMPTY = np.int64(-1)
-
-    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray):
-        self._bits = max(4, int(4 * len(rank)).bit_length())
-        self._key = np.full(1 << self._bits, self._EMPTY)
-        self._rank = np.full(1 << self._bits, NONE, dtype=np.int32)
-        key = self._keys(left, right)
-        slot = self._slots(key)
-        while len(key):  # the first of each free slot settles, the others go on to the next slot
-            first = np.zeros(len(key), dtype=bool)
-            first[np.unique(slot, return_index=True)[1]] = True
-            settled = first & (self._key[slot] == self._EMPTY)
-            self._key[slot[settled]], self._rank[slot[settled]] = key[settled], rank[settled]
-            key, rank, slot = key[~settled], rank[~settled], slot[~settled] + 1 & (1 << self._bits) - 1
-
-    @staticmethod
-    def _keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return left.astype(np.int64) << 32 | right.astype(np.int64)
-
-    def _slots(self, key: np.ndarray) -> np.ndarray:
-        return (key.view(np.uint64) * self._TIMES >> np.uint64(64 - self._bits)).astype(np.int64)
-
-    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ranks of the pairs, NONE where a pair is no token or an id is missing (below 0)."""
-        out = np.full(left.shape, NONE, dtype=np.int32)
-        at = np.flatnonzero((left >= 0) & (right >= 0))
-        key = self._keys(left.ravel()[at], right.ravel()[at])
-        slot = self._slots(key)
-        while len(at):
-            held = self._key[slot]
-            hit = held == key
-            out.ravel()[at[hit]] = self._rank[slot[hit]]
-            on = ~hit & (held != self._EMPTY)
-            at, key, slot = at[on], key[on], slot[on] + 1 & (1 << self._bits) - 1
-        return out
-
-
 class BytePairCoder:
     """One file of ranks, lines of a token in base 64 and its rank, with every single byte among them."""
 
@@ -165,7 +123,7 @@ class BytePairCoder:
             elif len(piece) > LONG:
                 out[k] = self._merge_long(piece)
             elif piece:
-                by_width.setdefault(_width(len(piece)), []).append(k)
+                by_width.setdefault(width_for(len(piece)), []).append(k)
         for width, members in by_width.items():
             rows = max(1, CELLS // width)
             for at in range(0, len(members), rows):
@@ -176,28 +134,8 @@ class BytePairCoder:
         raw = np.frombuffer(b"".join([pieces[k].ljust(width, b"\0") for k in members]), dtype=np.uint8).reshape(-1, width)
         sizes = np.array([len(pieces[k]) for k in members])
         ids = np.where(np.arange(width) < sizes[:, None], self._single[raw], np.int32(-1))
-        names = np.array(members)
-        rank = self._pairs.ranks(ids[:, :-1], ids[:, 1:])
-        while True:
-            n, pairs = rank.shape
-            at = rank.argmin(axis=1) if pairs else np.zeros(n, dtype=np.int64)
-            least = rank[np.arange(n), at] if pairs else np.full(n, NONE)
-            over = least == NONE
-            for row in np.flatnonzero(over).tolist():
-                line = ids[row]
-                out[names[row]] = line[line >= 0].tobytes()
-            if over.all():
-                return
-            ids, rank, at, least, names = ids[~over], rank[~over], at[~over], least[~over], names[~over]
-            row = np.arange(len(names))
-            place = np.arange(pairs)
-            ids = np.take_along_axis(ids, place + (place > at[:, None]), axis=1)
-            ids[row, at] = least
-            rank = np.take_along_axis(rank, place[:-1] + (place[:-1] >= at[:, None]), axis=1)
-            for side in (at - 1, at):  # the pairs that hold the new token
-                ok = (side >= 0) & (side < pairs - 1)
-                r, c = row[ok], side[ok]
-                rank[r, c] = self._pairs.ranks(ids[r, c], ids[r, c + 1])
+        for k, merged in zip(members, merge_rows(self._pairs, ids), strict=True):
+            out[k] = merged
 
     def _merge_long(self, piece: bytes) -> bytes:
         ids: list[int] = self._single[np.frombuffer(piece, dtype=np.uint8)].tolist()
@@ -244,14 +182,6 @@ def _narrow(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
-def _width(size: int) -> int:
-    """Columns for a match of ``size`` bytes: the size up to 8, then the next half or whole power of two."""
-    if size <= 8:
-        return size
-    top = 1 << (size - 1).bit_length()
-    return top * 3 // 4 if size <= top * 3 // 4 else top
-
-
 @functools.cache
 def shared_coder(path: str, pattern: str) -> BytePairCoder:
     """The coder of this Python worker, which keeps its memory from task to task."""

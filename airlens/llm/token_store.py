@@ -156,8 +156,8 @@ def write(documents: DataFrame, path: str, tokenizer: str, segment: int = SEGMEN
             return pd.DataFrame([row], columns=["part", "segment", "ids_before", "n_ids", "n_docs", "payload"])
 
         for frame in frames:
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                ids = np.append(coder.encode(text), np.uint32(END))
+            for doc_id, ids in zip(frame["doc_id"], coder.encode_all(frame["text"]), strict=True):
+                ids = np.append(ids, np.uint32(END))
                 names.append(None if doc_id is None else int(doc_id))
                 arrays.append(ids)
                 held += len(ids)

@@ -7,16 +7,20 @@ its words one after the other. A Python worker remembers the ids of the words it
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-REMEMBERED = 200_000  # words of a generation; a worker keeps the present and the last one
+from airlens.llm.pair_merges import CELLS, PairTable, merge_rows, width_for
+
+REMEMBERED = 400_000  # words of a generation; a worker keeps the present and the last one
 LONG_WORD = 48  # longer ones are encoded but not remembered
 BLOCK = 1 << 20  # characters encoded at once
+AT_ONCE = 1 << 21  # characters of texts whose words are looked up at once
 
 
 class Memory:
@@ -42,6 +46,54 @@ class Memory:
             self._new[word] = ids
 
 
+class LetterWords:
+    """Words of letters below 256 by a vocabulary's merges, many at once.
+
+    To both vocabularies a word of letters is one unit: its bytes in UTF-8, as symbols, merged
+    by the order of the merges. ``ok`` is false where a file is made otherwise.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        names, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        merges = [(a, b, a + b) for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+        self.ok = not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"))
+        symbols = [_symbol(b) for b in range(256)]
+        self.ok = self.ok and all(x in names and x + end in names for x in symbols) and all(x in names for m in merges for x in m)
+        if self.ok:
+            table = np.array([[names[x] for x in m] for m in merges], dtype=np.int32)
+            self.ok = bool((np.diff(table[:, 2]) > 0).all())
+            self._pairs = PairTable(*table.T)
+            self._inside = np.array([names[x] for x in symbols], dtype=np.int32)
+            self._last = np.array([names[x + end] for x in symbols], dtype=np.int32)
+
+    def ids(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of each word with ``before`` in front of it."""
+        out: list[bytes] = [b""] * len(words)
+        by_width: dict[int, list[int]] = {}
+        raw = [(before + w).encode() for w in words]
+        for k, word in enumerate(raw):
+            by_width.setdefault(width_for(len(word)), []).append(k)
+        for width, members in by_width.items():
+            for at in range(0, len(members), max(1, CELLS // width)):
+                some = members[at:at + max(1, CELLS // width)]
+                codes = np.frombuffer(b"".join([raw[k].ljust(width, b"\0") for k in some]), dtype=np.uint8).reshape(-1, width)
+                sizes = np.array([len(raw[k]) for k in some])
+                ids = np.where(np.arange(width) < sizes[:, None], self._inside[codes], np.int32(-1))
+                row = np.arange(len(some))
+                ids[row, sizes - 1] = self._last[codes[row, sizes - 1]]
+                for k, merged in zip(some, merge_rows(self._pairs, ids), strict=True):
+                    out[k] = merged
+        return out
+
+
+def _symbol(byte: int) -> str:
+    """The character that stands for a byte: itself where it is printable, else one of those from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return chr(byte) if byte in plain else chr(256 + sum(b not in plain for b in range(byte)))
+
+
 class WordCoder:
     """Encodes texts with one tokenizers file.
 
@@ -57,38 +109,68 @@ class WordCoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._dropped = spaces_dropped
+        self._letters = LetterWords(path)
         # Words with nothing before them, and words with a blank; the same where blanks are dropped.
         self._bare = Memory()
         self._spaced = self._bare if spaces_dropped else Memory()
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text as little-endian unsigned 32-bit integers; a null text is empty."""
-        if not text:
-            return np.zeros(0, dtype="<u4")
-        return np.frombuffer(b"".join(map(self._block, blocks(text))), dtype="<u4")
-
-    def _block(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text. What is not at hand is gathered over many texts and encoded once."""
+        held: list[list[tuple[Memory | None, list[str]]]] = []
+        size = 0
+        for text in texts:
+            held.append([part for block in blocks(text or "") for part in self._parts(block)])
+            size += len(text or "")
+            if size >= AT_ONCE:
+                yield from self._joined(held)
+                held, size = [], 0
+        yield from self._joined(held)
+
+    def _parts(self, text: str) -> list[tuple[Memory | None, list[str]]]:
+        """Words, each list with the memory it is looked up in; None: stretches for the library."""
         if self._dropped:
-            return b"".join(self._words(text.replace("\n", " ").split(" "), self._bare))
+            return [(self._bare, text.replace("\n", " ").split(" "))]
         if _RUN.search(text):
-            return b"".join(self._library(_joined(text)))
+            return [(None, _joined(text))]
         first, *rest = text.split(" ")
-        return b"".join([self._alone(first), *self._words(rest, self._spaced)])
+        return [(self._bare, [first]), (self._spaced, rest)]
+
+    def _joined(self, texts: list[list[tuple[Memory | None, list[str]]]]) -> Iterator[np.ndarray]:
+        wanted: dict[Memory | None, dict[str, bytes | None]] = {}
+        found, missing = [], []
+        for text in texts:
+            found.append([])
+            for memory, words in text:
+                ids = list(map(memory.get, words)) if memory else [None] * len(words)
+                found[-1].append(ids)
+                if None in ids:
+                    at = [k for k, one in enumerate(ids) if one is None]
+                    wanted.setdefault(memory, {}).update(dict.fromkeys([words[k] for k in at]))
+                    missing.append((memory, words, ids, at))
+        for memory, words in wanted.items():
+            words.update(self._fresh(words, memory) if memory else zip(words, self._library(list(words)), strict=True))
+        for memory, words, ids, at in missing:
+            known = wanted[memory]
+            for k in at:
+                ids[k] = known[words[k]]
+        for text in found:
+            yield np.frombuffer(b"".join([one for ids in text for one in ids]), dtype="<u4")
 
     def _library(self, words: list[str]) -> list[bytes]:
         return [array("I", found.ids).tobytes() for found in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _alone(self, word: str) -> bytes:
-        return self._words([word], self._bare)[0]
-
-    def _words(self, words: list[str], memory: Memory) -> list[bytes]:
-        parts = list(map(memory.get, words))
-        if None in parts:
-            at = [i for i, ids in enumerate(parts) if ids is None]
-            found = self._fresh(dict.fromkeys([words[i] for i in at]), memory)
-            for i in at:
-                parts[i] = found[words[i]]
-        return parts
+    def _units(self, words: list[str], space: str) -> Iterator[tuple[str, bytes]]:
+        """Words and their ids with ``space`` before them: plain ones by their merges, the others by the library."""
+        plain = [w for w in words if _LETTERS.fullmatch(w)] if self._letters.ok else []
+        if plain:
+            yield from zip(plain, self._letters.ids([w.lower() for w in plain] if self._dropped else plain, space), strict=True)
+            done = set(plain)
+            words = [w for w in words if w not in done]
+        yield from zip(words, self._library([space + w for w in words] if space else words), strict=True)
 
     def _fresh(self, words: dict[str, None], memory: Memory) -> dict[str, bytes]:
         """Ids of words not at hand.
@@ -96,20 +178,30 @@ class WordCoder:
         Marks at the end of a word, and a line break between visible characters, are words of
         their own to both vocabularies, so what stands before and after is looked up alone.
         """
-        found = {w: ids for w in words if (ids := memory.find(w)) is not None}
-        cut = {}
+        found, cut, whole = {}, {}, []
+        find = memory.find
         for w in words:
-            if w not in found:
-                cut[w] = [x for x in _BREAK.split(w) if x] if "\n" in w else list(m.groups()) if (m := _MARKED.fullmatch(w)) else [w]
-        heads = {parts[0]: memory.find(parts[0]) for parts in cut.values()}
+            ids = find(w)
+            if ids is not None:
+                found[w] = ids
+            elif "\n" in w:
+                cut[w] = [x for x in _BREAK.split(w) if x]
+            elif w[-1:] in _MARKS and (m := _MARKED.fullmatch(w)):
+                cut[w] = m.groups()
+            else:
+                whole.append(w)
+        heads = dict.fromkeys(whole)
+        heads.update((parts[0], find(parts[0])) for parts in cut.values() if parts[0] not in heads)
         tails = {x: self._bare.find(x) for parts in cut.values() for x in parts[1:]}
         before = "" if memory is self._bare else " "
         for known, owner, space in ((heads, memory, before), (tails, self._bare, "")):
             new = [w for w, ids in known.items() if ids is None]
             if new:
-                for w, ids in zip(new, self._library([space + w for w in new]), strict=True):
+                for w, ids in self._units(new, space):
                     known[w] = ids
                     owner.put(w, ids)
+        for w in whole:
+            found[w] = heads[w]
         for w, parts in cut.items():
             found[w] = heads[parts[0]] + b"".join([tails[x] for x in parts[1:]])
             if len(parts) == 2 and "\n" not in w:
@@ -127,6 +219,8 @@ def shared_coder(path: str, spaces_dropped: bool) -> WordCoder:
 # that is not between two visible characters; a line break that is; marks that end a word after a letter.
 _RUN = re.compile(r" (?:(?![!-~\w])|(?<![!-~\w] ))")
 _BREAK = re.compile(r"(?<=[!-~\w])(\n)(?=[!-~\w])")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]{1,48}")
+_MARKS = frozenset(".,;:!?|&%$#*)")
 _MARKED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?|&%$#*)]+)")
 _CUT = re.compile(r"[!-~\w](?= [!-~\w])")
 
