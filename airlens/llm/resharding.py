@@ -1,14 +1,18 @@
 """Resharding by minimum-cost flow: shards of near-equal bytes, moving as few bytes as can be.
 
 Old shards are sources with their bytes, new shards sinks with their capacities, and a byte
-that changes its shard costs one. The cheapest flow says how many bytes go from each old
-shard to each new one; each such transfer is a block, a range of the old shard's rows in the
-order of their hash. Rows too large to serve as small change are placed one by one first.
-Then the shards that gain or lose rows are rewritten, the others stay as they are.
+that changes its shard costs one. The cheapest flow over all bytes says how many go from each
+old shard to each new one; each such transfer is a block, a range of the old shard's rows in
+the order of their hash. A row that a border crosses goes to the nearer side. Only a row
+larger than a shard's capacity is placed beforehand, as no block can hold it. What the borders
+leave uneven is evened out by moving, or exchanging, single rows between the fullest and
+emptier shards, by preference rows that change their shard anyway. Then the shards that gain
+or lose rows are rewritten, the others stay as they are.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import uuid
 from dataclasses import dataclass
@@ -22,8 +26,8 @@ from airlens.session import shared_dir
 
 OVERHEAD = 8  # bytes of a row besides its text
 SHARDS = 24
-# A row of at least this part of a shard is placed alone; at most SHARDS * GRAIN rows are.
-GRAIN = 1000
+CLASSES, SLOTS = 4, 16  # size classes in a power of two, and rows of each that may even shards out
+EVEN = 0.002  # of a shard's bytes, by which shards may differ
 FIRST_BITS, SECOND_BITS, HASH_BITS = 12, 12, 62
 FILE_BYTES = 128 << 20
 
@@ -126,11 +130,10 @@ def fill_up(placed: list[int], pool: int) -> list[int]:
 
 @dataclass
 class Layout:
-    """Where every row goes: large rows by their hash, the others by ranges of hashes of their old shard."""
+    """Where every row goes: single rows by their hash, the others by ranges of hashes of their old shard."""
 
     shards: int
-    grain: int  # bytes from which a row is large
-    large: dict[tuple[int, int], int]
+    single: dict[tuple[int, int], int]
     cuts: dict[int, list[tuple[int, int]]]  # old shard -> (hash below which, new shard) in ascending order
     transfers: list[tuple[int, int, int]]  # old, new, bytes of the cheapest flow
     affected: list[int]
@@ -140,15 +143,15 @@ class Layout:
     def of(self, rows: DataFrame) -> DataFrame:
         """``rows(old, h, size, ...)`` with their new ``shard``; native expressions and one join of bounded size."""
         spark = rows.sparkSession
-        table = spark.createDataFrame([(o, h, s) for (o, h), s in self.large.items()], "old int, h long, moved int")
+        table = spark.createDataFrame([(o, h, s) for (o, h), s in self.single.items()], "old int, h long, moved int")
         ranges = F.lit(0)
         for old, steps in self.cuts.items():
             inner = F.lit(steps[-1][1])
             for below, new in reversed(steps[:-1]):
                 inner = F.when(F.col("h") < below, F.lit(new)).otherwise(inner)
             ranges = F.when(F.col("old") == old, inner).otherwise(ranges)
-        joined = rows.join(F.broadcast(table), ["old", "h"], "left")  # at most shards * GRAIN rows
-        return joined.withColumn("shard", F.when(F.col("size") >= self.grain, F.col("moved")).otherwise(ranges).cast("int")).drop("moved")
+        joined = rows.join(F.broadcast(table), ["old", "h"], "left")  # rows above a capacity, and those that even shards out
+        return joined.withColumn("shard", F.coalesce("moved", ranges).cast("int")).drop("moved")
 
 
 def described(documents: DataFrame, old: Column) -> DataFrame:
@@ -158,17 +161,17 @@ def described(documents: DataFrame, old: Column) -> DataFrame:
 
 
 def solve(rows: DataFrame, shards: int = SHARDS) -> Layout:
-    """The layout for ``rows(old, h, size)``, a narrow table that is read three times and should be staged.
+    """The layout for ``rows(old, h, size)``, a narrow table that is read several times and should be staged.
 
     The driver gets sums only: bytes by old shard and leading hash bits, the same once more
-    with finer bits where a transfer begins or ends, and the large rows, of which total
-    bytes and GRAIN allow shards * GRAIN at most.
+    with finer bits where a transfer begins or ends, rows above a capacity, of which there
+    are fewer than shards, and SLOTS rows of each size class of each new shard.
     """
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    grain = max(1, -(-total // (shards * GRAIN)))
-    big = rows.where(F.col("size") >= grain).groupBy("old", "h").agg(F.sum("size").alias("n")).collect()
-    large, placed = place_large([tuple(r) for r in big], shards, total / shards)
-    small = rows.where(F.col("size") < grain)
+    capacity = total / shards
+    big = rows.where(F.col("size") > capacity).groupBy("old", "h").agg(F.sum("size").alias("n")).collect()
+    large, placed = place_large([tuple(r) for r in big], shards, capacity)
+    small = rows.where(F.col("size") <= capacity)
     prefix = F.shiftright("h", HASH_BITS - FIRST_BITS)
     first: dict[int, dict[int, int]] = {}
     for old, p, n in small.groupBy("old", prefix.alias("p")).agg(F.sum("size")).collect():
@@ -180,8 +183,79 @@ def solve(rows: DataFrame, shards: int = SHARDS) -> Layout:
     transfers = [(o, j, flow[k][j]) for k, o in enumerate(olds) for j in range(shards) if flow[k][j]]
     fine = _fine(small, first, transfers)
     cuts = {o: _cuts(first[o], fine.get(o, {}), [(j, n) for i, j, n in transfers if i == o]) for o in olds}
-    moved = {s for o, j, _ in transfers if o != j for s in (o, j)} | {s for (o, _), j in large.items() if o != j for s in (o, j)}
-    return Layout(shards, grain, large, cuts, transfers, sorted(s for s in moved if s < shards), count, total)
+    layout = Layout(shards, large, cuts, transfers, [], count, total)
+    if olds:
+        sizes, candidates = _candidates(layout.of(rows), large, shards)
+        layout.single = large | even_out(sizes, candidates)
+    moved = layout.of(rows).where("old <> shard").select("old", "shard").distinct().collect()  # pairs of shards
+    layout.affected = sorted({s for r in moved for s in r if s < shards})
+    return layout
+
+
+def _candidates(placed: DataFrame, large: dict, shards: int) -> tuple[list[int], list[tuple[int, int, int, int]]]:
+    """Bytes of each new shard, and (shard, size, old, hash) of rows that may be moved singly."""
+    kind = F.floor(F.log2("size") * CLASSES).alias("kind")
+    slot = F.pmod(F.xxhash64("h"), F.lit(SLOTS)).alias("slot")
+    groups = placed.groupBy("shard", kind, slot).agg(F.sum("size").alias("bytes"), F.min(F.struct("old", "h")).alias("one"))
+    groups = stage(groups.select("shard", "bytes", "one.old", "one.h"))
+    sizes = [0] * shards
+    for shard, n in groups.groupBy("shard").agg(F.sum("bytes")).collect():
+        sizes[shard] = n
+    chosen = groups.select("old", "h").distinct()
+    alike = placed.join(chosen, ["old", "h"], "left_semi").groupBy("shard", "old", "h").agg(F.sum("size").alias("n")).collect()
+    return sizes, sorted((shard, n, old, h) for shard, old, h, n in alike if (old, h) not in large)
+
+
+def even_out(sizes: list[int], candidates: list[tuple[int, int, int, int]]) -> dict[tuple[int, int], int]:
+    """New shards of single rows (shard, size, old, hash) that bring the shards' sizes closer together.
+
+    A step takes the fullest shard that can give and moves a row of it, or exchanges it for a
+    smaller one, so that the two shards' difference falls most; rows that have left their old
+    shard anyway come first. Shards that differ by no more than EVEN of their size are even;
+    every step lowers the sum of squares by a hundredth of the difference's at least, so steps end.
+    """
+    sizes = list(sizes)
+    held: list[list[tuple[int, int, int]]] = [[] for _ in sizes]
+    for shard, n, old, h in candidates:
+        held[shard].append((n, old, h))
+    where: dict[tuple[int, int], int] = {}
+    least = max(1, int(EVEN * sum(sizes) / max(len(sizes), 1)))
+
+    def gain(n: int, gap: int) -> int:
+        return 2 * n * (gap - n)  # what moving n bytes takes from the sum of squares
+
+    def worth(row: tuple[int, int, int], shard: int) -> int:
+        return 4 if row[1] == shard else 10  # a row that still is where it was would be moved anew
+
+    for _ in range(64 * len(sizes)):
+        by_size = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
+        step = None
+        for full in reversed(by_size[1:]):
+            for empty in by_size[:4]:
+                gap = sizes[full] - sizes[empty]
+                if gap <= least or empty == full:
+                    continue
+                options = [(gain(r[0], gap) * worth(r, full), r, None) for r in held[full] if r[0] < gap]
+                back = sorted(held[empty])
+                for r in held[full]:  # for each row, the one whose exchange for it fits best
+                    at = bisect.bisect_left(back, (r[0] - gap // 2,))
+                    options += [(gain(r[0] - b[0], gap) * worth(r, full) * worth(b, empty) // 12, r, b) for b in back[max(0, at - 1):at + 2] if 0 < r[0] - b[0] < gap]
+                best = max(options, key=lambda o: o[0], default=None)
+                if best and best[0] >= gap * gap // 10 and (step is None or best[0] > step[0]):
+                    step = (best[0], full, empty, best[1], best[2])
+            if step:
+                break
+        if step is None:
+            break
+        _, full, empty, row, back = step
+        for one, a, b in ((row, full, empty), (back, empty, full)):
+            if one:
+                held[a].remove(one)
+                held[b].append(one)
+                sizes[a] -= one[0]
+                sizes[b] += one[0]
+                where[one[1], one[2]] = b
+    return where
 
 
 def _borders(transfers: list[tuple[int, int]]) -> list[int]:
@@ -233,6 +307,15 @@ def _cuts(first: dict[int, int], fine: dict[int, dict[int, int]], transfers: lis
     return [*out, (1 << HASH_BITS, transfers[-1][0])]
 
 
+def moved_bytes(rows: DataFrame, layout: Layout) -> int:
+    """Bytes of ``rows(old, h, size)`` that change their shard; the flow's own value is ``planned_bytes``."""
+    return layout.of(rows).agg(F.coalesce(F.sum(F.when(F.col("old") != F.col("shard"), F.col("size"))), F.lit(0))).first()[0]
+
+
+def planned_bytes(layout: Layout) -> int:
+    return sum(n for o, j, n in layout.transfers if o != j)
+
+
 def rewrite(rows: DataFrame, layout: Layout, path: str) -> None:
     """Write the affected shards of ``rows(shard, h, text, ...)`` to ``path``, one folder a shard, in files of bounded size."""
     files = max(1, layout.total // (layout.shards * FILE_BYTES)) * 4
