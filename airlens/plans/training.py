@@ -7,6 +7,9 @@ over the test rows.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -14,11 +17,9 @@ from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlens import schema as S
@@ -26,8 +27,9 @@ from airlens.functions.trees import tree_from_model, tree_node_rows, tree_pred,
 from airlens.operators import metrics, ordered, quality, rules
 from airlens.operators.stage import stage
 from airlens.plans import projections
+from airlens.plans.exact_trees import Forest, Tree, TreeSpec, grow
 from airlens.plans.split import (
-    NEUTRAL_SETS, SEED, balanced_weights, join_fills, neutralize, stratified_folds, stratified_split,
+    NEUTRAL_SETS, ROW_KEY, SEED, balanced_weights, class_weights, join_fills, neutralize, stratified_folds, stratified_split,
 )
 from airlens.session import ensure_checkpoint_dir
 
@@ -102,6 +104,42 @@ def fit_boosted(train: DataFrame, features: Sequence[str] = S.WINDOW_FEATURES, r
     return _assembled(features, boosted).fit(train)
 
 
+def exact_tree(train: DataFrame, features: Sequence[str] = S.WINDOW_FEATURES, depth: int = 4, label: str = "label", leaf: int = 1) -> Tree:
+    """Shallow tree over every threshold, classes balanced (M3)."""
+    return grow(train, [TreeSpec("tree", features, depth, leaf, label)])["tree"]
+
+
+# Parts of 2**32 below which a Poisson variable of mean 1 is at most 0, 1, 2, ...
+DRAWS = tuple(int(x * 2**32) for x in itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(10)))
+
+
+def draws(tree: int, seed: int = SEED, key: Sequence[str] = ROW_KEY) -> Column:
+    """How often a row counts in a tree's sample with replacement, from a hash, so that any engine draws the same (M4)."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(tree)), *[F.col(c).cast("string") for c in key])
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return sum([(u >= limit).cast("long") for limit in DRAWS], F.lit(0).cast("long"))
+
+
+def node_features(tree: int, node: int, features: Sequence[str], n: int, seed: int = SEED) -> list[str]:
+    """``n`` features of a node, the first by a hash of tree, node and the feature's place among all."""
+    def key(f: str) -> str:
+        return hashlib.md5(f"{seed}|{tree}|{node}|{S.WINDOW_FEATURES.index(f) + 1}".encode()).hexdigest()
+
+    return sorted(features, key=key)[:n]
+
+
+def exact_forest(train: DataFrame, trees: int = 80, depth: int = 6, features: Sequence[str] = S.WINDOW_FEATURES, seed: int = SEED) -> Forest:
+    """Random forest any engine can repeat: samples and features by hashes, every threshold (M4)."""
+    n = max(1, math.isqrt(len(features)))
+    sizes = class_weights(train)
+    weights = tuple(sizes.get(c, 0.0) for c in (0, 1))
+    specs = [
+        TreeSpec(str(t), features, depth, times=draws(t, seed), weights=weights, choice=lambda node, t=t: node_features(t, node, features, n, seed)) for t in range(trees)
+    ]
+    grown = grow(train, specs)
+    return Forest([grown[s.name] for s in specs])
+
+
 def model_tree(model, features: Sequence[str]) -> tuple:
     """A fitted tree as nested nodes (R2)."""
     return tree_from_model(model.stages[-1], list(features))
@@ -109,6 +147,8 @@ def model_tree(model, features: Sequence[str]) -> tuple:
 
 def predict(model, df: DataFrame) -> DataFrame:
     """``pred`` and ``score`` of any fitted model."""
+    if hasattr(model, "scored"):
+        return model.scored(df)
     return model.transform(df).withColumns({
         "pred": F.col("prediction").cast("int"), "score": vector_to_array("probability")[1],
     }).drop("features", "rawPrediction", "probability", "prediction")
@@ -138,7 +178,7 @@ def fit_many(jobs: dict[str, callable]) -> dict:
 
 def tree_to_sql(ts: TrainingSet) -> tuple[DataFrame, list[str], tuple]:
     """Node table, readable rules and nested form of the tree fitted on all features (R2)."""
-    tree = model_tree(fit_tree(ts.train), S.WINDOW_FEATURES)
+    tree = exact_tree(ts.train).nested()
     nodes = ts.rows.sparkSession.createDataFrame(
         tree_node_rows(tree), "node_id long, feature string, threshold double, p_normal double, p_attack double"
     )
@@ -149,9 +189,8 @@ def tree_to_sql(ts: TrainingSet) -> tuple[DataFrame, list[str], tuple]:
 
 def feature_ablation(ts: TrainingSet) -> DataFrame:
     """The same tree on each column set, and what F1 and FPR lose or gain (M9)."""
-    trees = fit_many({
-        name: (lambda f=f: model_tree(fit_tree(ts.train, f), f)) for name, f in ABLATION_SETS.items()
-    })
+    grown = grow(ts.train, [TreeSpec(name, f) for name, f in ABLATION_SETS.items()])
+    trees = {name: grown[name].nested() for name in ABLATION_SETS}
     scored = evaluate(predict_trees(ts.test, trees))
     full = scored.where("model = 'full'").select("f1", "fpr").first()
     return scored.select(
@@ -175,8 +214,8 @@ def feature_importance(ts: TrainingSet) -> DataFrame:
     ``heap_over_limit`` is the export gate: heap carries more than the allowed share.
     """
     sets = {"full": S.WINDOW_FEATURES, "wireless_only": S.NIDS_ONLY}
-    models = fit_many({n: (lambda f=f: fit_tree(ts.train, f)) for n, f in sets.items()})
-    rows = [(n, f, feature_group(f), v) for n, m in models.items() for f, v in importance_rows(m, sets[n])]
+    grown = grow(ts.train, [TreeSpec(n, f) for n, f in sets.items()])
+    rows = [(n, f, feature_group(f), v) for n, tree in grown.items() for f, v in tree.importances()]
     table = ts.rows.sparkSession.createDataFrame(rows, "model string, feature string, feature_group string, importance double")
     sums = table.groupBy("model", "feature_group").agg(F.sum("importance").alias("group_importance"))
     heap = F.col("feature").eqNullSafe("heap") & (F.col("importance") > S.MAX_HEAP_IMPORTANCE)
@@ -185,17 +224,13 @@ def feature_importance(ts: TrainingSet) -> DataFrame:
 
 def neutralized_models(ts: TrainingSet) -> DataFrame:
     """Trees on the full layout with columns held constant, per variant."""
-    def one(names):
-        rows, fills = neutralize(ts.rows, names)
-        model = fit_tree(rows.where(~F.col("is_test")))
-        return model, fills
-
-    fitted = fit_many({n: (lambda c=c: one(c)) for n, c in NEUTRAL_SETS.items()})
     scored, extra = None, []
-    for name, (model, fills) in fitted.items():
-        part = predict_trees(join_fills(ts.test, fills), {name: model_tree(model, S.WINDOW_FEATURES)})
+    for name, columns in NEUTRAL_SETS.items():
+        rows, fills = neutralize(ts.rows, columns)
+        tree = exact_tree(rows.where(~F.col("is_test")))
+        part = predict_trees(join_fills(ts.test, fills), {name: tree.nested()})
         scored = part if scored is None else scored.unionByName(part)
-        imp = dict(importance_rows(model, S.WINDOW_FEATURES))
+        imp = dict(tree.importances())
         extra.append((
             name, imp["heap"], sum(imp[f] for f in S.HIDS), sum(imp[f] for f in S.RF_SOFT),
             {k: float(v) for k, v in fills.items()},
@@ -206,11 +241,10 @@ def neutralized_models(ts: TrainingSet) -> DataFrame:
     return evaluate(scored).select("model", "precision", "recall", "f1", "fpr", "auc").join(sums, "model")
 
 
-def distill(ts: TrainingSet, teacher=None):
-    """A depth-4 tree fitted on another model's training predictions."""
-    teacher = fit_forest(ts.train) if teacher is None else teacher
-    taught = stage(predict(teacher, ts.train).drop("weight").withColumn("soft", F.col("pred").cast("double")))
-    return fit_tree(balanced_weights(taught, "soft"), label="soft")
+def distill(ts: TrainingSet, teacher: Forest | None = None) -> Tree:
+    """A depth-4 tree fitted on another model's training predictions, their classes balanced."""
+    teacher = exact_forest(ts.train) if teacher is None else teacher
+    return exact_tree(stage(teacher.scored(ts.train)), label="pred")
 
 
 # ---- M16 -------------------------------------------------------------------------------
@@ -222,26 +256,28 @@ LEAVES = (1, 5, 10, 20)
 def grid_search(ts: TrainingSet, depths: Sequence[int] = DEPTHS, leaves: Sequence[int] = LEAVES, folds: int = 3) -> DataFrame:
     """Cross-validated F1 over depth and leaf size; test F1 of the best and the default."""
     train = stage(stratified_folds(ts.train, folds))
-    tree = DecisionTreeClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight", maxBins=MAX_BINS, impurity="gini", seed=SEED
-    )
-    grid = ParamGridBuilder().addGrid(tree.maxDepth, list(depths)).addGrid(tree.minInstancesPerNode, list(leaves)).build()
-    f1 = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="fMeasureByLabel", metricLabel=1.0)
-    rows = VectorAssembler(inputCols=list(S.WINDOW_FEATURES), outputCol="features").transform(train)
-    search = CrossValidator(
-        estimator=tree, estimatorParamMaps=grid, evaluator=f1, numFolds=folds, foldCol="fold",
-        parallelism=PARALLEL_FITS, collectSubModels=False,
-    ).fit(rows)
-    table = [
-        (int(p[tree.maxDepth]), int(p[tree.minInstancesPerNode]), float(m), float(s))
-        for p, m, s in zip(grid, search.avgMetrics, search.stdMetrics)
-    ]
-    best = tree_from_model(search.bestModel, list(S.WINDOW_FEATURES))
-    default = model_tree(fit_tree(ts.train), S.WINDOW_FEATURES)
+    fitted = grow(train, [
+        TreeSpec(f"{leaf}|{fold}", depth=max(depths), leaf=leaf, times=(F.col("fold") != fold).cast("long")) for leaf in leaves for fold in range(folds)
+    ])
+    # Trees grow level by level, so a shallower tree is the upper part of the deepest.
+    held = None
+    for fold in range(folds):
+        trees = {f"{d}|{leaf}|{fold}": fitted[f"{leaf}|{fold}"].nested(d) for d in depths for leaf in leaves}
+        part = predict_trees(train.where(F.col("fold") == fold), trees)
+        held = part if held is None else held.unionByName(part)
+    f1 = {r["model"]: r["f1"] for r in metrics.binary_metrics(held, by=("model",)).collect()}
+    table = []
+    for d in depths:
+        for leaf in leaves:
+            each = [f1[f"{d}|{leaf}|{fold}"] for fold in range(folds)]
+            mean = sum(each) / folds
+            table.append((d, leaf, mean, math.sqrt(sum((x - mean) ** 2 for x in each) / folds)))
+    # Equal means differ in their last bits by the order of the folds.
+    top = max(round(m, 12) for _, _, m, _ in table)
+    chosen = next(i for i, t in enumerate(table) if round(t[2], 12) == top)
+    whole = grow(ts.train, [TreeSpec("best", depth=table[chosen][0], leaf=table[chosen][1]), TreeSpec("default")])
     test = {r["model"]: r["f1"] for r in metrics.binary_metrics(
-        predict_trees(ts.test, {"best": best, "default": default}), by=("model",)).collect()}
-    top = max(m for _, _, m, _ in table)
-    chosen = next(i for i, t in enumerate(table) if t[2] == top)
+        predict_trees(ts.test, {n: t.nested() for n, t in whole.items()}), by=("model",)).collect()}
     out = [(*t, i == chosen, test["best"] if i == chosen else None, test["default"]) for i, t in enumerate(table)]
     return ts.rows.sparkSession.createDataFrame(
         out, "max_depth int, min_leaf int, mean_cv_f1 double, std_cv_f1 double, is_best boolean, best_test_f1 double, default_test_f1 double"
@@ -250,10 +286,6 @@ def grid_search(ts: TrainingSet, depths: Sequence[int] = DEPTHS, leaves: Sequenc
 
 # ---- M17, M18 --------------------------------------------------------------------------
 
-def _tree_and_importance(model, features: Sequence[str]) -> tuple[tuple, list[tuple[str, float]]]:
-    return model_tree(model, features), importance_rows(model, features)
-
-
 def dual_expert_eval(ts: TrainingSet, gate: float = S.EXPERT_H_GATE) -> DataFrame:
     """Wireless and host expert, their fusions, overlap and busy-time alert rates.
 
@@ -261,10 +293,8 @@ def dual_expert_eval(ts: TrainingSet, gate: float = S.EXPERT_H_GATE) -> DataFram
     and the peak time of each capture's busy stretch.
     """
     neutral, fills = neutralize(ts.rows, (*S.HIDS, *S.RF_SOFT))
-    fitted = fit_many({
-        "W": lambda: _tree_and_importance(fit_tree(neutral.where(~F.col("is_test"))), S.WINDOW_FEATURES),
-        "H": lambda: _tree_and_importance(fit_tree(ts.train, S.HIDS), S.HIDS),
-    })
+    grown = {"W": exact_tree(neutral.where(~F.col("is_test"))), "H": exact_tree(ts.train, S.HIDS)}
+    fitted = {n: (tree.nested(), tree.importances()) for n, tree in grown.items()}
 
     def scored(df: DataFrame) -> DataFrame:
         host = df.withColumns({"host_score": tree_prob(fitted["H"][0]), "host_pred": tree_pred(fitted["H"][0])})
@@ -306,12 +336,12 @@ def _long(df: DataFrame, section: str, names: Sequence[str]) -> DataFrame:
     return df.select(F.lit(section).alias("section"), "model", F.explode(pairs).alias("_p")).select("section", "model", "_p.*")
 
 
-MODEL_ORDER = ("DecisionTree", "RandomForest", "GradientBoosted")
+MODEL_ORDER = ("DecisionTree", "RandomForest", "GradientBoosted", "XGBoost", "LightGBM")
 
 
 def fitted_models(ts: TrainingSet) -> dict:
     return fit_many({
-        "DecisionTree": lambda: fit_tree(ts.train), "RandomForest": lambda: fit_forest(ts.train),
+        "DecisionTree": lambda: Forest([exact_tree(ts.train)]), "RandomForest": lambda: fit_forest(ts.train),
         "GradientBoosted": lambda: fit_boosted(ts.train),
     })
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from airlens import schema as S
 from airlens.operators import metrics, quality
-from airlens.plans import projections, training
+from airlens.plans import oracle, projections, training
+from airlens.plans import tree_oracle as T
 from airlens.plans.queries import quiet_windows, windows_of
 from airlens.plans.registry import query
 from airlens.plans.training import TrainingSet
@@ -25,11 +26,16 @@ def _scored(ts: TrainingSet, name: str, model) -> DataFrame:
     return training.evaluate(training.model_scores(ts, {name: model}))
 
 
-@query("fit_tree")
+oracle.CTES["quiet_split"] = oracle.CTES["split"].replace("from windows", "from quiet")
+T.add_trees("tree", T.plain_rows({"DecisionTree": S.WINDOW_FEATURES}), 4)
+T.add_trees("ablated", T.plain_rows(training.ABLATION_SETS), 4)
+T.add_trees("weighed", T.plain_rows({"full": S.WINDOW_FEATURES, "wireless_only": S.NIDS_ONLY}), 4)
+
+
+@query("fit_tree", T.evaluated(T.test_rows("tree")))
 def _(spark, d):
     ts = training_set(spark, d)
-    tree = training.model_tree(training.fit_tree(ts.train), S.WINDOW_FEATURES)
-    return training.evaluate(training.predict_trees(ts.test, {"DecisionTree": tree}))
+    return training.evaluate(training.predict_trees(ts.test, {"DecisionTree": training.exact_tree(ts.train).nested()}))
 
 
 @query("fit_forest")
@@ -44,12 +50,19 @@ def _(spark, d):
     return _scored(ts, "GradientBoosted", training.fit_boosted(ts.train))
 
 
-@query("tree_to_sql")
+@query("tree_to_sql", f"""
+select node::bigint as node_id, ([{', '.join(repr(f) for f in S.WINDOW_FEATURES)}])[f] as feature, th as threshold, null::double as p_normal, null::double as p_attack from tree_splits
+union all select node::bigint, null, null, p0, p1 from tree_leaf""")
 def _(spark, d):
     return training.tree_to_sql(training_set(spark, d))[0]
 
 
-@query("feature_ablation")
+oracle.CTES["ablated_metrics"] = T.evaluated(T.test_rows("ablated"))
+
+
+@query("feature_ablation", """
+select e.model, e.precision, e.recall, e.f1, e.fpr, e.auc, f.f1 - e.f1 as f1_lift_of_full, e.fpr - f.fpr as fpr_change
+from ablated_metrics e, (select f1, fpr from ablated_metrics where model = 'full') f""")
 def _(spark, d):
     return training.feature_ablation(training_set(spark, d))
 
@@ -59,16 +72,49 @@ def _(spark, d):
     return training.neutralized_models(training_set(spark, d))
 
 
-@query("feature_importance")
+def _names(names) -> str:
+    return ", ".join(repr(n) for n in names)
+
+
+@query("feature_importance", f"""
+select model, feature_group, feature, round(importance, 9) as importance, round(sum(importance) over (partition by model, feature_group), 9) as group_importance,
+  feature = 'heap' and importance > {S.MAX_HEAP_IMPORTANCE} as heap_over_limit
+from (select tree as model, feature, importance, case when feature in ({_names(S.HIDS)}) then 'host' when feature in ({_names(S.RF_SOFT)}) then 'rf_soft' else 'counts' end as feature_group
+from ({T.importances("weighed")})) where importance > 0""")
 def _(spark, d):
-    return training.feature_importance(training_set(spark, d))
+    table = training.feature_importance(training_set(spark, d))
+    return table.withColumns({c: F.round(c, 9) for c in ("importance", "group_importance")})
+
+
+SMALL_FOREST = {"trees": 3, "depth": 2}
+_DRAWN = " + ".join(f"(u >= {limit})::bigint" for limit in training.DRAWS)
+T.add_trees("grove", f"""
+select tree, capture_id, window_us, label, attack_type, is_test, {T.VALUES} as x, label as y, case when is_test then 0 else {_DRAWN} end as c, [0] as fs, 1 as leaf, 2 as depth, w0, w1 from (
+select s.*, tree, ('0x' || md5(concat('42|', tree, '|', capture_id, '|', window_us))[1:8])::bigint as u,
+  (count(*) filter (not is_test) over ())::double / (2.0::double * count(*) filter (not is_test and label = 0) over ()) as w0,
+  (count(*) filter (not is_test) over ())::double / (2.0::double * count(*) filter (not is_test and label = 1) over ()) as w1
+from split s, (select capture_id as cap, window_us as win, unnest([0, 1, 2]) as tree from split) t where s.capture_id = cap and s.window_us = win)""", 2, """
+list_transform(list_sort(list_transform(range(1, 18), lambda f: md5(concat('42|', tree, '|', node, '|', f)) || '|' || f))[1:4], lambda s: split_part(s, '|', 2)::int)""")
+oracle.CTES["grove_votes"] = """
+select 'RandomForest' as tree, capture_id, window_us, label, attack_type, is_test, any_value(x) as x, list_reduce(list(score order by tree), lambda a, b: a + b) / 3.0::double as score,
+  (list_reduce(list(score order by tree), lambda a, b: a + b) / 3.0::double > 0.5)::int as pred from grove_scored group by capture_id, window_us, label, attack_type, is_test"""
+T.add_trees("taught", T.balanced(f"""
+select 'Distilled' as tree, capture_id, window_us, label, attack_type, is_test, x, pred as y, (not is_test)::int as c, {T.places(S.WINDOW_FEATURES)} as fs, 1 as leaf, 4 as depth
+from grove_votes""", "y"), 4)
 
 
-@query("distill")
+@query("fit_forest_exact", T.evaluated("select * from grove_votes where is_test"))
 def _(spark, d):
+    """A small forest whose samples and features any engine draws alike."""
     ts = training_set(spark, d)
-    tree = training.model_tree(training.distill(ts), S.WINDOW_FEATURES)
-    return training.evaluate(training.predict_trees(ts.test, {"Distilled": tree}))
+    return _scored(ts, "RandomForest", training.exact_forest(ts.train, **SMALL_FOREST))
+
+
+@query("distill", T.evaluated(T.test_rows("taught")))
+def _(spark, d):
+    ts = training_set(spark, d)
+    tree = training.distill(ts, training.exact_forest(ts.train, **SMALL_FOREST))
+    return training.evaluate(training.predict_trees(ts.test, {"Distilled": tree.nested()}))
 
 
 @query("pca_report")
@@ -111,9 +157,99 @@ def _(spark, d):
     return projections.lda_multiclass(wide, wide, names, "label")[1].select("vec_id", "label", "ld1", "ld2")
 
 
-@query("grid_search")
+oracle.CTES["folds"] = """
+select *, case when is_test then null when k <= floor(n / 3.0::double + 0.5) then 0 when k <= floor(n * 2 / 3.0::double + 0.5) then 1 else 2 end as fold from (
+select *, row_number() over (partition by label, is_test order by h) as k, count(*) over (partition by label, is_test) as n from split)"""
+T.add_trees("grid", T.balanced(f"""
+select leaf || '|' || hold as tree, capture_id, window_us, label, attack_type, is_test, fold, {T.VALUES} as x, label as y, (not is_test and fold <> hold)::int as c,
+  {T.places(S.WINDOW_FEATURES)} as fs, leaf, {max(training.DEPTHS)} as depth, hold from folds, (select unnest({list(training.LEAVES)}) as leaf), (select unnest([0, 1, 2]) as hold)"""), max(training.DEPTHS))
+# A tree of some depth is the upper part of the deepest: its leaf is the node a row has at that level.
+_AT = " union all ".join(f"select tree, leaf, hold, {d} as max_depth, node, label, y, c, w0, w1, fold, is_test from grid_rows{d}" for d in training.DEPTHS)
+_F1 = "coalesce(2 * count(*) filter (label = 1 and pred) / nullif(count(*) filter (label = 1) + count(*) filter (pred), 0)::double, 0)"
+oracle.CTES["grid_at"] = _AT
+oracle.CTES["grid_preds"] = """
+select r.leaf, r.hold, r.max_depth, r.label, r.fold, r.is_test, n1 * w1 / (w0 * n0 + w1 * n1) > w0 * n0 / (w0 * n0 + w1 * n1) as pred
+from (select * from grid_at where fold = hold) r join (
+select tree, max_depth, node, coalesce(sum(c) filter (y = 0), 0)::double as n0, coalesce(sum(c) filter (y = 1), 0)::double as n1 from grid_at where c > 0 group by all) l
+on r.tree = l.tree and r.max_depth = l.max_depth and r.node = l.node"""
+oracle.CTES["grid_scores"] = f"""
+select max_depth, leaf as min_leaf, avg(f1) as mean_cv_f1, stddev_pop(f1) as std_cv_f1 from (
+select max_depth, leaf, hold, {_F1} as f1 from grid_preds group by all) group by all"""
+T.add_trees("refit", T.balanced(f"""
+select tree, capture_id, window_us, label, attack_type, is_test, {T.VALUES} as x, label as y, (not is_test)::int as c, {T.places(S.WINDOW_FEATURES)} as fs, leaf, depth from split, (
+select 'best' as tree, min_leaf as leaf, max_depth as depth from grid_scores qualify row_number() over (order by round(mean_cv_f1, 12) desc, max_depth, min_leaf) = 1
+union all select 'default', 1, 4)"""), max(training.DEPTHS))
+
+
+oracle.CTES["refit_metrics"] = T.evaluated(T.test_rows("refit"))
+
+
+@query("grid_search", """
+select max_depth, min_leaf, round(mean_cv_f1, 9) as mean_cv_f1, round(std_cv_f1, 9) as std_cv_f1, k = 1 as is_best,
+  case when k = 1 then (select f1 from refit_metrics where model = 'best') end as best_test_f1, (select f1 from refit_metrics where model = 'default') as default_test_f1
+from (select *, row_number() over (order by round(mean_cv_f1, 12) desc, max_depth, min_leaf) as k from grid_scores)""")
 def _(spark, d):
-    return training.grid_search(training_set(spark, d))
+    return training.grid_search(training_set(spark, d)).withColumns({c: F.round(c, 9) for c in ("mean_cv_f1", "std_cv_f1")})
+
+
+_HELD = (*S.HIDS, *S.RF_SOFT)
+
+
+def _filled(names, source: str) -> tuple[str, str]:
+    """VALUES with columns at their median over normal training rows, and the table to read them from."""
+    of = {f: f"coalesce(m_{f}, 0)" for f in names}
+    medians = ", ".join(f"quantile_cont({f}, 0.5) filter (label = 0 and not is_test) as m_{f}" for f in names)
+    return f"[{', '.join(of.get(f, f + '::double') for f in S.WINDOW_FEATURES)}]", f"{source}, (select {medians} from {source})"
+
+
+T.add_trees("neutral", " union all ".join(
+    T.plain_rows({n: S.WINDOW_FEATURES}, 4, 1, *_filled(columns, "split")) for n, columns in training.NEUTRAL_SETS.items()
+), 4)
+
+
+def _summed(names) -> str:
+    return f"round(coalesce(sum(importance) filter (feature in ({_names(names)})), 0), 9)"
+
+
+@query("neutralized_values", f"""
+select e.model, e.precision, e.recall, e.f1, e.fpr, e.auc, heap_importance, host_importance, rf_soft_importance from ({T.evaluated(T.test_rows("neutral"))}) e join (
+select tree, {_summed(["heap"])} as heap_importance, {_summed(S.HIDS)} as host_importance, {_summed(S.RF_SOFT)} as rf_soft_importance
+from ({T.importances("neutral")}) group by tree) i on e.model = i.tree""")
+def _(spark, d):
+    """Metrics and importance sums of the trees with columns held constant."""
+    table = training.neutralized_models(training_set(spark, d)).drop("fills")
+    return table.withColumns({c: F.round(c, 9) for c in ("heap_importance", "host_importance", "rf_soft_importance")})
+
+
+T.add_trees("expert", " union all ".join([
+    T.plain_rows({"W": S.WINDOW_FEATURES}, 4, 1, *_filled(_HELD, "quiet_split")), T.plain_rows({"H": S.HIDS}, source="quiet_split"),
+]), 4)
+oracle.CTES["experts"] = f"""
+select w.label, w.attack_type, w.pred as wp, h.pred as hp, w.score as ws, h.score as hs, greatest(w.pred, h.pred) as op, greatest(w.score, h.score) as os,
+  (w.pred = 1 or h.score >= {S.EXPERT_H_GATE})::int as gp, case when w.pred = 1 then greatest(w.score, h.score) when h.score >= {S.EXPERT_H_GATE} then h.score else w.score end as gs
+from expert_scored w join expert_scored h on w.capture_id = h.capture_id and w.window_us = h.window_us where w.tree = 'W' and h.tree = 'H' and w.is_test"""
+oracle.CTES["expert_preds"] = " union all ".join(
+    f"select '{n}' as tree, label, attack_type, {p} as pred, {s} as score from experts" for n, p, s in (("W", "wp", "ws"), ("H", "hp", "hs"), ("OR", "op", "os"), ("OR_gated", "gp", "gs"))
+)
+oracle.CTES["expert_metrics"] = T.evaluated("select * from expert_preds")
+_METRICS = ("precision", "recall", "f1", "fpr", "auc", "accuracy")
+_PARTS = ("metric", "recall", "overlap", "importance", "fill", "train_types")
+
+
+@query("dual_expert_values", f"""
+select section, model, name, round(value, 9) as value from (
+select 'metric' as section, model, unnest({list(_METRICS)}) as name, unnest([{', '.join(_METRICS)}]) as value from expert_metrics
+union all select 'recall', tree, attack_type, avg(pred) from expert_preds where attack_type not in ('', 'NONE', 'nan') group by tree, attack_type
+union all select 'overlap', 'W,H', unnest(['both_attack', 'only_w', 'only_h', 'n']),
+  unnest([count(*) filter (wp = 1 and hp = 1), count(*) filter (wp = 1 and hp = 0), count(*) filter (wp = 0 and hp = 1), count(*)])::double from experts
+union all select 'importance', m.tree, m.feature, coalesce(i.importance, 0) from (
+  select 'W' as tree, unnest([{_names(S.WINDOW_FEATURES)}]) as feature union all select 'H', unnest([{_names(S.HIDS)}])) m left join ({T.importances("expert")}) i on m.tree = i.tree and m.feature = i.feature
+union all select 'fill', 'W', unnest([{_names(_HELD)}]), unnest([{', '.join(f"coalesce(quantile_cont({f}, 0.5) filter (label = 0 and not is_test), 0)" for f in _HELD)}]) from quiet_split
+union all select 'train_types', 'W,H', attack_type, count(*)::double from quiet_split where not is_test group by attack_type)""")
+def _(spark, d):
+    """Metrics, recalls, overlap, importances, fills and training types of both experts and their fusions."""
+    table = training.dual_expert_eval(training_set(spark, d, quiet=True))
+    return table.where(F.col("section").isin(*_PARTS)).withColumn("value", F.round("value", 9))
 
 
 @query("dual_expert_eval")
@@ -162,7 +298,7 @@ def _(spark, d):
 @query("distill_classes", _CLASSES.format("Distilled"))
 def _(spark, d):
     ts = training_set(spark, d)
-    tree = training.model_tree(training.distill(ts), S.WINDOW_FEATURES)
+    tree = training.distill(ts, training.fit_forest(ts.train)).nested()
     return _classes(training.evaluate(training.predict_trees(ts.test, {"Distilled": tree})))
 
 
