@@ -13,7 +13,7 @@ candidates the first feature and the smallest value win.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -104,14 +104,14 @@ class Tree:
         return (a + b) - (a * a + b * b) / (a + b) if a + b else 0.0
 
 
-def grow(rows: DataFrame, specs: Sequence[TreeSpec]) -> dict[str, Tree]:
+def grow(rows: DataFrame, specs: Sequence[TreeSpec], cuts: list[list[float]] | None = None) -> dict[str, Tree]:
     """The trees of all ``specs`` on ``rows``, which are read once a level and should be staged.
 
     A node without both classes, or without a threshold that leaves ``leaf`` rows on either
     side, stays a leaf. Rows without a label of 0 or 1 don't count. Features must not be null.
+    ``cuts`` are those of ``slices_of``, for callers that grow many trees on the same rows.
     """
-    order = {f: k for k, f in enumerate(S.WINDOW_FEATURES)}
-    names = sorted(dict.fromkeys(f for s in specs for f in s.features), key=lambda f: order.get(f, len(order)))
+    names = feature_order(f for s in specs for f in s.features)
     where = {f: k for k, f in enumerate(names)}
     times = [F.lit(1).cast("long") if s.times is None else s.times.cast("long") for s in specs]
     of = lambda s, n, y: F.when(F.col(s.label) == y, n).otherwise(0)
@@ -120,7 +120,7 @@ def grow(rows: DataFrame, specs: Sequence[TreeSpec]) -> dict[str, Tree]:
     values = F.array(*[F.col(f).cast("double") for f in names])
     base = rows.select(values.alias("vals"), F.array(*times).alias("times"), a.alias("a"), b.alias("b"))
     trees = _roots(base, specs)
-    cuts = _cuts(base, len(names))
+    cuts = slices_of(rows, names) if cuts is None else cuts
     state = base.withColumn("nodes", F.array_repeat(F.lit(1), len(specs)))
     for level in range(max(s.depth for s in specs)):
         width = 2 << level
@@ -149,14 +149,20 @@ def _roots(base: DataFrame, specs: Sequence[TreeSpec]) -> dict[str, Tree]:
     return out
 
 
-def _cuts(base: DataFrame, features: int) -> list[list[float]]:
+def feature_order(names: Iterable[str]) -> list[str]:
+    """Each name once, in the order of the window's features, which decides between equal splits."""
+    order = {f: k for k, f in enumerate(S.WINDOW_FEATURES)}
+    return sorted(dict.fromkeys(names), key=lambda f: order.get(f, len(order)))
+
+
+def slices_of(rows: DataFrame, names: Sequence[str]) -> list[list[float]]:
     """Values of each feature between slices of about ROWS_PER_SLICE rows; they bound tasks and change no result."""
-    slices = min(MOST_SLICES, math.ceil(base.count() / ROWS_PER_SLICE))
+    slices = min(MOST_SLICES, math.ceil(rows.count() / ROWS_PER_SLICE))
     if slices < 2:
-        return [[] for _ in range(features)]
+        return [[] for _ in names]
     shares = [i / slices for i in range(1, slices)]
-    row = base.agg(*[F.percentile_approx(F.col("vals")[k], shares, 10 * slices).alias(f"q{k}") for k in range(features)]).first()
-    return [sorted(set(row[f"q{k}"] or [])) for k in range(features)]
+    row = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), shares, 10 * slices).alias(f"q{k}") for k, f in enumerate(names)]).first()
+    return [sorted(set(row[f"q{k}"] or [])) for k in range(len(names))]
 
 
 def _chosen(specs: Sequence[TreeSpec], trees: dict[str, Tree], where: dict[str, int], level: int) -> dict[tuple[int, int], list[int]]:
@@ -172,7 +178,7 @@ def _chosen(specs: Sequence[TreeSpec], trees: dict[str, Tree], where: dict[str,
 
 
 def _counted(state: DataFrame, chosen: dict[tuple[int, int], list[int]], trees: int, width: int) -> DataFrame:
-    """(tree, node, f, v, n0, n1, n) of the open nodes, staged: both sums and the rows of each value."""
+    """(tree, node, f, v, n0, n1, n) of the open nodes: both sums and the rows of each value."""
     lists = [[] for _ in range(trees * width)]
     for (tree, node), features in chosen.items():
         lists[tree * width + node] = features
@@ -183,32 +189,44 @@ def _counted(state: DataFrame, chosen: dict[tuple[int, int], list[int]], trees:
     open_ = F.filter(each, lambda e: (e["n"] > 0) & (F.size(e["fs"]) > 0))
     long = state.select("vals", F.explode(open_).alias("e")).select("vals", "e.*").select("tree", "node", "n", "a", "b", "vals", F.explode("fs").alias("f"))
     long = long.select("tree", "node", (F.col("f") - 1).alias("f"), F.element_at("vals", F.col("f")).alias("v"), "n", "a", "b")
-    return stage(long.groupBy("tree", "node", "f", "v").agg(F.sum("a").alias("n0"), F.sum("b").alias("n1"), F.sum("n").alias("n")))
+    return long.groupBy("tree", "node", "f", "v").agg(F.sum("a").alias("n0"), F.sum("b").alias("n1"), F.sum("n").alias("n"))
 
 
-def _best(counts: DataFrame, cuts: list[list[float]], specs: Sequence[TreeSpec], trees: dict[str, Tree]) -> list:
-    """The best split of each (tree, node) that has one."""
-    if any(cuts):
-        table = F.array(*[F.lit(c).cast("array<double>") if c else F.array().cast("array<double>") for c in cuts])
-        counts = counts.withColumn("slice", F.size(F.filter(table[F.col("f")], lambda c: c < F.col("v"))))
-    else:
-        counts = counts.withColumn("slice", F.lit(0))
+_SUMS = {"n0": "0", "n1": "1", "n": "n"}
+
+
+def _running(counts: DataFrame, cuts: list[list[float]]) -> DataFrame:
+    """Each value of a (tree, node, f) with the next one, the sums up to it (l) and over all values (t)."""
     key = ["tree", "node", "f"]
+    every = Window.partitionBy(*key)
+    if not any(cuts):  # one slice: the values of a feature fit one task
+        upto = every.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        return counts.select(
+            *key, "v", F.lead("v").over(every.orderBy("v")).alias("next"), *[F.sum(c).over(upto).alias(f"l{k}") for c, k in _SUMS.items()],
+            *[F.sum(c).over(every).alias(f"t{k}") for c, k in _SUMS.items()],
+        )
+    counts = stage(counts)
+    table = F.array(*[F.lit(c).cast("array<double>") if c else F.array().cast("array<double>") for c in cuts])
+    counts = counts.withColumn("slice", F.size(F.filter(table[F.col("f")], lambda c: c < F.col("v"))))
     inside = Window.partitionBy(*key, "slice").orderBy("v")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    parts = {"n0": "0", "n1": "1", "n": "n"}
-    local = counts.select(*key, "slice", "v", *[F.sum(c).over(upto).alias(f"i{k}") for c, k in parts.items()], F.lead("v").over(inside).alias("next"))
-    sums = counts.groupBy(*key, "slice").agg(*[F.sum(c).alias(c) for c in parts], F.min("v").alias("first"))
-    slices = Window.partitionBy(*key).orderBy("slice")
+    local = counts.select(*key, "slice", "v", *[F.sum(c).over(upto).alias(f"i{k}") for c, k in _SUMS.items()], F.lead("v").over(inside).alias("next"))
+    sums = counts.groupBy(*key, "slice").agg(*[F.sum(c).alias(c) for c in _SUMS], F.min("v").alias("first"))
+    slices = every.orderBy("slice")
     earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
         *key, "slice", F.lead("first").over(slices).alias("after"),
-        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"b{k}") for c, k in parts.items()],
-        *[F.sum(c).over(Window.partitionBy(*key)).alias(f"t{k}") for c, k in parts.items()],
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"b{k}") for c, k in _SUMS.items()],
+        *[F.sum(c).over(every).alias(f"t{k}") for c, k in _SUMS.items()],
     )
-    every = local.join(sums, [*key, "slice"]).select(
-        *key, "v", F.coalesce("next", "after").alias("next"), *[(F.col(f"i{k}") + F.col(f"b{k}")).alias(f"l{k}") for k in parts.values()], *[f"t{k}" for k in parts.values()]
+    return local.join(sums, [*key, "slice"]).select(
+        *key, "v", F.coalesce("next", "after").alias("next"), *[(F.col(f"i{k}") + F.col(f"b{k}")).alias(f"l{k}") for k in _SUMS.values()], *[f"t{k}" for k in _SUMS.values()]
     )
+
+
+def _best(counts: DataFrame, cuts: list[list[float]], specs: Sequence[TreeSpec], trees: dict[str, Tree]) -> list:
+    """The best split of each (tree, node) that has one."""
+    every = _running(counts, cuts)
     by_tree = lambda values: F.lit(list(values))[F.col("tree")]
     weight = [by_tree(trees[s.name].weights[y] for s in specs) for y in (0, 1)]
     leaf, left = by_tree(s.leaf for s in specs), (F.col("l0"), F.col("l1"))
@@ -269,8 +287,8 @@ class Forest:
             df = df.withColumn("nodes", _moved(F.lit(feature), F.lit(threshold), width))
         return df, 2 << depth
 
-    def leaf_sums(self, df: DataFrame, value: Callable[[Tree, int], float]) -> DataFrame:
-        """``df`` with ``total``: the values of a row's leaves added up in the order of the trees."""
+    def leaf_steps(self, df: DataFrame, value: Callable[[Tree, int], float]) -> DataFrame:
+        """``df`` with ``steps``: the values of a row's leaves in the order of the trees."""
         df, width = self.nodes(df)
         table = [0.0] * (len(self.trees) * width)
         for k, tree in enumerate(self.trees):
@@ -278,9 +296,9 @@ class Forest:
                 if node not in tree.splits:
                     table[k * width + node] = value(tree, node)
         table = F.lit(table)
-        each = F.transform("nodes", lambda node, tree: table[tree * width + node])
-        return df.withColumn("total", F.aggregate(each, F.lit(0.0), lambda a, b: a + b)).drop("vals", "nodes")
+        return df.withColumn("steps", F.transform("nodes", lambda node, tree: table[tree * width + node])).drop("vals", "nodes")
 
     def scored(self, df: DataFrame) -> DataFrame:
-        out = self.leaf_sums(df, lambda tree, node: tree.shares(node)[1]).withColumn("score", F.col("total") / F.lit(float(len(self.trees)))).drop("total")
+        out = self.leaf_steps(df, lambda tree, node: tree.shares(node)[1])
+        out = out.withColumn("score", F.aggregate("steps", F.lit(0.0), lambda a, b: a + b) / F.lit(float(len(self.trees)))).drop("steps")
         return out.withColumn("pred", (F.col("score") > 0.5).cast("int"))

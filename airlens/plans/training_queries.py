@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlens import schema as S
 from airlens.operators import metrics, quality
-from airlens.plans import oracle, projections, training
+from airlens.plans import boosting, oracle, projections, training
 from airlens.plans import tree_oracle as T
 from airlens.plans.queries import quiet_windows, windows_of
 from airlens.plans.registry import query
@@ -262,6 +263,26 @@ def _(spark, d):
     return training.eval_report(training_set(spark, d))
 
 
+ROUNDS = 3  # of the boosters that SQL repeats
+_ODDS = "(select ln((count(*) filter (label = 1))::double / count(*) filter (label = 0)) from split where not is_test)"
+T.add_boosted("levels", "split", "0", ROUNDS, boosting.BY_LEVEL)
+T.add_boosted("leaves", "split", _ODDS, ROUNDS, boosting.BY_LEAF)
+
+
+@query("fit_boosted_levels", T.evaluated(T.boosted_scores("levels", ROUNDS, "XGBoost")))
+def _(spark, d):
+    """First rounds of the booster that grows by levels."""
+    ts = training_set(spark, d)
+    return _scored(ts, "XGBoost", boosting.fit(ts.train, replace(boosting.BY_LEVEL, rounds=ROUNDS)))
+
+
+@query("fit_boosted_leaves", T.evaluated(T.boosted_scores("leaves", ROUNDS, "LightGBM")))
+def _(spark, d):
+    """First rounds of the booster that grows best leaves first."""
+    ts = training_set(spark, d)
+    return _scored(ts, "LightGBM", boosting.fit(ts.train, replace(boosting.BY_LEAF, rounds=ROUNDS)))
+
+
 # ---- what SQL can state about a fit ------------------------------------------------------
 
 _CLASSES = "select '{}' as model, count(*) filter (label = 1) as n_pos, count(*) filter (label = 0) as n_neg, true as in_range from split where is_test"

@@ -92,3 +92,38 @@ def importances(prefix: str) -> str:
     return f"""
 select tree, ({names})[f] as feature, sum(lost) / sum(sum(lost)) over (partition by tree) as importance from (
 select tree, f, ({impurity.format('t0', 't1')}) - ({impurity.format('l0', 'l1')}) - ({impurity.format('(t0 - l0)', '(t1 - l1)')}) as lost from {prefix}_splits) group by tree, f"""
+
+
+def add_boosted(prefix: str, source: str, start: str, rounds: int, settings, label: str = "label") -> None:
+    """Table expressions of a booster's rounds: ``<prefix>_m<t>`` has the margins after t rounds."""
+    unit = f"{1 << 30}::double"
+    CTES[f"{prefix}_m0"] = f"select capture_id, window_us, {label} as label, attack_type, is_test, {VALUES} as x, ({start})::double as m from {source}"
+    side = "({0} / " + unit + ") * ({0} / " + unit + ") / ({1} / " + unit + f" + {settings.ridge!r}::double)"
+    for t in range(rounds):
+        p = f"{prefix}_t{t}"
+        CTES[f"{p}_rows0"] = f"""
+select *, 1 as node, round((chance - label) * {unit})::bigint as a, round(chance * (1.0::double - chance) * {unit})::bigint as b
+from (select *, 1.0::double / (1.0::double + exp(-m)) as chance from {prefix}_m{t})"""
+        for k in range(settings.depth):
+            CTES[f"{p}_best{k}"] = f"""
+select node, f, case when (v + nv) / 2.0::double >= nv then v else (v + nv) / 2.0::double end as th from (
+select *, row_number() over (partition by node order by score desc, f, v) as k from (
+select *, {side.format('la', 'lb')} + {side.format('(ta - la)', '(tb - lb)')} as score from (
+select node, f, v, (sum(a) over w)::double as la, (sum(b) over w)::double as lb, sum(n) over w as ln, (sum(a) over g)::double as ta, (sum(b) over g)::double as tb,
+  sum(n) over g as tn, lead(v) over w as nv from (
+select node, f, x[f] as v, sum(a) as a, sum(b) as b, count(*) as n from (
+select *, unnest(range(1, {len(S.WINDOW_FEATURES) + 1})) as f from {p}_rows{k} where not is_test and node >= {1 << k}) group by node, f, x[f])
+window w as (partition by node, f order by v), g as (partition by node, f))
+where nv is not null and ln >= {settings.least_rows} and tn - ln >= {settings.least_rows}
+  and lb / {unit} >= {settings.least_bend!r}::double and (tb - lb) / {unit} >= {settings.least_bend!r}::double)
+where score - {side.format('ta', 'tb')} > {settings.least_gain!r}::double) where k = 1"""
+            CTES[f"{p}_rows{k + 1}"] = f"""
+select r.* replace (case when b.node is null then r.node when r.x[b.f] <= b.th then 2 * r.node else 2 * r.node + 1 end as node)
+from {p}_rows{k} r left join {p}_best{k} b on r.node = b.node"""
+        CTES[f"{prefix}_m{t + 1}"] = f"""
+select r.* exclude (node, a, b, chance) replace (m + step as m) from {p}_rows{settings.depth} r join (
+select node, -(sum(a) / {unit}) / (sum(b) / {unit} + {settings.ridge!r}::double) * {settings.rate!r}::double as step from {p}_rows{settings.depth} where not is_test group by node) l on r.node = l.node"""
+
+
+def boosted_scores(prefix: str, rounds: int, name: str) -> str:
+    return f"select '{name}' as tree, label, attack_type, 1.0::double / (1.0::double + exp(-m)) as score, (1.0::double / (1.0::double + exp(-m)) > 0.5)::int as pred from {prefix}_m{rounds} where is_test"
