@@ -12,10 +12,11 @@ from pyspark.sql.streaming.query import StreamingQuery
 from airlens import schema as S
 from airlens.operators import labels
 from airlens.operators.rules import score_tree
+from airlens.operators.stage import stage, staging
 from airlens.operators.windows import aggregate_windows, finish_windows, packet_measures, per_type_aggs, per_window_aggs, window_of
 from airlens.session import remove
 from airlens.sources import captures, telemetry
-from airlens.streaming import state
+from airlens.streaming import state, store
 
 NO_TIMEOUT = GroupStateTimeout.NoTimeout
 
@@ -91,6 +92,10 @@ def windows_sink(
     * ``frontier``: how far each device has come.
     """
     def sink(df: DataFrame, batch_id: int) -> None:
+        with staging(df.sparkSession):
+            take(stage(df), batch_id)  # read several times below, so computed once
+
+    def take(df: DataFrame, batch_id: int) -> None:
         spark, at = df.sparkSession, lambda name, n: f"{path}/{name}/batch={n}"
         ahead = F.coalesce(F.col("gen_us") > F.col("arrival_us") + ahead_us, F.lit(False))
         write_batch(df.where(ahead), f"{path}/ahead", batch_id)
@@ -147,12 +152,14 @@ def stream_counters(labelled: DataFrame, key: str = "capture_id") -> DataFrame:
     return labelled.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def counters_sink(path: str) -> Callable[[DataFrame, int], None]:
-    return lambda df, batch_id: write_batch(df.withColumn("_at", F.lit(batch_id)), path, batch_id)
+def counters_sink(path: str, key: str = "capture_id") -> Callable[[DataFrame, int], None]:
+    """Totals of the devices a batch brings replace the older ones in a keyed store; totals only grow."""
+    combine = lambda rows: rows.groupBy(key, "label").agg(F.max("n").alias("n"))
+    return lambda df, batch_id: store.merge(path, [key], df.select(key, "label", "n"), combine, batch_id)
 
 
-def latest_counters(spark: SparkSession, path: str, key: str = "capture_id") -> DataFrame:
-    return spark.read.parquet(path).groupBy(key, "label").agg(F.max_by("n", "_at").alias("n"))
+def latest_counters(spark: SparkSession, path: str) -> DataFrame:
+    return store.read(spark, path)
 
 
 # ---- T3, T9 ----------------------------------------------------------------------------
@@ -171,67 +178,80 @@ def label_sink(read_control: Callable[[], DataFrame], path: str, key: str = "cap
 
 
 def device_state_sink(path: str, device: str = "host_mac") -> Callable[[DataFrame, int], None]:
-    """Merge a batch into the device table; version n holds the state after batch n.
+    """Merge a batch into the keyed store of devices (T9); only the buckets of its devices are written.
 
     Every field keeps the time it was sent, so a batch that comes late doesn't undo newer values.
     """
     def sink(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        new = captures.device_fields(df, device)
-        if batch_id > 0:
-            new = captures.merge_device_fields(new.unionByName(spark.read.parquet(f"{path}/version={batch_id - 1}")), device)
-        new.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        if batch_id > 1:  # the version before stays for a batch that is run again
-            remove(spark, f"{path}/version={batch_id - 2}")
+        store.merge(path, [device], captures.device_fields(df, device), lambda rows: captures.merge_device_fields(rows, device), batch_id)
 
     return sink
 
 
 def latest_device_state(spark: SparkSession, path: str, device: str = "host_mac") -> DataFrame:
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version").alias("v")).first()["v"]
-    return captures.device_values(versions.where(F.col("version") == newest).drop("version"), device)
+    return captures.device_values(store.read(spark, path), device)
 
 
 # ---- T4-T8 -----------------------------------------------------------------------------
 
-def stream_clock(packets: DataFrame, key: str = "capture_id") -> DataFrame:
+def _keyed(df: DataFrame, key: str, step: Callable, schema: str, kept: str, idle_ms: int | None) -> DataFrame:
+    """A state function by device. A device silent for ``idle_ms`` of processing time leaves the store; without it all stay."""
+    def run(group, batches, held):
+        if held.hasTimedOut:
+            held.remove()
+            return
+        yield from step(group, batches, held)
+        if idle_ms is not None and held.exists:
+            held.setTimeoutDuration(idle_ms)
+
+    timeout = NO_TIMEOUT if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return df.groupBy(key).applyInPandasWithState(run, schema, kept, "append", timeout)
+
+
+def stream_live_label(packets: DataFrame, control: DataFrame, key: str = "capture_id", idle_ms: int | None = None, keep_us: int | None = None) -> DataFrame:
+    """J1 with packets and control messages as two streams in one state.
+
+    Messages and packets of a capture are taken in order of arrival, messages first where
+    both are equal. A packet gets the label that the messages so far give it, so a STOP that
+    comes after it changes nothing. A capture keeps its closed rounds; with ``keep_us`` those
+    that ended longer ago than that before its newest arrival are dropped.
+    """
+    fields = ["pkt_id", "arrival_us", "aligned_us"]
+    told = labels.parse_control(control).where(F.col("status").isin("START", "STOP"))
+    none = lambda kind: F.lit(None).cast(kind)
+    events = packets.select(key, *fields, none("string").alias("status"), none("string").alias("kind")).unionByName(told.select(
+        key, F.col("seq_no").cast("long").alias("pkt_id"), "arrival_us", none("long").alias("aligned_us"), "status", F.col("attack_type").alias("kind")
+    ))
+    schema = f"`{key}` {dict(packets.dtypes)[key]}, pkt_id long, arrival_us long, aligned_us long, label int, attack_type string"
+    return _keyed(events, key, state.live_labels(key, keep_us), schema, state.LABEL_STATE, idle_ms)
+
+
+def stream_clock(packets: DataFrame, key: str = "capture_id", idle_ms: int | None = None) -> DataFrame:
     """Boots and generation time live (T4)."""
-    return packets.groupBy(key).applyInPandasWithState(
-        state.clock(packets.columns, key), f"{_fields(packets)}, boot_id long, min_offset_us long, aligned_us long",
-        state.CLOCK_STATE, "append", NO_TIMEOUT,
-    )
+    schema = f"{_fields(packets)}, boot_id long, min_offset_us long, aligned_us long"
+    return _keyed(packets, key, state.clock(packets.columns, key), schema, state.CLOCK_STATE, idle_ms)
 
 
-def stream_calibration(windows: DataFrame, key: str = "capture_id", **settings) -> DataFrame:
+def stream_calibration(windows: DataFrame, key: str = "capture_id", idle_ms: int | None = None, **settings) -> DataFrame:
     """Calibrated, latched alerts live (T5); needs ``raw_pred``."""
-    return windows.groupBy(key).applyInPandasWithState(
-        state.calibration(windows.columns, **settings),
-        f"{_fields(windows)}, calib string, calib_thr double, candidate int, alert int",
-        state.CALIBRATION_STATE, "append", NO_TIMEOUT,
-    )
+    schema = f"{_fields(windows)}, calib string, calib_thr double, candidate int, alert int"
+    return _keyed(windows, key, state.calibration(windows.columns, **settings), schema, state.CALIBRATION_STATE, idle_ms)
 
 
-def stream_elastic_windows(packets: DataFrame, key: str = "capture_id", width_us: int = S.WINDOW_US) -> DataFrame:
+def stream_elastic_windows(packets: DataFrame, key: str = "capture_id", width_us: int = S.WINDOW_US, idle_ms: int | None = None) -> DataFrame:
     """Sensor-side windows live."""
     slim = packets.select(key, "gen_us", "pkt_id", "subtype", "rssi", "snr", "deauth_tgt", "seq_jump")
     kind = dict(slim.dtypes)[key]
-    return slim.groupBy(key).applyInPandasWithState(
-        state.elastic(key, width_us), f"`{key}` {kind}, {state.ELASTIC_OUTPUT}", state.ELASTIC_STATE, "append", NO_TIMEOUT
-    )
+    return _keyed(slim, key, state.elastic(key, width_us), f"`{key}` {kind}, {state.ELASTIC_OUTPUT}", state.ELASTIC_STATE, idle_ms)
 
 
-def stream_gateway(packets: DataFrame, key: str = "capture_id") -> DataFrame:
+def stream_gateway(packets: DataFrame, key: str = "capture_id", idle_ms: int | None = None) -> DataFrame:
     """Gateway changes live (T7); needs ``conn``, the connection number."""
-    return packets.groupBy(key).applyInPandasWithState(
-        state.gateway(packets.columns), f"{_fields(packets)}, flips long", state.GATEWAY_STATE, "append", NO_TIMEOUT
-    )
+    return _keyed(packets, key, state.gateway(packets.columns), f"{_fields(packets)}, flips long", state.GATEWAY_STATE, idle_ms)
 
 
-def stream_throttle(alerts: DataFrame, key: str = "capture_id", gap_us: int = 2_000_000, limit: int = 16) -> DataFrame:
+def stream_throttle(alerts: DataFrame, key: str = "capture_id", gap_us: int = 2_000_000, limit: int = 16, idle_ms: int | None = None) -> DataFrame:
     """Throttled actions and listed addresses live."""
     kind = dict(alerts.dtypes)[key]
-    return alerts.groupBy(key).applyInPandasWithState(
-        state.throttle(key, gap_us, limit), f"`{key}` {kind}, action_us long, src_mac string, newly_listed boolean",
-        state.THROTTLE_STATE, "append", NO_TIMEOUT,
-    )
+    schema = f"`{key}` {kind}, action_us long, src_mac string, newly_listed boolean"
+    return _keyed(alerts, key, state.throttle(key, gap_us, limit), schema, state.THROTTLE_STATE, idle_ms)

@@ -92,12 +92,13 @@ def _(spark, d):
     return replay_closed(packet_stream(spark, d), jobs.stream_windows)
 
 
-def in_batches(spark: SparkSession, df: DataFrame, batch: str, batches: int) -> DataFrame:
-    """A table as a stream of ``batches`` micro-batches by the number in ``batch``."""
-    path = folder(spark)
-    for k in range(batches):
-        df.where(F.col(batch) == k).drop(batch).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.drop(batch).schema).option("maxFilesPerTrigger", 1).parquet(path)
+def in_rounds(spark: SparkSession, streams: list[tuple[DataFrame, str]], rounds: int, run: Callable[..., None]) -> None:
+    """Tables as streams that get the rows of one number after the other: ``run`` takes up what is new in each round."""
+    paths = [folder(spark) for _ in streams]
+    for k in range(rounds):
+        for (df, batch), path in zip(streams, paths, strict=True):
+            df.where(F.col(batch) == k).drop(batch).write.mode("append").parquet(path)
+        run(*[spark.readStream.schema(df.drop(batch).schema).parquet(path) for (df, batch), path in zip(streams, paths, strict=True)])
 
 
 def disordered(spark: SparkSession, d: str) -> DataFrame:
@@ -115,8 +116,9 @@ def disordered(spark: SparkSession, d: str) -> DataFrame:
 
 def disordered_windows(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
     rows = stage(disordered(spark, d))
-    path = replay(in_batches(spark, rows, "batch", 3), jobs.windows_sink)
-    return path, rows.drop("batch")
+    out = folder(spark)
+    in_rounds(spark, [(rows, "batch")], 3, lambda come: jobs.start(come, jobs.windows_sink(f"{out}/data"), f"{out}/checkpoint").awaitTermination())
+    return f"{out}/data", rows.drop("batch")
 
 
 @query("stream_windows_late", f"select capture_id, window_us, {FEATURES}, gw_mac_flip, label, attack_type from windows")
@@ -176,6 +178,27 @@ def _(spark, d):
 
 @query("stream_label", "select capture_id, pkt_id, label, attack_type from labelled")
 def _(spark, d):
+    """Packets and control messages come in four rounds by their arrival, as two streams in one state."""
+    p = stage(packets(spark, d).select("capture_id", "pkt_id", "arrival_us", "uptime_ms"))
+    control = stage(adapter.control_of(packets(spark, d)))
+    first, last = p.agg(F.min("arrival_us"), F.max("arrival_us")).first()
+    part = F.floor((F.col("arrival_us") - first) * 4 / F.lit(last - first + 1)).cast("int")
+    clocked, out = folder(spark), folder(spark)
+
+    def run(come: DataFrame, told: DataFrame) -> None:
+        clock = jobs.stream_clock(come)
+        jobs.start(clock, jobs.to_table(f"{clocked}/data"), f"{clocked}/checkpoint").awaitTermination()
+        timed = spark.readStream.schema(clock.schema).parquet(f"{clocked}/data/batch=*")
+        jobs.start(jobs.stream_live_label(timed, told), jobs.to_table(f"{out}/data"), f"{out}/checkpoint").awaitTermination()
+
+    # A message before the first packet or after the last is of the first or the last round.
+    in_rounds(spark, [(p.withColumn("batch", part), "batch"), (control.withColumn("batch", F.least(F.greatest(part, F.lit(0)), F.lit(3))), "batch")], 4, run)
+    return spark.read.parquet(f"{out}/data").select("capture_id", "pkt_id", "label", "attack_type")
+
+
+@query("stream_label_batches", "select capture_id, pkt_id, label, attack_type from labelled")
+def _(spark, d):
+    """The form that labels each batch by the control table."""
     control = stage(adapter.control_of(packets(spark, d)))
     slim = packet_stream(spark, d).select("capture_id", "pkt_id", "arrival_us", "uptime_ms")
     path = replay(jobs.stream_clock(slim), lambda p: jobs.label_sink(lambda: control, p))

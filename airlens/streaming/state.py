@@ -42,6 +42,54 @@ def clock(columns: list[str], key: str, boot_drop_us: int = 5_000_000) -> Callab
     return step
 
 
+LABEL_STATE = "open_us long, open_kind string, starts array<long>, ends array<long>, kinds array<string>, newest long"
+
+
+def live_labels(key: str, keep_us: int | None) -> Callable:
+    """Label of each packet by the control messages that came before it (T3); rows with a status are messages."""
+    def step(group, batches: Rows, state) -> Rows:
+        events = pd.concat(list(batches), ignore_index=True)
+        events["told"] = events["status"].isna()  # messages first
+        events = events.sort_values(["arrival_us", "told", "pkt_id"], kind="stable").reset_index(drop=True)
+        if state.exists:
+            open_us, open_kind, starts, ends, kinds, newest = state.get
+            starts, ends, kinds = list(starts), list(ends), list(kinds)
+        else:
+            open_us, open_kind, starts, ends, kinds, newest = None, None, [], [], [], 0
+        found = np.full(len(events), "NONE", dtype=object)
+        label = np.zeros(len(events), dtype="int32")
+        gen = events["aligned_us"].to_numpy(dtype=float)
+
+        def put(a: int, b: int) -> None:
+            times = gen[a:b]
+            rounds = [*zip(starts, ends, kinds, strict=True), *([(open_us, np.inf, open_kind)] if open_us is not None else [])]
+            for start, end, kind in reversed(rounds):  # the earliest round has the last word
+                inside = (times >= start) & (times <= end)
+                found[a:b][inside], label[a:b][inside] = kind, 1
+
+        at = 0
+        for k in np.flatnonzero(events["status"].notna()).tolist():
+            put(at, k)
+            at = k + 1
+            when = int(events["arrival_us"].iat[k])
+            if events["status"].iat[k] == "START":
+                open_us, open_kind = when, events["kind"].iat[k]
+            elif open_us is not None:
+                starts, ends, kinds = [*starts, open_us], [*ends, when], [*kinds, open_kind]
+                open_us = open_kind = None
+        put(at, len(events))
+        newest = max(newest, int(events["arrival_us"].max()))
+        if keep_us is not None:
+            kept = [i for i, end in enumerate(ends) if end >= newest - keep_us]
+            starts, ends, kinds = ([x[i] for i in kept] for x in (starts, ends, kinds))
+        state.update((open_us, open_kind, starts, ends, kinds, newest))
+        packets = events["told"].to_numpy()
+        out = events.loc[packets, ["pkt_id", "arrival_us", "aligned_us"]].astype("int64")
+        yield out.assign(**{key: group[0], "label": label[packets], "attack_type": found[packets]})[[key, "pkt_id", "arrival_us", "aligned_us", "label", "attack_type"]]
+
+    return step
+
+
 CALIBRATION_STATE = (
     "started long, ring array<double>, armed boolean, p90 double, thr double, pos int, neg int, latched int"
 )

@@ -107,3 +107,71 @@ def test_parse_state_and_counters(spark, packets, tmp_path):
     stream = split_stream(spark, packets.select("capture_id", "pkt_id", "label"), ["pkt_id"], tmp_path)
     counts = replay(spark, jobs.stream_counters(stream), tmp_path, jobs.counters_sink, "update")
     same(jobs.latest_counters(spark, counts), packets.groupBy("capture_id", "label").agg(F.count(F.lit(1)).alias("n")), ["capture_id", "label", "n"])
+
+
+def rounds(spark, tmp_path, frames, run):
+    """Each list of tables of ``frames`` is added to its sources, then ``run`` takes up what is new."""
+    paths = [str(tmp_path / uuid.uuid4().hex) for _ in frames[0]]
+    for tables in frames:
+        for df, path in zip(tables, paths, strict=True):
+            df.write.mode("append").parquet(path)
+        run(*[spark.readStream.schema(df.schema).parquet(path) for df, path in zip(tables, paths, strict=True)])
+
+
+def test_live_control_changes_nothing_written(spark, tmp_path):
+    packet = "capture_id long, pkt_id long, arrival_us long, aligned_us long"
+    message = "capture_id long, arrival_us long, seq_no long, payload string"
+    start, stop = '{"status":"START","attack_type":"DEAUTH"}', '{"status":"STOP"}'
+    frames = [
+        ([(1, 1, 100, 90), (1, 2, 210, 205), (2, 3, 210, 205)], [(1, 200, 1, start)]),
+        ([(1, 4, 300, 150), (1, 5, 310, 290)], []),  # its STOP has not come
+        ([(1, 6, 420, 395), (1, 7, 421, 405)], [(1, 400, 2, stop), (2, 405, 3, "STOP")]),
+        ([(1, 8, 600, 250), (1, 9, 650, 640), (1, 10, 660, 460)], [(1, 500, 4, "START"), (1, 640, 5, '{"status":"START"}')]),
+    ]
+    out, seen = str(tmp_path / "out"), []
+
+    def run(packets, control):
+        jobs.start(jobs.stream_live_label(packets, control), jobs.to_table(out), out + "-checkpoint").awaitTermination()
+        seen.append({r.pkt_id: (r.label, r.attack_type) for r in spark.read.parquet(out).collect()})
+
+    rounds(spark, tmp_path, [(spark.createDataFrame(p, packet), spark.createDataFrame(c, message)) for p, c in frames], run)
+    assert all(a.items() <= b.items() for a, b in zip(seen, seen[1:], strict=False))
+    hit = {k for k, v in seen[-1].items() if v[0]}
+    assert hit == {2, 5, 6, 8, 9} and seen[-1][8] == (1, "DEAUTH") and seen[-1][9] == (1, "UNKNOWN") and seen[-1][7] == (0, "NONE")
+    both = [spark.createDataFrame([r for f in frames for r in f[k]], s) for k, s in ((0, packet), (1, message))]
+    batch = labels.label_packets(both[0], labels.control_to_spans(both[1]))
+    assert {r.pkt_id: (r.label, r.attack_type) for r in batch.collect()} == seen[-1]
+
+
+def test_idle_devices_leave_the_store(spark, packets, tmp_path):
+    import time
+
+    slim = packets.select("capture_id", "pkt_id", "arrival_us", "uptime_ms")
+    devices, out, held = slim.select("capture_id").distinct().count(), str(tmp_path / "out"), []
+    path = str(tmp_path / "in")
+    slim.write.parquet(path)
+    come = spark.readStream.schema(slim.schema).parquet(path)
+    query = jobs.start(jobs.stream_clock(come, idle_ms=1500), jobs.to_table(out), out + "-checkpoint", once=False)
+    try:
+        end = time.time() + 90
+        while time.time() < end and not (held and held[-1] == 0 and max(held) > 0):
+            time.sleep(0.2)
+            held += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]][len(held):]
+    finally:
+        query.stop()
+    assert max(held) == devices and held[-1] == 0
+
+
+def test_store_writes_the_buckets_of_a_batch_alone(spark, tmp_path):
+    from airlens.streaming import store
+
+    path, total = str(tmp_path / "store"), {}
+    combine = lambda rows: rows.groupBy("k").agg(F.max("n").alias("n"))
+    for batch, rows in enumerate([[(k, 1) for k in range(200)], [(7, 5)], [(7, 9), (8, 3)], [], [(500, 1)]]):
+        frame = spark.createDataFrame(rows, "k long, n long")
+        for _ in range(2):  # a batch that runs again changes nothing
+            touched = store.merge(path, ["k"], frame, combine, batch)
+        total.update({k: max(n, total.get(k, 0)) for k, n in rows})
+        assert len(touched) <= max(len(rows), 0) and {r.k: r.n for r in store.read(spark, path).collect()} == total
+    found = store.versions(spark, path)
+    assert len(found) > 50 and all(len(v) <= 2 for v in found.values()) and sum(max(v) > 0 for v in found.values()) <= 3
