@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlens.llm.components import connected_components
-from airlens.llm.vectors import common_dimension, matrix, second_moments, usable
+from airlens.llm.vectors import dimensions, matrix, second_moments, usable
 from airlens.operators.stage import stage
 
 COSINE = 0.95
@@ -236,23 +236,26 @@ def links(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
 def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``rows(vec_id, embedding)``.
 
-    Equal vectors are one node with a size, so copies are never paired. Vectors that are null,
-    zero, hold null or non-finite components, or have another dimension than most link with
-    nothing: n_links 0, component_id their own vec_id, kept. Rows without a vec_id link like
-    any other; a component of such rows only has a null component_id. Other columns are ignored.
+    Equal vectors are one node with a size, so copies are never paired. Vectors of different
+    dimensions have no cosine; each dimension is joined for itself. Vectors that are null, zero
+    or hold null or non-finite components link with nothing: n_links 0, component_id their own
+    vec_id, kept. Rows without a vec_id link like any other; a component of such rows only has
+    a null component_id. An empty table gives an empty one. Other columns are ignored.
     """
     rows = stage(rows.select("vec_id", F.col("embedding").alias("v")))
-    dimension = common_dimension(rows, "v")
-    partake = usable("v") & (F.size("v") == dimension)
-    alone = rows.where(~partake).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if dimension:
-        grouped = rows.where(partake).groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
-        classes = stage(grouped.withColumn("cid", F.monotonically_increasing_id()))  # ids are fixed once written
-        counted, forest = links(classes.select("cid", "n", "v"), cosine)
-        tree = connected_components(forest)
-        nodes = classes.join(tree.withColumnRenamed("node", "cid"), "cid", "left").join(counted, "cid", "left")
-        nodes = stage(nodes.select("v", "n", "first", F.coalesce("component", "cid").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked")))
-        least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-        full = nodes.join(least, "root").select("v", (F.col("linked") + F.col("n") - 1).alias("n_links"), "component_id")
-        alone = rows.where(partake).join(full, "v").select("vec_id", "n_links", "component_id").unionByName(alone)
-    return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = rows.where(~usable("v")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for dimension in dimensions(rows, "v"):
+        out = out.unionByName(_of_one_dimension(rows.where(usable("v") & (F.size("v") == dimension)), cosine))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _of_one_dimension(rows: DataFrame, cosine: float) -> DataFrame:
+    grouped = rows.groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+    classes = stage(grouped.withColumn("cid", F.monotonically_increasing_id()))  # ids are fixed once written
+    counted, forest = links(classes.select("cid", "n", "v"), cosine)
+    tree = connected_components(forest)
+    nodes = classes.join(tree.withColumnRenamed("node", "cid"), "cid", "left").join(counted, "cid", "left")
+    nodes = stage(nodes.select("v", "n", "first", F.coalesce("component", "cid").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked")))
+    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    full = nodes.join(least, "root").select("v", (F.col("linked") + F.col("n") - 1).alias("n_links"), "component_id")
+    return rows.join(full, "v").select("vec_id", "n_links", "component_id")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from airlens.llm.vectors import common_dimension, matrix, usable
+from airlens.llm.vectors import dimensions, matrix, usable
 from airlens.operators.stage import stage
 
 NEAREST = 20
@@ -108,8 +108,11 @@ class Router:
     def part(self, x: np.ndarray) -> np.ndarray:
         return self.odds(x).argmax(axis=1)
 
-    def probed(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(-self.odds(x), axis=1, kind="stable")[:, :self.probes]
+    def probed(self, x: np.ndarray, counts: np.ndarray, least: int) -> list[np.ndarray]:
+        """Parts of each query in order of odds: ``probes`` of them, and more where those hold fewer than ``least`` ids."""
+        order = np.argsort(-self.odds(x), axis=1, kind="stable").astype(np.int32)
+        short = (np.cumsum(counts[order], axis=1) < least).sum(axis=1) + 1
+        return [row[:max(self.probes, n)] for row, n in zip(order, short.tolist(), strict=True)]
 
 
 def _learn(x: np.ndarray, target: np.ndarray, seed: int = 5) -> Router:
@@ -190,25 +193,29 @@ def search(rows: DataFrame, is_query, nearest: int = NEAREST, sample: int = SAMP
     """query_id, rank, vec_id and score of the nearest rows found for every row that ``is_query`` says is one.
 
     Nearness is the inner product in double precision. Rows without a vec_id, and vectors
-    that are null, zero, hold null or non-finite components or have another dimension than
-    most, take no part. Equal vectors are one entry with its smallest ids, ``nearest`` + 1 of
-    them, which is all a result can hold. Equal query vectors are ranked once, and the list
-    is handed to their ids. Rows that repeat a vec_id and vector count once.
-    The index is fitted on ``sample`` distinct vectors, the first by hash, and holds every row.
+    that are null, zero or hold null or non-finite components take no part; a vector is
+    searched among those of its own dimension. Equal vectors are one entry with its smallest
+    ids, ``nearest`` + 1 of them, which is all a result can hold. Equal query vectors are ranked
+    once, and the list is handed to their ids. Rows that repeat a vec_id and vector count once.
+    A query goes on to further parts, in order of odds, until ``nearest`` other ids are in reach.
+    The index of a dimension is fitted on ``sample`` distinct vectors, the first by hash, and
+    holds every row. An empty table gives an empty result.
     """
     usable_rows = rows.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").alias("v"))
-    dimension = common_dimension(usable_rows, "v")
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not dimension:
-        return rows.sparkSession.createDataFrame([], empty)
-    usable_rows = usable_rows.where(F.size("v") == dimension).distinct()
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dimension in dimensions(usable_rows, "v"):
+        out = out.unionByName(_of_one_dimension(usable_rows.where(F.size("v") == dimension).distinct(), is_query, dimension, nearest, sample))
+    return out
+
+
+def _of_one_dimension(usable_rows: DataFrame, is_query, dimension: int, nearest: int, sample: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     entries = usable_rows.withColumn("place", place).where(F.col("place") <= nearest + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = stage(entries)
     count = entries.count()
     chosen = entries.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).toPandas()
     router = fit(matrix(chosen["v"], dimension), parts_for(count), nearest)
-    shared = rows.sparkSession.sparkContext.broadcast(router)  # a small network
+    shared = usable_rows.sparkSession.sparkContext.broadcast(router)  # a small network
 
     def part(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -216,9 +223,13 @@ def search(rows: DataFrame, is_query, nearest: int = NEAREST, sample: int = SAMP
 
     def probed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(shared.value.probed(matrix(batch, dimension)).astype(np.int32)))
+            yield pd.Series(shared.value.probed(matrix(batch, dimension), in_part.value, nearest + 1))
 
     candidates = stage(entries.withColumn("part", pandas_udf(part, "int")("v")))
+    counts = np.zeros(router.parts, dtype=np.int64)
+    for p, n in candidates.groupBy("part").agg(F.sum(F.size("ids"))).collect():  # a row a part
+        counts[p] = n
+    in_part = usable_rows.sparkSession.sparkContext.broadcast(counts)
     # One query a distinct vector, named by its smallest id and its hash, as an id may have several vectors.
     queries = stage(usable_rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("hash")))
     vectors = queries.groupBy("v", "hash").agg(F.min("query_id").alias("least"), F.count("*").alias("copies"))

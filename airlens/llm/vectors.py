@@ -17,10 +17,9 @@ def usable(vector: Column | str) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def common_dimension(rows: DataFrame, vector: str) -> int:
-    """The dimension most usable vectors have, the smaller one of equals; 0 without vectors."""
-    found = rows.where(usable(vector)).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return found[0] if found else 0
+def dimensions(rows: DataFrame, vector: str) -> list[int]:
+    """The dimensions usable vectors have, ascending. Vectors of one dimension are work of their own, so a table should have few."""
+    return sorted(r.d for r in rows.where(usable(vector)).select(F.size(vector).alias("d")).distinct().collect())
 
 
 def matrix(values: pd.Series | list, dimension: int) -> np.ndarray:

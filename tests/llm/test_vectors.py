@@ -135,3 +135,30 @@ def test_equal_queries_are_ranked_once(spark, monkeypatch):
     assert sizes["q"] == 50 + 1 and set(got["query_id"]) == set(range(0, 300, 2))
     for query, found in got.groupby("query_id"):
         assert found.sort_values("rank")["vec_id"].tolist() == [i for _, i in exact(rows, query)]
+
+
+def test_each_dimension_for_itself(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4 + i % 3).astype(np.float32)) for i in range(240)]
+    rows += [(300 + i, rows[i][1]) for i in range(6)]  # copies in every dimension
+    got = {r.vec_id: r for r in near_vectors.near_duplicates(frame(spark, [*rows, (900, None)])).collect()}
+    assert all(got[300 + i].component_id == got[i].component_id and got[300 + i].n_links >= 1 and not got[300 + i].kept for i in range(6))
+    for i, v in rows:
+        cosines = [float(np.dot(v.astype(float), w.astype(float)) / np.linalg.norm(v.astype(float)) / np.linalg.norm(w.astype(float))) for j, w in rows if j != i and len(w) == len(v)]
+        assert got[i].n_links == sum(c >= 0.95 for c in cosines)
+    found = nearest.search(frame(spark, rows), "vec_id % 20 = 0").toPandas()
+    sizes = {i: len(v) for i, v in rows}
+    assert set(found["query_id"]) == {i for i, _ in rows if i % 20 == 0}
+    assert all(sizes[q] == sizes[v] for q, v in zip(found["query_id"], found["vec_id"], strict=True))
+    assert found.groupby("query_id").size().eq(20).all()
+
+
+def test_queries_in_nearly_empty_parts_go_on(spark, monkeypatch):
+    """Two far clusters of very different size: a query of the small one still gets all it asks for."""
+    rng = np.random.default_rng(10)
+    monkeypatch.setattr(nearest, "parts_for", lambda count: 4)
+    monkeypatch.setattr(nearest, "RECALL", 0.0)
+    rows = [(i, (np.eye(8)[0] * 9 + rng.normal(size=8) * 0.1).astype(np.float32)) for i in range(400)]
+    rows += [(1000 + 20 * i, (-np.eye(8)[i % 2 + 1] * 9 + rng.normal(size=8) * 0.1).astype(np.float32)) for i in range(7)]
+    found = nearest.search(frame(spark, rows), "vec_id >= 1000").toPandas()
+    assert found.groupby("query_id").size().eq(20).all() and found["query_id"].nunique() == 7
