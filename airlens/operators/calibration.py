@@ -14,7 +14,16 @@ from airlens.operators.stage import stage
 
 def idle_baseline(windows: DataFrame, k: float = S.CALIB_K, frac: float = 0.3, key: str = "capture_id") -> DataFrame:
     """Idle statistics and the relative threshold ``max(k * p90, 1)`` per capture."""
-    ranked = stage(chronological_prefix(windows.select(key, "window_us", "attack_type", "total_packets"), frac, key))
+    return baseline_of(ranked_idle(windows, frac, key), k, key)
+
+
+def ranked_idle(windows: DataFrame, frac: float = 0.3, key: str = "capture_id") -> DataFrame:
+    """Idle windows numbered in time, staged, since baselines read them several times."""
+    return stage(chronological_prefix(windows.select(key, "window_us", "attack_type", "total_packets"), frac, key))
+
+
+def baseline_of(ranked: DataFrame, k: float = S.CALIB_K, key: str = "capture_id") -> DataFrame:
+    """The idle statistics of ``ranked_idle`` windows."""
     sizes = ranked.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_idle"), F.avg("total_packets").alias("total_mean"),
         F.count(F.when(F.col("is_calib"), 1)).alias("n_calib"),

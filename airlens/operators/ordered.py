@@ -12,6 +12,7 @@ from airlens.operators.scan import (
     CELL, FIRST, HERE, Running, carry_window, cell_of, cell_window, change_count, join_carry,
     rolling_mean, running,
 )
+from airlens.operators.stage import stage
 
 PACKET_CELL_US = 10_000_000
 WINDOW_CELL_US = 3_600_000_000
@@ -128,7 +129,7 @@ def before_attack(windows: DataFrame, key: str = "capture_id") -> DataFrame:
 
 def busy_peak(windows: DataFrame, key: str = "capture_id", cell_us: int = WINDOW_CELL_US, size: int = 20, least: int = 5) -> DataFrame:
     """Time of the densest stretch before the first attack, per capture."""
-    early = before_attack(windows, key).select(key, "window_us", "packet_density")
+    early = stage(before_attack(windows, key).select(key, "window_us", "packet_density"))  # read for cells and for carries
     rolled = rolling_mean(
         early, [key], ["window_us"], cell_of("window_us", cell_us), "packet_density", size, least, "dens_roll"
     )

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from airlens import schema as S
 from airlens.functions.trees import TREES, tree_pred, tree_prob
-from airlens.operators.calibration import idle_baseline, join_thresholds
-from airlens.operators.ordered import before_attack, busy_peak, chronological_prefix, first_attack
+from airlens.operators.calibration import baseline_of, join_thresholds, ranked_idle
+from airlens.operators.ordered import before_attack, busy_peak, first_attack
 from airlens.operators.quantiles import quantiles
 from airlens.operators.stage import stage
 
@@ -43,8 +43,8 @@ def detector_report(windows: DataFrame, k: float = S.CALIB_K, frac: float = 0.3,
     A rate over no windows is null.
     """
     slim = stage(windows.select(key, "window_us", "label", "attack_type", "deauth_packets", "total_packets"))
-    baseline = idle_baseline(slim, k, frac, key)
-    ranked = chronological_prefix(slim.select(key, "window_us", "attack_type"), frac, key)
+    ranked = ranked_idle(slim, frac, key)
+    baseline = stage(baseline_of(ranked, k, key))  # a row a capture
     calib_end = ranked.where("is_calib").groupBy(key).agg(F.max("window_us").alias("_calib_end"))
     judged = join_thresholds(slim, baseline, key).join(calib_end, key, "left").withColumns({
         "absolute": absolute_detector(), "relative": relative_detector(F.col("threshold")),
