@@ -91,3 +91,15 @@ def test_reports(ts):
     assert report.where("is_best").select("model").distinct().count() == 1
     nodes, text, tree = training.tree_to_sql(ts)
     assert nodes.where("node_id = 1").count() == 1 and len(text) >= 1
+
+
+def test_distill_learns_from_either_kind_of_teacher(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, len(S.WINDOW_FEATURES))).round(1)
+    rows = [("c", k, *map(float, v), int(v[0] + 0.2 * v[1] > 0.3), "none", k % 3 == 0, 1.0) for k, v in enumerate(x)]
+    columns = "capture_id string, window_us long, " + ", ".join(f"{f} double" for f in S.WINDOW_FEATURES)
+    own = training.TrainingSet(spark.createDataFrame(rows, f"{columns}, label int, attack_type string, is_test boolean, weight double"))
+    for teacher in (training.fit_forest(own.train, trees=3, depth=3), training.exact_forest(own.train, trees=3, depth=3)):
+        tree = training.distill(own, teacher).nested()
+        both = training.predict(teacher, own.train).withColumn("again", training.tree_pred(tree))
+        assert both.where("pred = again").count() >= 0.9 * own.train.count()
