@@ -65,9 +65,11 @@ def merge_rows(pairs: PairTable, ids: np.ndarray) -> list[bytes]:
         at = rank.argmin(axis=1) if places else np.zeros(n, dtype=np.int64)
         least = rank[np.arange(n), at] if places else np.full(n, NONE)
         over = least == NONE
-        for row in np.flatnonzero(over).tolist():
-            line = ids[row]
-            out[names[row]] = line[line >= 0].tobytes()
+        done = ids[over]
+        held = done >= 0
+        raw, ends = done[held].tobytes(), np.cumsum(held.sum(axis=1) * ids.itemsize).tolist()
+        for name, begin, end in zip(names[over].tolist(), [0, *ends], ends, strict=False):
+            out[name] = raw[begin:end]
         if over.all():
             return out
         ids, rank, at, least, names = ids[~over], rank[~over], at[~over], least[~over], names[~over]

@@ -17,7 +17,7 @@ import numpy as np
 
 from airlens.llm.pair_merges import CELLS, PairTable, merge_rows, width_for
 
-REMEMBERED = 400_000  # words of a generation; a worker keeps the present and the last one
+REMEMBERED = 600_000  # words of a generation; a worker keeps the present and the last one
 LONG_WORD = 48  # longer ones are encoded but not remembered
 BLOCK = 1 << 20  # characters encoded at once
 AT_ONCE = 1 << 21  # characters of texts whose words are looked up at once
@@ -68,11 +68,11 @@ class LetterWords:
             self._inside = np.array([names[x] for x in symbols], dtype=np.int32)
             self._last = np.array([names[x + end] for x in symbols], dtype=np.int32)
 
-    def ids(self, words: list[str], before: str) -> list[bytes]:
-        """Ids of each word with ``before`` in front of it."""
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, which may have a blank in front."""
         out: list[bytes] = [b""] * len(words)
         by_width: dict[int, list[int]] = {}
-        raw = [(before + w).encode() for w in words]
+        raw = [w.encode() for w in words]
         for k, word in enumerate(raw):
             by_width.setdefault(width_for(len(word)), []).append(k)
         for width, members in by_width.items():
@@ -97,9 +97,11 @@ def _symbol(byte: int) -> str:
 class WordCoder:
     """Encodes texts with one tokenizers file.
 
-    ``spaces_dropped``: the vocabulary drops white space, so words at any blank are alone.
-    Otherwise a word owns the blank before it, which holds for a single blank between two
-    visible characters; longer runs of white space stay inside what is encoded together.
+    ``spaces_dropped``: the vocabulary drops white space and case, so words at any blank are
+    alone. Otherwise a word owns the blank before it, which holds for a single blank between
+    two visible characters; texts with longer runs of white space are left to the library.
+    Marks at the end of a word, and a line break between visible characters, are words of
+    their own to both vocabularies.
     """
 
     def __init__(self, path: str, spaces_dropped: bool):
@@ -110,9 +112,7 @@ class WordCoder:
         self._tokenizer.encode_special_tokens = True
         self._dropped = spaces_dropped
         self._letters = LetterWords(path)
-        # Words with nothing before them, and words with a blank; the same where blanks are dropped.
-        self._bare = Memory()
-        self._spaced = self._bare if spaces_dropped else Memory()
+        self._known = Memory()
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text as little-endian unsigned 32-bit integers; a null text is empty."""
@@ -120,93 +120,71 @@ class WordCoder:
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text. What is not at hand is gathered over many texts and encoded once."""
-        held: list[list[tuple[Memory | None, list[str]]]] = []
+        held: list[list[tuple[bool, list[str]]]] = []
         size = 0
         for text in texts:
-            held.append([part for block in blocks(text or "") for part in self._parts(block)])
+            held.append([self._words(block) for block in blocks(text or "")])
             size += len(text or "")
             if size >= AT_ONCE:
                 yield from self._joined(held)
                 held, size = [], 0
         yield from self._joined(held)
 
-    def _parts(self, text: str) -> list[tuple[Memory | None, list[str]]]:
-        """Words, each list with the memory it is looked up in; None: stretches for the library."""
+    def _words(self, text: str) -> tuple[bool, list[str]]:
+        """Words, each with the blank it owns, that may be remembered; False: stretches for the library."""
         if self._dropped:
-            return [(self._bare, text.replace("\n", " ").split(" "))]
-        if _RUN.search(text):
-            return [(None, _joined(text))]
-        first, *rest = text.split(" ")
-        return [(self._bare, [first]), (self._spaced, rest)]
-
-    def _joined(self, texts: list[list[tuple[Memory | None, list[str]]]]) -> Iterator[np.ndarray]:
-        wanted: dict[Memory | None, dict[str, bytes | None]] = {}
+            try:  # without marks that combine with a letter a word is the same in small letters
+                text = text.encode("latin-1").lower().decode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            return True, _ENDS.sub(r" \g<0>", text).replace("\n", " ").split(" ")
+        if "\0" in text or _RUN.search(text):
+            return False, _joined(text)
+        return True, _BREAK.sub("\0\n\0", _ENDS.sub("\0\\g<0>", text)).replace(" ", "\0 ").split("\0")
+
+    def _joined(self, texts: list[list[tuple[bool, list[str]]]]) -> Iterator[np.ndarray]:
+        wanted: dict[str, bytes | None] = {}
+        whole: dict[str, bytes | None] = {}
         found, missing = [], []
+        get = self._known.get
         for text in texts:
             found.append([])
-            for memory, words in text:
-                ids = list(map(memory.get, words)) if memory else [None] * len(words)
+            for known, words in text:
+                ids = list(map(get, words)) if known else [None] * len(words)
                 found[-1].append(ids)
                 if None in ids:
                     at = [k for k, one in enumerate(ids) if one is None]
-                    wanted.setdefault(memory, {}).update(dict.fromkeys([words[k] for k in at]))
-                    missing.append((memory, words, ids, at))
-        for memory, words in wanted.items():
-            words.update(self._fresh(words, memory) if memory else zip(words, self._library(list(words)), strict=True))
-        for memory, words, ids, at in missing:
-            known = wanted[memory]
+                    new = wanted if known else whole
+                    new.update(dict.fromkeys([words[k] for k in at]))
+                    missing.append((new, words, ids, at))
+        whole.update(zip(whole, self._library(list(whole)), strict=True))
+        self._fill(wanted)
+        for new, words, ids, at in missing:
             for k in at:
-                ids[k] = known[words[k]]
+                ids[k] = new[words[k]]
         for text in found:
             yield np.frombuffer(b"".join([one for ids in text for one in ids]), dtype="<u4")
 
     def _library(self, words: list[str]) -> list[bytes]:
         return [array("I", found.ids).tobytes() for found in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _units(self, words: list[str], space: str) -> Iterator[tuple[str, bytes]]:
-        """Words and their ids with ``space`` before them: plain ones by their merges, the others by the library."""
-        plain = [w for w in words if _LETTERS.fullmatch(w)] if self._letters.ok else []
-        if plain:
-            yield from zip(plain, self._letters.ids([w.lower() for w in plain] if self._dropped else plain, space), strict=True)
-            done = set(plain)
-            words = [w for w in words if w not in done]
-        yield from zip(words, self._library([space + w for w in words] if space else words), strict=True)
-
-    def _fresh(self, words: dict[str, None], memory: Memory) -> dict[str, bytes]:
-        """Ids of words not at hand.
-
-        Marks at the end of a word, and a line break between visible characters, are words of
-        their own to both vocabularies, so what stands before and after is looked up alone.
-        """
-        found, cut, whole = {}, {}, []
-        find = memory.find
-        for w in words:
+    def _fill(self, wanted: dict[str, bytes | None]) -> None:
+        """Ids of words not at hand: plain ones by their merges, the others by the library."""
+        find, put = self._known.find, self._known.put
+        plain, other = [], []
+        for w in wanted:
             ids = find(w)
             if ids is not None:
-                found[w] = ids
-            elif "\n" in w:
-                cut[w] = [x for x in _BREAK.split(w) if x]
-            elif w[-1:] in _MARKS and (m := _MARKED.fullmatch(w)):
-                cut[w] = m.groups()
+                wanted[w] = ids
+            elif self._letters.ok and _LETTERS.fullmatch(w):
+                plain.append(w)
             else:
-                whole.append(w)
-        heads = dict.fromkeys(whole)
-        heads.update((parts[0], find(parts[0])) for parts in cut.values() if parts[0] not in heads)
-        tails = {x: self._bare.find(x) for parts in cut.values() for x in parts[1:]}
-        before = "" if memory is self._bare else " "
-        for known, owner, space in ((heads, memory, before), (tails, self._bare, "")):
-            new = [w for w, ids in known.items() if ids is None]
-            if new:
-                for w, ids in self._units(new, space):
-                    known[w] = ids
-                    owner.put(w, ids)
-        for w in whole:
-            found[w] = heads[w]
-        for w, parts in cut.items():
-            found[w] = heads[parts[0]] + b"".join([tails[x] for x in parts[1:]])
-            if len(parts) == 2 and "\n" not in w:
-                memory.put(w, found[w])
-        return found
+                other.append(w)
+        made = self._letters.ids([w.lower() for w in plain] if self._dropped else plain) if plain else []
+        for words, ids in ((plain, made), (other, self._library(other))):
+            for w, one in zip(words, ids, strict=True):
+                wanted[w] = one
+                put(w, one)
 
 
 @functools.cache
@@ -216,12 +194,12 @@ def shared_coder(path: str, spaces_dropped: bool) -> WordCoder:
 
 
 # Visible to every definition of white space: printable ASCII, or a letter, digit or underscore. Below: a blank
-# that is not between two visible characters; a line break that is; marks that end a word after a letter.
+# that is not between two visible characters; a line break that is; marks after a letter that end a word. What
+# each looks for comes first, so that a text is scanned for it fast.
 _RUN = re.compile(r" (?:(?![!-~\w])|(?<![!-~\w] ))")
-_BREAK = re.compile(r"(?<=[!-~\w])(\n)(?=[!-~\w])")
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]{1,48}")
-_MARKS = frozenset(".,;:!?|&%$#*)")
-_MARKED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?|&%$#*)]+)")
+_BREAK = re.compile(r"\n(?<=[!-~\w]\n)(?=[!-~\w])")
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]{1,48}")
+_ENDS = re.compile(r"[.,;:!?|&%$#*)](?<=[A-Za-zÀ-ÖØ-öø-ÿ].)[.,;:!?|&%$#*)]*(?![^ \n])")
 _CUT = re.compile(r"[!-~\w](?= [!-~\w])")
 
 

@@ -38,6 +38,18 @@ def test_word_coder_equals_library(spark, sf_dir, path, dropped, monkeypatch):
     assert all(coder.encode(t).tolist() == want(t) for t in texts)
 
 
+@pytest.mark.parametrize("path,dropped,words", [(WORD, True, ["qzword", "x"]), (BYTE, False, [" QZWORD", " qzword", "Qzword", "qzWord"])])
+def test_marks_line_breaks_and_case_make_no_new_words(path, dropped, words, monkeypatch):
+    coder, seen, want = WordCoder(path, dropped), [], library(path)
+    make = coder._letters.ids
+    monkeypatch.setattr(coder._letters, "ids", lambda some, *rest: (seen.extend(some), make(some, *rest))[1])
+    texts = ["Qzword qzword QZWORD, qzword.", "Qzword qzword!?\nqzWord qzword;", "x" if dropped else "Qzword"]
+    assert [a.tolist() for a in coder.encode_all(texts)] == [want(t) for t in texts]
+    assert sorted(seen) == sorted(words)
+    odd = ["H\u0331 a", "E\u0301, T\u0308.", "a.\n\nb,\n c", "don't, 'll. it's.", "3. 4, x.5 a..", "\0 a. b", "a.\u00a0b.\x85c."]
+    assert [a.tolist() for a in coder.encode_all(odd)] == [want(t) for t in odd]
+
+
 # --- packing ---
 
 def test_configurations_hold_exactly_the_histogram():
