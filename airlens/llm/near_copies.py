@@ -1,8 +1,11 @@
-"""Near-copies by word shingles: MinHash buckets give candidates, exact Jaccard similarity decides.
+"""Near-copies by word shingles: SimHash and MinHash buckets give candidates, exact Jaccard similarity decides.
 
 A text is the set of its distinct five-word shingles; texts of less than five words have one.
-Texts with equal sets are one node. Two sets of similarity s share one of BANDS buckets with
-probability 1 - (1 - s**ROWS)**BANDS, 0.99994 at 0.8 and more above.
+Texts with equal sets are one node. Every set has a SimHash fingerprint, which lies in a
+bucket of each covering mask: two fingerprints at most RADIUS bits apart share one. Sets at
+0.8 may lie 14 bits apart, which no affordable family of masks covers, so sets meet in
+MinHash buckets as well: two of similarity s share one of BANDS with probability
+1 - (1 - s**ROWS)**BANDS, 0.99994 at 0.8 and more above.
 
 All nodes of a bucket are first compared with its most central one, whose other buckets are
 the fullest: in a family of near-copies that is the text the others were made from, so a
@@ -24,12 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from airlens.llm import simhash
 from airlens.llm.components import connected_components
 from airlens.operators.stage import stage
 
 WORDS = 5  # words of a shingle
 SIMILAR, OF = 4, 5  # Jaccard similarity of 4/5 or more links
 SEED = 42
+RADIUS = 4  # bits up to which two fingerprints surely meet
+MASKS = simhash.covering_masks(radius=RADIUS)
 BANDS, ROWS = 32, 6
 BLOCK = 1 << 13  # shingles whose minima are taken at once
 
@@ -68,7 +74,14 @@ def _node(found: np.ndarray) -> int:
 def _sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         sets = [shingles(t) for t in batch]
-        yield pd.DataFrame({"node": [_node(s) for s in sets], "bands": [bands(s) for s in sets]})
+        prints = np.array([simhash.of_hashes(s) for s in sets], dtype=np.uint64).view(np.int64)
+        yield pd.DataFrame({"node": [_node(s) for s in sets], "fp": prints, "bands": [bands(s) for s in sets]})
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """(node, key) of every bucket a node lies in: those of its fingerprint under the covering masks, and its bands."""
+    masked = F.transform(simhash.tables("fp", MASKS), lambda b: F.xxhash64(b["mask"], b["key"]))
+    return nodes.select("node", F.explode(F.concat(masked, "bands")).alias("key"))
 
 
 def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -126,7 +139,7 @@ def _met_in_front(apart: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _components(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """(node, component) of the nodes with a link; of two nodes of a bucket it is known whether they are linked or connected already."""
-    keyed = stage(nodes.select("node", F.explode("bands").alias("key")))
+    keyed = stage(_keyed(nodes))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = stage(keyed.join(sizes, "key"))
     central = shared.groupBy("node").agg(F.sum("n").alias("score"))
@@ -149,17 +162,26 @@ def _components(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     return connected_components(stage(links.union(_links(_met_in_front(stage(apart), sets), sets))))
 
 
+def _sketched(documents: DataFrame) -> DataFrame:
+    """doc_id, mark, node, fingerprint and bands of every row."""
+    sketch = pandas_udf(_sketches, "node long, fp long, bands array<long>")
+    rows = documents.select("doc_id", F.xxhash64("text").alias("mark"), sketch("text").alias("s"))
+    return rows.select("doc_id", "mark", "s.node", "s.fp", "s.bands")
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    one = F.min(F.struct("doc_id", "mark")).alias("one")
+    return rows.groupBy("node").agg(F.min("doc_id").alias("first"), one, F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+
+
 def groups(documents: DataFrame) -> DataFrame:
     """(doc_id, mark, node, component_id) of every row; the component is the smallest doc_id linked to it, directly or not.
 
     ``mark`` is the hash of the text. Texts without words are one node. Rows without a doc_id
     take part; a component of such rows only has a null component_id.
     """
-    sketch = pandas_udf(_sketches, "node long, bands array<long>")
-    rows = documents.select("doc_id", F.xxhash64("text").alias("mark"), sketch("text").alias("s"))
-    rows = stage(rows.select("doc_id", "mark", "s.node", "s.bands"))
-    one = F.min(F.struct("doc_id", "mark")).alias("one")
-    nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first"), one, F.first("bands").alias("bands")))
+    rows = stage(_sketched(documents))
+    nodes = stage(_nodes(rows))
     tree = _components(nodes, documents)
     rooted = nodes.select("node", "first").join(tree, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
     rooted = stage(rooted)

@@ -24,6 +24,24 @@ BLOCK = 1 << 15
 BUCKET = 1024
 
 
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    bits = np.unpackbits(np.asarray(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint of shingle hashes: the bits set in over half of them."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        counts += _set_bits(hashes[at:at + BLOCK])
+    return _majority(counts, len(hashes))
+
+
 def fingerprint(text: str | None) -> int:
     """Unsigned 64-bit fingerprint of a whole text; 0 without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -38,9 +56,8 @@ def fingerprint(text: str | None) -> int:
             hashes = [digest(b" ".join(words), SEED)]
         else:
             hashes = [digest(b"%b %b %b" % s, SEED) for s in zip(part, part[1:], part[2:], strict=False)]
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+        counts += _set_bits(np.array(hashes, dtype="<u8"))
+    return _majority(counts, n)
 
 
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -78,9 +95,14 @@ def finer_masks(mask: int, bits: int = BITS, radius: int = RADIUS) -> list[int]:
     return [mask | sum(1 << i for i in free[part::radius + 1]) for part in range(radius + 1)]
 
 
+def tables(fp: Column | str, masks: list[int]) -> Column:
+    """The bucket (mask, key) of a fingerprint in the table of each mask."""
+    fp = F.col(fp) if isinstance(fp, str) else fp
+    return F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), fp.bitwiseAND(F.lit(_signed(m))).alias("key")) for m in masks])
+
+
 def _in_buckets(fingerprints: DataFrame, masks: list[int]) -> DataFrame:
-    tables = F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in masks])
-    return fingerprints.select("fp", F.explode(tables).alias("b")).select("b.mask", "b.key", "fp")
+    return fingerprints.select("fp", F.explode(tables("fp", masks)).alias("b")).select("b.mask", "b.key", "fp")
 
 
 def close_pairs(fingerprints: DataFrame, bucket: int = BUCKET) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from airlens.llm import near_copies
@@ -86,3 +87,25 @@ def test_recall_of_pairs(spark):
     got = near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = sum(r.component_id == r.doc_id // 2 * 2 for r in got)
     assert want >= 0.99 * len(rows)
+
+
+def test_fingerprints_meet_without_bands(spark):
+    """Near-copies whose SimHash fingerprints lie within the radius are found by the covering masks alone."""
+    rows, want = [], set()
+    for d in range(60):
+        text = [f"s{d}w{k}" for k in range(120)]
+        copies = [text, [*text[:-1], "changed"], [*text[:60], "changed", *text[61:]], text[:70]]
+        rows += [(4 * d + k, " ".join(words)) for k, words in enumerate(copies)]
+        prints = [near_copies.simhash.of_hashes(near_copies.shingles(" ".join(words))) for words in copies]
+        want |= {4 * d + k for k in (1, 2) if (prints[0] ^ prints[k]).bit_count() <= near_copies.RADIUS}
+    assert len(want) > 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketched = near_copies._sketched(docs).withColumn("bands", F.array().cast("array<long>"))
+    nodes = near_copies._nodes(sketched)
+    tree = near_copies._components(nodes, docs)
+    found = {r.component: set() for r in tree.collect()}
+    for r in tree.join(nodes, "node").collect():
+        found[r.component].add(r["first"])
+    linked = {d: group for group in found.values() for d in group}
+    assert all(d // 4 * 4 in linked.get(d, ()) for d in want)
+    assert all(len({d // 4 for d in group}) == 1 and all(d % 4 != 3 for d in group) for group in found.values())
