@@ -5,6 +5,8 @@ Ids are numbered in the order of their merges, so that the id a pair becomes is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 NONE = np.int32(np.iinfo(np.int32).max)  # rank of a pair that is no token
@@ -53,11 +55,26 @@ class PairTable:
 
 
 def merge_rows(pairs: PairTable, ids: np.ndarray) -> list[bytes]:
-    """Ids of each row (-1 after its end) when its leftmost pair of the least rank is merged until none is left.
-
-    In a round every row merges one pair and the matrix loses a column; rows without a pair leave it.
-    """
+    """Ids of each row (-1 after its end) when its leftmost pair of the least rank is merged until none is left."""
     out: list[bytes] = [b""] * len(ids)
+    for names, done in _finished(pairs, ids):
+        held = done >= 0
+        raw, ends = done[held].tobytes(), np.cumsum(held.sum(axis=1) * ids.itemsize).tolist()
+        for name, begin, end in zip(names.tolist(), [0, *ends], ends, strict=False):
+            out[name] = raw[begin:end]
+    return out
+
+
+def merge_matrix(pairs: PairTable, ids: np.ndarray) -> np.ndarray:
+    """What merge_rows makes, as a matrix with -1 after the end of a row."""
+    out = np.full_like(ids, -1)
+    for names, done in _finished(pairs, ids):
+        out[names, :done.shape[1]] = done
+    return out
+
+
+def _finished(pairs: PairTable, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows without a pair left, with their numbers. In a round every row merges one pair and the matrix loses a column."""
     names = np.arange(len(ids))
     rank = pairs.ranks(ids[:, :-1], ids[:, 1:])
     while True:
@@ -65,13 +82,9 @@ def merge_rows(pairs: PairTable, ids: np.ndarray) -> list[bytes]:
         at = rank.argmin(axis=1) if places else np.zeros(n, dtype=np.int64)
         least = rank[np.arange(n), at] if places else np.full(n, NONE)
         over = least == NONE
-        done = ids[over]
-        held = done >= 0
-        raw, ends = done[held].tobytes(), np.cumsum(held.sum(axis=1) * ids.itemsize).tolist()
-        for name, begin, end in zip(names[over].tolist(), [0, *ends], ends, strict=False):
-            out[name] = raw[begin:end]
+        yield names[over], ids[over]
         if over.all():
-            return out
+            return
         ids, rank, at, least, names = ids[~over], rank[~over], at[~over], least[~over], names[~over]
         row, place = np.arange(len(names)), np.arange(places)
         ids = np.take_along_axis(ids, place + (place > at[:, None]), axis=1)

@@ -1,7 +1,9 @@
 """Operators on documents: results against brute force, and the awkward rows."""
 
 import hashlib
+import itertools
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -11,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from airlens.llm import language, packing, pieces, pii, quality, resharding, simhash, token_store
-from airlens.llm.word_ids import WordCoder
+from airlens.llm.word_ids import WordCoder, WordTable
 
 WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
@@ -50,6 +52,32 @@ def test_marks_line_breaks_and_case_make_no_new_words(path, dropped, words, monk
     assert [a.tolist() for a in coder.encode_all(odd)] == [want(t) for t in odd]
 
 
+@pytest.mark.parametrize("path,dropped", [(WORD, True), (BYTE, False)])
+def test_words_are_looked_up_and_merged_as_arrays(path, dropped):
+    words = ["".join(w) for w in itertools.product("aeinorstxyzq", repeat=4)]
+    coder, calls = WordCoder(path, dropped), []
+    sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        got = coder.encode(" ".join(words))
+    finally:
+        sys.setprofile(None)
+    assert got.tolist() == library(path)(" ".join(words))
+    assert len(calls) < len(words) / 10  # no call of a Python function for each word
+
+
+@pytest.mark.parametrize("path,dropped", [(WORD, True), (BYTE, False)])
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_words_of_one_hash_and_begun_anew(path, dropped, limit, monkeypatch):
+    monkeypatch.setattr(WordTable, "_hash", lambda self, keys: np.zeros(len(keys), dtype=np.uint64))
+    monkeypatch.setattr("airlens.llm.word_ids.AT_ONCE", 90)
+    coder, want = WordCoder(path, dropped), library(path)
+    coder._short = WordTable(limit)
+    texts = ["a b ab ba", "a\0 a a\0\0 b", None, "", "a  b\n\nc", " ".join(["x" * n for n in (21, 22, 23, 24, 47, 48, 49, 99)])]
+    texts += ["\u00e9" * 11 + " " + "\u00e9" * 12 + " \u00c9t\u00c9 \u65e5\u672c\u8a9e 12.5", "ab " + "ab," * 9 + " ba. b!", "a b ab ba"]
+    assert [a.tolist() for a in coder.encode_all(texts + texts)] == [want(t) for t in texts + texts]
+    assert coder._short.n > 1 and (limit == 1000 or coder._short.n < 60)
+
+
 # --- packing ---
 
 def test_configurations_hold_exactly_the_histogram():
