@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from airlens import adapter, schema
 from airlens.operators import windows
+from airlens.plans import all_queries
 from airlens.sources import captures, telemetry
 
 HEAD = '<14>1 - node p - - [meta@45917 subtype="BEACON" rssi="-55" snr="40" ipat="812" seq="17" heap="65000"'
@@ -40,6 +41,22 @@ def test_capture_files(spark, tmp_path):
     assert captures.latest_capture(typed).select("capture_id").distinct().first().capture_id == "c2"
 
 
+def test_time_sums_beyond_a_long(spark, tmp_path):
+    # 7000 times of about 1.7e15 microseconds pass the largest long; the second capture's don't.
+    events = spark.range(9900).selectExpr(
+        "id as event_id", "timestamp '2024-01-01' as ts", "cast(id >= 9800 as bigint) as user_id", "'view' as event_type", "1.0D as value", "'' as props"
+    )
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    time = lambda i: adapter.BASE_US + i * 2875 + i * 7919 % 5000
+    want = {}
+    for k, ids in enumerate((range(9800), range(9800, 9900))):
+        kept = [time(i) for i in ids if i % 7 > 1]
+        want[k] = (len(kept), len(ids) - len(kept), float(sum(kept)))
+    assert want[0][2] > 2**63 > want[1][2]
+    got = all_queries()["drop_bad_time"](spark, str(tmp_path)).collect()
+    assert {r.capture_id: (r.kept, r.dropped, r.time_sum) for r in got} == want
+
+
 def test_row_numbers_follow_the_file(spark, tmp_path):
     n = 4000
     text = "timestamp,pen\n" + "".join(f"2024-01-01T00:00:00,{i}\n" for i in range(n))
