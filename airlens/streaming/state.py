@@ -45,8 +45,37 @@ def clock(columns: list[str], key: str, boot_drop_us: int = 5_000_000) -> Callab
 LABEL_STATE = "open_us long, open_kind string, starts array<long>, ends array<long>, kinds array<string>, newest long"
 
 
+def first_rounds(starts: list[int], ends: list[int], times: np.ndarray) -> np.ndarray:
+    """Place in the list of the first round that each time lies in, both ends included; the number of rounds if there is none.
+
+    Rounds may lie in any order and overlap. Each is a stretch of the sorted times, put down as two stretches of
+    2^k that cover it; level by level, the first round of a stretch goes on to both its halves.
+    """
+    order = np.argsort(times, kind="stable")
+    lo = np.searchsorted(times[order], np.array(starts, dtype=float), "left")
+    hi = np.searchsorted(times[order], np.array(ends, dtype=float), "right")
+    place = np.flatnonzero(hi > lo)
+    lo, hi = lo[place], hi[place]
+    level = np.frexp(hi - lo)[1] - 1
+    first = np.full(len(times), len(starts))
+    for k in range(level.max(initial=-1), -1, -1):
+        here = level == k
+        np.minimum.at(first, lo[here], place[here])
+        np.minimum.at(first, hi[here] - (1 << k), place[here])
+        if k:
+            half = 1 << (k - 1)
+            first[half:] = np.minimum(first[half:], first[:-half])
+    found = np.empty_like(first)
+    found[order] = first
+    return found
+
+
 def live_labels(key: str, keep_us: int | None) -> Callable:
-    """Label of each packet by the control messages that came before it (T3); rows with a status are messages."""
+    """Label of each packet by the control messages that came before it (T3); rows with a status are messages.
+
+    A packet's number of messages before it says which rounds were closed then, the first ones of the list, and which
+    was open. So one look for the first round of all that a packet lies in does for any number of messages.
+    """
     def step(group, batches: Rows, state) -> Rows:
         events = pd.concat(list(batches), ignore_index=True)
         events["told"] = events["status"].isna()  # messages first
@@ -56,36 +85,34 @@ def live_labels(key: str, keep_us: int | None) -> Callable:
             starts, ends, kinds = list(starts), list(ends), list(kinds)
         else:
             open_us, open_kind, starts, ends, kinds, newest = None, None, [], [], [], 0
-        found = np.full(len(events), "NONE", dtype=object)
-        label = np.zeros(len(events), dtype="int32")
-        gen = events["aligned_us"].to_numpy(dtype=float)
-
-        def put(a: int, b: int) -> None:
-            times = gen[a:b]
-            rounds = [*zip(starts, ends, kinds, strict=True), *([(open_us, np.inf, open_kind)] if open_us is not None else [])]
-            for start, end, kind in reversed(rounds):  # the earliest round has the last word
-                inside = (times >= start) & (times <= end)
-                found[a:b][inside], label[a:b][inside] = kind, 1
-
-        at = 0
-        for k in np.flatnonzero(events["status"].notna()).tolist():
-            put(at, k)
-            at = k + 1
-            when = int(events["arrival_us"].iat[k])
-            if events["status"].iat[k] == "START":
-                open_us, open_kind = when, events["kind"].iat[k]
+        packets = events["told"].to_numpy()
+        messages = events.loc[~packets, ["arrival_us", "status", "kind"]].astype({"arrival_us": "int64"})
+        closed, opened = [len(ends)], [(open_us, open_kind)]  # after each number of messages
+        for when, status, kind in messages.itertuples(index=False, name=None):
+            if status == "START":
+                open_us, open_kind = when, kind
             elif open_us is not None:
-                starts, ends, kinds = [*starts, open_us], [*ends, when], [*kinds, open_kind]
+                starts.append(open_us)
+                ends.append(when)
+                kinds.append(open_kind)
                 open_us = open_kind = None
-        put(at, len(events))
+            closed.append(len(ends))
+            opened.append((open_us, open_kind))
+        out = events.loc[packets, ["pkt_id", "arrival_us", "aligned_us"]]
+        times, before = out["aligned_us"].to_numpy(dtype=float), np.cumsum(~packets)[packets]
+        first = first_rounds(starts, ends, times)
+        inside = first < np.array(closed)[before]  # the earliest round has the last word, an open one is the latest
+        running = ~inside & (times >= np.array([np.nan if us is None else us for us, _ in opened])[before])
+        found = np.full(len(out), "NONE", dtype=object)
+        found[inside] = np.array(kinds, dtype=object)[first[inside]]
+        found[running] = np.array([kind for _, kind in opened], dtype=object)[before[running]]
         newest = max(newest, int(events["arrival_us"].max()))
         if keep_us is not None:
             kept = [i for i, end in enumerate(ends) if end >= newest - keep_us]
             starts, ends, kinds = ([x[i] for i in kept] for x in (starts, ends, kinds))
         state.update((open_us, open_kind, starts, ends, kinds, newest))
-        packets = events["told"].to_numpy()
-        out = events.loc[packets, ["pkt_id", "arrival_us", "aligned_us"]].astype("int64")
-        yield out.assign(**{key: group[0], "label": label[packets], "attack_type": found[packets]})[[key, "pkt_id", "arrival_us", "aligned_us", "label", "attack_type"]]
+        out = out.astype("int64")
+        yield out.assign(**{key: group[0], "label": (inside | running).astype("int32"), "attack_type": found})[[key, "pkt_id", "arrival_us", "aligned_us", "label", "attack_type"]]
 
     return step
 

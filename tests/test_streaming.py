@@ -1,7 +1,10 @@
 """Replaying the same rows in several micro-batches gives the batch result."""
 
+import random
+import time
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +12,7 @@ from pyspark.sql import types as T
 from airlens import adapter
 from airlens.operators import calibration, greedy, labels, ordered, rules, windows
 from airlens.sources import captures, telemetry
-from airlens.streaming import jobs
+from airlens.streaming import jobs, state
 from airlens.streaming.queries import replay_closed
 
 
@@ -143,6 +146,68 @@ def test_live_control_changes_nothing_written(spark, tmp_path):
     assert {r.pkt_id: (r.label, r.attack_type) for r in batch.collect()} == seen[-1]
 
 
+class Held:
+    """State of one device between batches."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def live_label_rows(batches, keep_us=None):
+    """(pkt_id, label, attack_type) of batches of (id, arrival, aligned, status, kind) in one state."""
+    held, step, out = Held(), state.live_labels("capture_id", keep_us), []
+    for rows in batches:
+        frame = pd.DataFrame(rows, columns=["pkt_id", "arrival_us", "aligned_us", "status", "kind"]).astype({"aligned_us": float, "status": object, "kind": object})
+        for got in step((1,), iter([frame]), held):
+            out += got[["pkt_id", "label", "attack_type"]].itertuples(index=False, name=None)
+    return out
+
+
+def test_live_labels_of_many_rounds():
+    # A test of every packet between two messages against every round before them took minutes.
+    n, rows = 6000, []
+    for k in range(n):
+        rows += [(k, 1000 * k, None, "STOP" if k % 2 else "START", None if k % 2 else f"t{k % 7}")]
+        rows += [(4 * k + i, 1000 * k + 1 + i, 1000 * k + 1 + i - 400 * (i == 3), None, None) for i in range(4)]
+    began = time.process_time()
+    got = live_label_rows([rows[: len(rows) // 2], rows[len(rows) // 2 :]])
+    assert time.process_time() - began < 10
+    # The fourth packet after a message was generated before it, in the round before if that message is a STOP.
+    want = [(4 * k + i, *((1, f"t{(k - k % 2) % 7}") if (k % 2 == 0) != (i == 3) else (0, "NONE"))) for k in range(n) for i in range(4)]
+    assert sorted(got) == want
+
+
+def test_live_labels_of_late_messages():
+    # Batches whose times overlap, so that rounds overlap as well: the round that closed first has the last word.
+    rng = random.Random(7)
+    for trial in range(60):
+        batches = []
+        for _ in range(4):
+            at = rng.sample(range(60), 30)
+            batches.append([
+                (t, t, None, *rng.choice([("START", rng.choice("abc")), ("STOP", None)])) if rng.random() < 0.5 else (t, t, rng.randrange(60), None, None)
+                for t in at
+            ])
+        keep_us = rng.choice([None, 5, 20])
+        want, rounds, now, newest = [], [], None, 0
+        for rows in batches:
+            for pkt, arrival, aligned, status, kind in sorted(rows, key=lambda r: r[1]):
+                newest = max(newest, arrival)
+                if status == "START":
+                    now = (arrival, kind)
+                elif status == "STOP" and now:
+                    rounds, now = [*rounds, (now[0], arrival, now[1])], None
+                elif status is None:
+                    known = [*rounds, *([(now[0], 10**9, now[1])] if now else [])]
+                    hit = next((kind for a, b, kind in known if a <= aligned <= b), None)
+                    want.append((pkt, int(hit is not None), hit or "NONE"))
+            if keep_us is not None:
+                rounds = [r for r in rounds if r[1] >= newest - keep_us]
+        assert live_label_rows(batches, keep_us) == want
+
+
 def test_idle_devices_leave_the_store(spark, packets, tmp_path):
     import time
 
